@@ -19,7 +19,7 @@ from tessera.llm.common import checkpointed, row_key, word_count
 #: Up to this many sources, what is known of them (about 100 bytes each) is sent to every executor; else it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
-HASH_BITS = 60
+HASH_BITS = 48
 
 
 @dataclass(frozen=True)
@@ -27,35 +27,33 @@ class Mix:
     weights: tuple[int, ...] = (3, 1, 2)
     total_percent: int = 150
     most_repeats: int = 2
-    bits: int = 10
+    bits: int = 12
 
 
 def _water_level(sources: DataFrame, mix: Mix) -> DataFrame:
     """Adds ``target`` to (source, source_size): shares of the budget by weight, held at the most and reshared.
 
-    With the sources in the order of most / weight, the first k are full and the others share what is left in proportion
-    to their weights; k is the first for which the next source isn't full. One row per source.
+    With the sources in the order of most / weight, let the first k be full and the others share what is left in proportion
+    to their weights: the level at which they end up rises with k while the next source is overfull, and falls from then on,
+    so the right level is the highest. One row per source.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     place = (F.row_number().over(order) - 1) % len(mix.weights)
     weight = F.element_at(F.array(*map(F.lit, map(float, mix.weights))), (place + 1).cast("int"))
-    sized = sources.withColumn("weight", weight).withColumn("most", F.lit(mix.most_repeats) * F.col("source_size"))
+    sized = sources.withColumn("weight", weight).withColumn("most", (F.lit(mix.most_repeats) * F.col("source_size")).cast("double"))
     fill = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
+    full, rest = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    levels = sized.withColumn("left", F.sum("source_size").over(whole) * (mix.total_percent / 100) - F.coalesce(F.sum("most").over(before), F.lit(0)))
-    levels = levels.withColumn("level", F.greatest(F.lit(0.0), F.col("left")) / F.sum("weight").over(after))
-    levels = levels.withColumn("open", F.col("most") / F.col("weight") > F.col("level"))
-    levels = levels.withColumn("level", F.min(F.when(F.col("open"), F.col("level"))).over(whole))
-    share = F.col("weight") * F.col("level")
-    return levels.select("source", "source_size", F.when(F.col("open"), F.least(share, F.col("most").cast("double"))).otherwise(F.col("most").cast("double")).alias("target"))
+    left = F.sum("source_size").over(whole) * (mix.total_percent / 100) - F.coalesce(F.sum("most").over(full), F.lit(0.0))
+    levels = sized.withColumn("level", F.greatest(F.lit(0.0), left) / F.sum("weight").over(rest))
+    share = F.col("weight") * F.max("level").over(whole)
+    return levels.select("source", "source_size", F.least(share, F.col("most")).alias("target"))
 
 
-def _with(facts: DataFrame, table: DataFrame, few: bool, *keys: str) -> DataFrame:
-    """``facts`` with the rows of ``table`` of the same keys (null is a key)."""
-    table = table.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in table.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return facts.join(F.broadcast(table) if few else table, on).drop(*[f"_{k}" for k in keys])
+def _with(facts: DataFrame, table: DataFrame, few: bool, key: str = "source") -> DataFrame:
+    """``facts`` with the columns of ``table`` (one row for each key, or some); null is a key."""
+    table = table.withColumnRenamed(key, "_key")
+    return facts.join(F.broadcast(table) if few else table, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def _thresholds(facts: DataFrame, budgets: DataFrame, few: bool, bits: int) -> DataFrame:
@@ -67,7 +65,7 @@ def _thresholds(facts: DataFrame, budgets: DataFrame, few: bool, bits: int) -> D
     state = budgets.withColumn("low", F.lit(0).cast("long"))
     for step in range(HASH_BITS // bits):
         width = 1 << (HASH_BITS - bits * (step + 1))
-        inside = _with(facts, state, few, "source") if few else facts.join(state.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        inside = _with(facts, state, few)
         inside = inside.filter((F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("low") + (width << bits)))
         sums = inside.groupBy("source", "fold", "budget", "low", F.expr(f"hash div {width}").alias("bucket")).agg(F.sum("size").alias("sum"))
         running = F.sum("sum").over(Window.partitionBy("source", "fold").orderBy("bucket"))
@@ -101,18 +99,15 @@ def mixed(documents: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] = ()) ->
     documents take part with size 0; an empty table gives no rows.
     """
     facts = documents.select("doc_id", "source", *keep, word_count("text").alias("size"), F.shiftrightunsigned(row_key("doc_id", "text"), 64 - HASH_BITS).alias("hash"))
-    if not keep:
-        facts = checkpointed(facts)
-    else:
-        facts = facts.withColumn("n", F.lit(1)).drop("n")
-    slim = facts.select("source", "size", "hash") if not keep else checkpointed(facts.select("source", "size", "hash"))
+    slim = checkpointed(facts.select("doc_id", "source", "size", "hash"))
+    facts = facts if keep else slim
     sources = checkpointed(_water_level(slim.groupBy("source").agg(F.sum("size").alias("source_size")), mix))
     few = sources.count() <= BROADCAST_SOURCES
     folds = F.explode(F.sequence(F.lit(0), F.lit(mix.most_repeats - 1)))
     budget = F.least(F.greatest(F.col("target") - F.col("fold") * F.col("source_size"), F.lit(0.0)), F.col("source_size").cast("double"))
     budgets = checkpointed(sources.select("source", "source_size", "target", folds.alias("fold")).select("source", "fold", budget.alias("budget")))
     limits = _thresholds(slim, budgets, few, mix.bits).groupBy("source").agg(F.collect_list("threshold").alias("thresholds"))
-    known = checkpointed(_with(sources, limits, few, "source"))
-    out = _with(facts, known, few, "source")
+    known = checkpointed(_with(sources, limits, few))
+    out = _with(facts, known, few)
     repeats: Column = F.size(F.filter("thresholds", lambda x: F.col("hash") < x))
     return out.select("doc_id", *keep, "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))

@@ -3,16 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.functions.shipping import ship_package
 from tessera.llm.common import read_table
+from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.lm_score import scores
+from tessera.llm.mixing import mixed
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import packed
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(function: Query) -> Query:
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read_table(spark, sf_dir, "documents")).select("doc_id", "piece", "first_word", F.col("size").alias("n_words"), "bin_id", "offset")
 
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_near_dedup,)}
-ORACLES: dict[str, str] = {}
+@query
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
