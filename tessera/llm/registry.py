@@ -15,6 +15,7 @@ from tessera.llm.lm_score import scores
 from tessera.llm.mixing import mixed
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import packed
+from tessera.llm.quality import quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +32,11 @@ def query(function: Query) -> Query:
     return run
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents")).select("doc_id", "piece", "first_word", F.col("size").alias("n_words"), "bin_id", "offset")
