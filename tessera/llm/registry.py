@@ -16,12 +16,16 @@ from tessera.llm.lm_score import scores
 from tessera.llm.mixing import mixed
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import packed
+from tessera.llm.pii import pseudonymised
 from tessera.llm.quality import quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: The key of the registered query; a user passes a secret of their own.
+EXAMPLE_KEY = b"key of the registered query"
+
 
 def query(function: Query) -> Query:
     @wraps(function)
@@ -58,6 +62,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(read_table(spark, sf_dir, "documents"), EXAMPLE_KEY).select("doc_id", "text", "n_entities", "entities")
+
+
 @query
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(read_table(spark, sf_dir, "documents"))
