@@ -14,8 +14,9 @@ Steps, all on Spark:
 3. In each table bucket, every class is paired with the bucket's representative, and shingle sets confirm each pair.
    Connected classes form components.
 4. Classes that share a bucket and are still in different components are compared by an exact prefix-filter join on their
-   sets (two sets of similarity t share one of the first n − ⌈t·n⌉ + 1 shingles in a common order, here rarest first), so
-   links that the representatives could not show are found without listing the pairs of a bucket.
+   sets: in a common order, here rarest first, two sets of similarity t share one of their first n − ⌈t·n⌉ + 1 shingles, and
+   behind the first that they share both have enough shingles left for the overlap that t asks for. So links that the
+   representatives could not show are found without listing the pairs of a bucket.
 """
 
 from __future__ import annotations
@@ -193,8 +194,9 @@ def _prefix_pairs(apart: DataFrame, percent: int) -> DataFrame:
     # The order is total (members, then shingle); shingles of one label only keep their places, but join nothing.
     ranked = each.join(common, "shingle").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("members", "shingle", (F.col("low") != F.col("high")).alias("open")))).alias("rest"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = ranked.select("node", "label", "n", F.explode(F.slice("rest", F.lit(1), length)).alias("x")).filter("x.open").select("node", "label", "n", "x.shingle")
-    left = prefix.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), "shingle")
-    right = prefix.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), "shingle")
-    near = left.join(right, "shingle").filter((F.col("la") < F.col("lb")) & _could_link(F.col("na"), F.col("nb"), percent))
-    return near.select("a", "b").distinct()
+    prefix = ranked.select("node", "label", "n", F.posexplode(F.slice("rest", F.lit(1), length)).alias("place", "x")).filter("x.open").select("node", "label", "n", (F.col("n") - F.col("place")).alias("left"), "x.shingle")
+    first, other = (prefix.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n", "left")]) for side in "ab")
+    # As the first shingle that the pair shares, it and what is left behind it must hold the overlap that is asked for.
+    enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    near = first.join(other, "shingle").filter((F.col("label_a") < F.col("label_b")) & enough)
+    return near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()

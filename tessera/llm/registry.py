@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.shipping import ship_package
 from tessera.llm.common import read_table
+from tessera.llm.html_extract import main_text
 from tessera.llm.language import languages
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.lm_score import scores
@@ -48,6 +49,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents")).select("doc_id", "piece", "first_word", F.col("size").alias("n_words"), "bin_id", "offset")
 
 
+@query
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read_table(spark, sf_dir, "documents"))
