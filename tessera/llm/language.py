@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import crc_mod
 from tessera.llm.words import PLACE, Texts, U, chunks, mix
@@ -234,7 +235,7 @@ def _lettered(texts: Texts) -> np.ndarray:
 PREDICTIONS = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model, field: Field) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model, field: Field, keep: tuple[str, ...] = ("doc_id", "held_out"), names: tuple[str, str] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
             texts = Texts(part.column("text"), lower=True)
@@ -258,8 +259,8 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, field: Field) -> I
             best = mean.argmax(1)
             known = (size > 0) & bool(model.labels)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("held_out"), pa.array([model.labels[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, np.clip(mean.max(1), 0, 1), 0.0))],
-                names=["doc_id", "held_out", "lang_pred", "score"],
+                [*(part.column(c) for c in keep), pa.array([model.labels[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, np.clip(mean.max(1), 0, 1), 0.0))],
+                names=[*keep, *names],
             )
 
 
@@ -282,3 +283,12 @@ def languages(documents: DataFrame, field: Field = Field(), modulus: int = 3, re
     held = documents.sparkSession.sparkContext.broadcast(model)
     docs = documents.select("doc_id", "text", F.coalesce(crc_mod("doc_id", modulus) == remainder, F.lit(False)).alias("held_out"))
     return docs.mapInArrow(lambda b: _predict(b, held.value, field), PREDICTIONS)
+
+
+def with_language(documents: DataFrame, names: tuple[str, str], field: Field = Field(), model: Model | None = None) -> DataFrame:
+    """The rows of ``documents`` with all their columns and the predicted language and its score, under ``names``."""
+    model = fitted(documents, field) if model is None else model
+    held = documents.sparkSession.sparkContext.broadcast(model)
+    keep = tuple(documents.columns)
+    schema = T.StructType([*documents.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return documents.mapInArrow(lambda b: _predict(b, held.value, field, keep, names), schema)

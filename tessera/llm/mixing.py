@@ -90,7 +90,7 @@ def _thresholds(facts: DataFrame, budgets: DataFrame, few: bool, bits: int) -> D
 
 
 def mixed(documents: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) and the columns ``keep`` for every row of ``documents``.
+    """(doc_id, source, size, source_size, target, taken, repeats) and the columns ``keep`` for every row of ``documents``.
 
     Sizes are words (null text: 0). Sources in code-point order, null last, have the weights in turn; together they share
     ``total_percent`` of all sizes, and none more than ``most_repeats`` times its size. ``taken`` is the size times the number
@@ -110,4 +110,4 @@ def mixed(documents: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] = ()) ->
     known = checkpointed(_with(sources, limits, few))
     out = _with(facts, known, few)
     repeats: Column = F.size(F.filter("thresholds", lambda x: F.col("hash") < x))
-    return out.select("doc_id", *keep, "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
+    return out.select("doc_id", "source", *keep, "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))

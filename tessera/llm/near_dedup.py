@@ -125,18 +125,18 @@ def _could_link(n: Column, m: Column, percent: int) -> Column:
 
 
 def near_duplicates(documents: DataFrame, banding: Banding = Banding()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``documents`` (doc_id, text; other columns are ignored).
+    """(doc_id, n_shingles, component_id, kept, row) for every row of ``documents`` (doc_id, text; other columns are ignored).
 
     A-Z count as lower case. A null or blank text has an empty set and is linked with nothing. ``component_id`` is the
     smallest doc_id reached, ``kept`` whether it is the row's own. A null doc_id counts as larger than any other: it is a
     component's id only where all of its ids are null. Rows that repeat a doc_id are judged each by its own text. An empty
-    table gives no rows.
+    table gives no rows. ``row`` is a hash of doc_id and text, which tells rows of one doc_id apart.
     """
     docs = documents.select("doc_id", "text").withColumn("row", row_key("doc_id", "text"))
     signed_docs = checkpointed(
         docs.mapInArrow(lambda b: _signatures(b, banding), "doc_id long, row long, n_shingles long, node binary, keys array<long>")
     )
-    ids = signed_docs.select("doc_id", "n_shingles", "node")
+    ids = signed_docs.select("doc_id", "row", "n_shingles", "node")
     classes = checkpointed(
         signed_docs.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     )
@@ -182,9 +182,10 @@ def near_duplicates(documents: DataFrame, banding: Banding = Banding()) -> DataF
     grouped = named(classes.select("node", "least_id"))
     whole = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
     found = grouped.select("node", "label").join(whole, "label").select("node", "component_id")
-    linked = ids.filter("n_shingles > 0").join(found, "node").select("doc_id", "n_shingles", "component_id")
-    alone = ids.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = ids.filter("n_shingles > 0").join(found, "node")
+    alone = ids.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    names = ["doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row"]
+    return linked.select(*names).union(alone.select(*names))
 
 
 def _prefix_pairs(apart: DataFrame, percent: int) -> DataFrame:
