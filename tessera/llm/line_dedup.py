@@ -4,7 +4,7 @@ A line is a sequence of words, and the edit distance counts words inserted, dele
 of its variants within the bound of one edit: itself, and itself without each of its words. Equal variants meet in a grouped
 aggregate, which keeps the earliest line of each group, so a group of any size costs one row for each member and no pairs:
 
-* lines of one length that agree after deletion of the same place differ in that place alone;
+* lines of one length that agree after deletion at the same place differ in that place alone;
 * a line that equals a longer one without some word is one insertion away from it.
 
 What meets is confirmed on the words. Lines that occur more than once take part once, by their earliest place. Before the
@@ -17,13 +17,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, row_key
 
-#: Up to this many documents and lines, what is to be dropped (about 30 bytes each) is sent to every executor.
+#: The ASCII blanks that end words, but for the line feed.
+BLANKS = " \t\x0b\x0c\r"
+#: Up to this many documents or lines, what is known of them (about 30 bytes each) is sent to every executor.
 BROADCAST_ROWS, BROADCAST_LINES = 200_000, 2_000_000
 
 
@@ -41,53 +42,67 @@ def _half_keys(words: Column, n: Column) -> Column:
     return F.array_distinct(F.array(head(short), head(long_), tail(short), tail(long_)))
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, row, line, words) of each line that has a word; ``line`` counts from 0."""
-    cut = documents.select("doc_id", row_key("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    words = F.filter(F.split("body", r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    return cut.select("doc_id", "row", "line", words.alias("words")).filter(F.size("words") > 0)
+def _bodies(documents: DataFrame) -> DataFrame:
+    """(doc, row, line, body) of each line that has a word; ``line`` counts from 0, blanks around the line are gone.
+
+    ``doc`` is the doc_id, larger than any other if null.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    cut = documents.select(doc.alias("doc"), row_key("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    return cut.withColumn("body", F.btrim("body", F.lit(BLANKS))).filter("body <> ''")
+
+
+def _words(body: Column) -> Column:
+    """The words of a trimmed line; most lines have single spaces only, for which the plain split is faster."""
+    odd = body.contains("  ")
+    for blank in BLANKS.replace(" ", ""):
+        odd = odd | body.contains(blank)
+    return F.when(odd, F.split(body, r"[\x20\x09-\x0D]+")).otherwise(F.split(body, " "))
 
 
 def _place() -> Column:
     """Orders lines by document (null ids last), row and line."""
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line").alias("place")
+    return F.struct("doc", "row", "line")
 
 
-def _near(distinct: DataFrame, documents: DataFrame, options: LineDedup) -> DataFrame:
+def _near(lines: DataFrame, documents: DataFrame) -> DataFrame:
     """(h, g): hashes of the lines that have an earlier line one edit away."""
-    halves = distinct.filter(F.col("n") >= options.least_words).select("h", F.explode("halves").alias("half"))
+    halves = lines.filter("halves is not null").select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half")
     hopeful = halves.join(shared, "half", "left_semi").select("h").distinct()
-    hopeful = checkpointed(distinct.join(hopeful, "h", "left_semi").select("h", "g", "n", "place"))
-    few = hopeful.count() <= BROADCAST_ROWS
-    at = hopeful.select("h", "g", "n", "place", F.col("place.row").alias("row"), F.col("place.line").alias("line"))
-    found = _lines(documents).join(F.broadcast(at) if few else at, ["row", "line"])
-    full = checkpointed(found.groupBy("h", "g").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.first("words").alias("words")))
+    first = lines.join(hopeful, "h", "left_semi").groupBy("h", "g").agg(F.min(_place()).alias("place"))
+    first = checkpointed(first.select("h", "g", "place.*"))
+    few = first.count() <= BROADCAST_ROWS
+    found = _bodies(documents).drop("doc").join(F.broadcast(first) if few else first, ["row", "line"])
+    # One row for each line, also where a document is repeated.
+    full = checkpointed(found.groupBy("h", "g").agg(F.first("doc").alias("doc"), F.first("row").alias("row"), F.first("line").alias("line"), F.first(_words(F.col("body"))).alias("words")))
 
     # The fingerprint of a word sequence is a sum over its words and their places; a deletion moves the words behind it.
-    word = full.select("h", "g", "n", "place", F.posexplode("words").alias("i", "word"))
+    word = full.select("doc", "row", "line", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     value = lambda place: F.shiftrightunsigned(F.xxhash64("word", place), 20)
-    order = Window.partitionBy("h", "g").orderBy("i")
+    order = Window.partitionBy("doc", "row", "line").orderBy("i")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("h", "g")
-    kept = F.coalesce(F.sum("here").over(before), F.lit(0)) + F.sum("moved").over(whole) - F.sum("moved").over(upto)
-    valued = word.withColumn("here", value(F.col("i"))).withColumn("moved", value(F.col("i") - 1))
-    without = valued.select("h", "g", "n", "place", "i", kept.alias("print"))
-    itself = valued.groupBy("h", "g", "n").agg(F.first("place").alias("place"), F.sum("here").alias("print"))
-    replaced = without.select("h", "g", "place", F.lit("any").alias("role"), F.xxhash64(F.lit(0), "print", "n", "i").alias("key"))
-    shorter = without.select("h", "g", "place", F.lit("long").alias("role"), F.xxhash64(F.lit(1), "print", F.col("n") - 1).alias("key"))
-    equal = itself.select("h", "g", "place", F.lit("short").alias("role"), F.xxhash64(F.lit(1), "print", "n").alias("key"))
-    variants = checkpointed(replaced.union(shorter).union(equal))
-    first = lambda *roles: F.min(F.when(F.col("role").isin(*roles), F.struct("place", "h", "g")))
-    groups = variants.groupBy("key").agg(F.count("*").alias("members"), first("any").alias("any"), first("long").alias("long"), first("short").alias("short")).filter("members > 1")
-    met = variants.join(groups, "key")
-    partner = F.when(F.col("role") == "any", F.col("any")).when(F.col("role") == "long", F.col("short")).otherwise(F.col("long"))
-    met = met.select("h", "g", "place", partner.alias("partner")).filter(F.col("partner.place") < F.col("place"))
-    pairs = met.groupBy("h", "g").agg(F.min("partner").alias("partner"))
-    pairs = pairs.select("h", "g", F.col("partner.h").alias("ph"), F.col("partner.g").alias("pg"))
-    mine = full.select("h", "g", F.col("words").alias("a"))
-    theirs = full.select(F.col("h").alias("ph"), F.col("g").alias("pg"), F.col("words").alias("b"))
-    return pairs.join(mine, ["h", "g"]).join(theirs, ["ph", "pg"]).filter(within_one_edit(F.col("a"), F.col("b"))).select("h", "g")
+    whole = Window.partitionBy("doc", "row", "line")
+    valued = word.select("doc", "row", "line", "n", "i", value(F.col("i")).alias("here"), value(F.col("i") - 1).alias("moved"))
+    without = F.coalesce(F.sum("here").over(before), F.lit(0)) + F.sum("moved").over(whole) - F.sum("moved").over(upto)
+    itself = valued.groupBy("doc", "row", "line", "n").agg(F.sum("here").alias("print")).select("doc", "row", "line", "n", F.lit(-1).alias("i"), "print")
+    prints = checkpointed(valued.select("doc", "row", "line", "n", "i", without.alias("print")).union(itself))
+    left = F.when(F.col("i") < 0, F.col("n")).otherwise(F.col("n") - 1).alias("left")
+    common = prints.groupBy("print", left).agg(F.count("*").alias("members")).filter("members > 1").select("print", "left")
+    variants = checkpointed(prints.withColumn("left", left).join(common, ["print", "left"], "left_semi").select("print", "left", "n", "i", _place().alias("place")))
+
+    # A deletion variant meets those of the same place, and the line that it equals; a whole line meets its longer ones.
+    deleted = F.col("i") >= 0
+    replaced = variants.filter(deleted).groupBy("print", "n", "i").agg(F.min("place").alias("partner"))
+    longer = variants.filter(deleted).groupBy("print", "left").agg(F.min("place").alias("partner"))
+    equal = variants.filter(~deleted).groupBy("print", "left").agg(F.min("place").alias("partner"))
+    met = variants.filter(deleted).join(replaced, ["print", "n", "i"]).select("place", "partner")
+    met = met.union(variants.filter(deleted).join(equal, ["print", "left"]).select("place", "partner"))
+    met = met.union(variants.filter(~deleted).join(longer, ["print", "left"]).select("place", "partner"))
+    pairs = met.filter("partner < place").groupBy("place").agg(F.min("partner").alias("partner"))
+    mine = full.select(_place().alias("place"), "h", "g", F.col("words").alias("a"))
+    theirs = full.select(_place().alias("partner"), F.col("words").alias("b"))
+    return pairs.join(mine, "place").join(theirs, "partner").filter(within_one_edit(F.col("a"), F.col("b"))).select("h", "g")
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -112,14 +127,14 @@ def dedup_lines(documents: DataFrame, options: LineDedup = LineDedup()) -> DataF
     a null text stays null with 0 lines. All other columns are passed through; an empty table gives no rows.
     """
     n = F.size("words")
-    lines = _lines(documents).select(
-        F.xxhash64("words").alias("h"), F.xxhash64(F.lit(7), "words").alias("g"), n.alias("n"), "doc_id", "row", "line", F.when(n >= options.least_words, _half_keys(F.col("words"), n)).alias("halves")
-    )
-    distinct = checkpointed(lines.groupBy("h", "g").agg(F.first("n").alias("n"), F.min(_place()).alias("place"), F.first("halves").alias("halves")))
-    near = checkpointed(_near(distinct, documents, options)).withColumn("near", F.lit(True))
-    verdict = distinct.join(near, ["h", "g"], "left").select("h", "g", F.col("place").alias("earliest"), F.coalesce("near", F.lit(False)).alias("near"))
-    every = lines.select("h", "g", "row", "line", _place()).join(verdict, ["h", "g"])
-    gone = every.filter(F.col("near") | (F.col("place") != F.col("earliest"))).groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    lines = _bodies(documents).select("doc", "row", "line", _words(F.col("body")).alias("words"))
+    halves = F.when(n >= options.least_words, _half_keys(F.col("words"), n))
+    lines = checkpointed(lines.select(F.xxhash64("words").alias("h"), F.xxhash64(F.lit(7), "words").alias("g"), "doc", "row", "line", halves.alias("halves")))
+    near = checkpointed(_near(lines, documents)).withColumn("near", F.lit(True))
+    every = lines.select("h", "g", _place().alias("place"))
+    verdict = every.groupBy("h", "g").agg(F.min("place").alias("earliest")).join(near, ["h", "g"], "left")
+    every = every.join(verdict, ["h", "g"]).filter(F.col("near").isNotNull() | (F.col("place") != F.col("earliest")))
+    gone = every.groupBy(F.col("place.row").alias("row")).agg(F.sort_array(F.collect_set("place.line")).alias("gone"))
     gone = checkpointed(gone)
     size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
     few = size["rows"] <= BROADCAST_ROWS and size["lines"] <= BROADCAST_LINES
