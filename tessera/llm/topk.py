@@ -12,7 +12,7 @@ bounds are floating point, with a margin on the safe side.
 
 Pivots and the edges of the annuli come from a bounded sample; all rows are indexed. Annuli are packed into blocks of about
 ``block_rows`` rows, and queries into groups of about ``group_rows``, so that each task multiplies two bounded matrices; an
-annulus that holds a third of all rows becomes many blocks.
+annulus that holds a third of all rows becomes many blocks. There are as many pivots, up to ``pivots``, as fill blocks.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ EXACT = 1 << 53
 @dataclass(frozen=True)
 class PivotIndex:
     scale: int = 256
-    pivots: int = 32
-    annuli: int = 8
+    pivots: int = 64
+    annuli: int = 4
     sample_rows: int = 4096
     block_rows: int = 2048
     group_rows: int = 512
@@ -60,16 +60,16 @@ class Layout:
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, dimension)
+    return np.asarray(column.flatten()).astype(float).reshape(-1, dimension)
 
 
-def layout(sample: np.ndarray, bound: float, index: PivotIndex) -> Layout:
+def layout(sample: np.ndarray, bound: float, pivots_wanted: int, index: PivotIndex) -> Layout:
     """Pivots by a few rounds of means over the lifted sample, started at points far apart; annuli of equal counts."""
     random = np.random.default_rng(index.seed)
     lifted = np.concatenate((sample, np.sqrt(np.maximum(bound - (sample**2).sum(1), 0))[:, None]), 1)
     chosen = [int(random.integers(len(lifted)))]
     nearest = ((lifted - lifted[chosen[0]]) ** 2).sum(1)
-    while len(chosen) < min(index.pivots, len(lifted)) and nearest.max() > 0:
+    while len(chosen) < min(pivots_wanted, len(lifted)) and nearest.max() > 0:
         chosen.append(int(nearest.argmax()))
         nearest = np.minimum(nearest, ((lifted - lifted[chosen[-1]]) ** 2).sum(1))
     pivots = lifted[chosen].copy()
@@ -88,7 +88,7 @@ def layout(sample: np.ndarray, bound: float, index: PivotIndex) -> Layout:
     return out
 
 
-INDEXED = "vec_id long, cell int, distance double, v array<double>"
+INDEXED = "vec_id long, cell int, distance double, v array<{}>"
 
 
 def _index(batches: Iterator[pa.RecordBatch], held, index: PivotIndex) -> Iterator[pa.RecordBatch]:
@@ -120,21 +120,20 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "key": pa.array([table.column("key")[0].as_py()], pa.int64()),
-            "cell": pa.array([table.column("cell")[0].as_py()], pa.int32()),
             "ids": pa.ListArray.from_arrays([0, len(ids)], ids),
             "v": pa.ListArray.from_arrays([0, len(vectors.flatten())], vectors.flatten()),
         }
     )
 
 
-PACKED = "key long, cell int, ids array<long>, v array<double>"
+PACKED = "key long, ids array<long>, v array<{}>"
 
 
 def _route(batches: Iterator[pa.RecordBatch], cells, held, index: PivotIndex, dimension: int, k: int, first: bool) -> Iterator[pa.RecordBatch]:
     """(group, cell) to read: in the first round, each query's best annuli until they hold 4·k rows; then those that its bound leaves."""
     for batch in batches:
         for i in range(batch.num_rows):
-            queries = np.asarray(batch.column("v")[i].values).reshape(-1, dimension)
+            queries = _matrix(batch.column("v").slice(i, 1), dimension)
             upper = _bounds(queries, cells.value, held.value, index)
             if first:
                 order = np.argsort(-upper, axis=1, kind="stable")
@@ -154,7 +153,7 @@ def _multiply(batches: Iterator[pa.RecordBatch], dimension: int, k: int, exact:
     for batch in batches:
         for i in range(batch.num_rows):
             query_ids, block_ids = (np.asarray(batch.column(c)[i].values) for c in ("query_ids", "ids"))
-            q, x = (np.asarray(batch.column(c)[i].values).reshape(-1, dimension) for c in ("q", "v"))
+            q, x = (_matrix(batch.column(c).slice(i, 1), dimension) for c in ("q", "v"))
             if exact:
                 scores = (q @ x.T).astype(np.int64)
             else:
@@ -163,16 +162,16 @@ def _multiply(batches: Iterator[pa.RecordBatch], dimension: int, k: int, exact:
                     raise OverflowError("a score does not fit a long")
                 scores = scores.astype(np.int64)
             same = query_ids[:, None] == block_ids[None]
-            n = min(k + 1, len(block_ids))
             if len(block_ids) > 4 * k:
-                edge = -np.partition(-np.where(same, np.iinfo(np.int64).min, scores), k - 1, axis=1)[:, k - 1 : k]
+                others = np.where(same, np.iinfo(np.int64).min + 1, scores)
+                edge = -np.partition(-others, k - 1, axis=1)[:, k - 1 : k]
                 row, at = np.nonzero((scores >= edge) & ~same)
             else:
                 row, at = np.nonzero(~same)
             order = np.lexsort((block_ids[at], -scores[row, at], row))
             row, at = row[order], at[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, at = row[place < n - 1 + (n <= k)], at[place < n - 1 + (n <= k)]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, at = row[best], at[best]
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(block_ids[at]), pa.array(scores[row, at])], names=["query_id", "vec_id", "score"])
 
 
@@ -201,26 +200,34 @@ def top_k(embeddings: DataFrame, k: int = 5, query_modulus: int = 50, index: Piv
 def _of_dimension(rows: DataFrame, dimension: int, k: int, modulus: int, index: PivotIndex) -> DataFrame:
     context = rows.sparkSession.sparkContext
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    bound = rows.agg(F.max(square)).first()[0]
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").select("v").limit(index.sample_rows).collect()])
-    held = context.broadcast(layout(sample, bound, index))
+    about = rows.agg(F.max(square).alias("bound"), F.count("*").alias("n")).first()
+    bound = about["bound"]
+    # Components below 2^24 are exact as floats.
+    kind = "float" if bound < 1 << 48 else "double"
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").select("v").limit(index.sample_rows).collect()], float)
+    pivots = max(2, min(index.pivots, about["n"] // (index.annuli * index.block_rows)))
+    held = context.broadcast(layout(sample, bound, pivots, index))
     exact = bound < EXACT
-    keyed = checkpointed(rows.mapInArrow(lambda b: _index(b, held, index), INDEXED))
+    keyed = checkpointed(rows.mapInArrow(lambda b: _index(b, held, index), INDEXED.format(kind)))
     # At most pivots × annuli rows.
-    stats = keyed.groupBy("cell").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count("*").alias("n")).orderBy("cell").collect()
+    is_query = F.col("vec_id") % modulus == 0
+    stats = keyed.groupBy("cell").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("queries")).orderBy("cell").collect()
     cells = context.broadcast(np.array([(r["cell"], r["low"], r["high"], r["n"], -(-r["n"] // index.block_rows)) for r in stats]))
-    salts = F.element_at(F.lit([int(x) for x in np.bincount(cells.value[:, 0].astype(int), cells.value[:, 4], len(held.value.pivots) * index.annuli)]), F.col("cell") + 1)
-    salt = F.pmod(F.xxhash64("vec_id", "v"), salts.cast("long"))
-    blocks = keyed.select((F.col("cell").cast("long") * (1 << 32) + salt).alias("key"), "cell", "vec_id", "v").groupBy("key").applyInArrow(_pack, PACKED)
-    blocks = checkpointed(blocks).select("key", "ids", "v")
-    queries = keyed.filter(F.col("vec_id") % modulus == 0)
-    groups = max(1, -(-queries.count() // index.group_rows))
-    # Queries of near cells go into one group, so that they want the same annuli; each cell is dealt to its share of groups.
-    share = F.ceil(F.col("n") * groups / F.sum("n").over(Window.partitionBy()))
-    cell_groups = queries.groupBy("cell").agg(F.count("*").alias("n")).select("cell", share.cast("long").alias("of"))
-    placed = queries.join(F.broadcast(cell_groups), "cell")
-    key = F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id", "v"), F.col("of"))
-    packed = placed.select(key.alias("key"), "cell", "vec_id", "v").groupBy("key").applyInArrow(_pack, PACKED)
+    size = len(held.value.pivots) * index.annuli
+    by_cell = lambda values: F.element_at(F.lit([int(x) for x in values]), F.col("cell") + 1).cast("long")
+    place = cells.value[:, 0].astype(int)
+    spread = F.xxhash64("vec_id", "v")
+    salt = F.pmod(spread, by_cell(np.bincount(place, cells.value[:, 4], size)))
+    blocks = keyed.select((F.col("cell").cast("long") * (1 << 32) + salt).alias("key"), "vec_id", "v").groupBy("key").applyInArrow(_pack, PACKED.format(kind))
+    blocks = checkpointed(blocks)
+    # Queries of neighbouring cells share a group until it is full, so that they want the same annuli; a cell of more queries
+    # than a group holds is dealt to several.
+    asked = np.array([r["queries"] for r in stats])
+    opens = (np.cumsum(asked) - asked) // index.group_rows
+    groups = np.maximum(1, -(-asked // index.group_rows))
+    key = by_cell(np.bincount(place, opens, size)) * (1 << 32) + F.pmod(spread, by_cell(np.maximum(1, np.bincount(place, groups, size))))
+    packed = keyed.filter(is_query).select(key.alias("key"), "vec_id", "v").groupBy("key").applyInArrow(_pack, PACKED.format(kind))
     packed = checkpointed(packed).select("key", F.col("ids").alias("query_ids"), "v")
 
     def read(route: DataFrame) -> DataFrame:
