@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named, back = _aside(docs, "n_lines", "n_dropped")
     cut = dedup_lines(named).filter("n_lines = 0 or n_dropped < n_lines")
     cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.withColumnsRenamed(back).select(docs.columns)
+    return cut.select([F.col(c).alias(back.get(c, c)) for c in named.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named, back = _aside(docs, "size", "hash", "source_size", "target", "taken", "repeats", "thresholds")
     keep = tuple(c for c in named.columns if c not in ("doc_id", "source"))
     taken = mixed(named, keep=keep).filter("repeats > 0")
-    return taken.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.col("repeats")))).withColumnsRenamed(back).select(docs.columns)
+    repeated = taken.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return repeated.select([F.col(c).alias(back.get(c, c)) for c in named.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
