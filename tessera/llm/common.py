@@ -43,3 +43,15 @@ def row_key(*columns: str) -> Column:
 def crc_mod(doc_id: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
+
+
+def hash_sample(rows: DataFrame, count: int, keys: tuple[str, ...], most: int) -> DataFrame:
+    """The ``most`` rows of smallest hash of their keys, out of about ``count`` rows.
+
+    Where there are many more rows, only those of small hash are considered, so that the tasks together hand in a few times
+    ``most`` rows and not that many each.
+    """
+    order = F.xxhash64(*keys)
+    if count > 4 * most:
+        rows = rows.filter(F.shiftrightunsigned(order, 32) < int(4 * most / count * (1 << 32)))
+    return rows.orderBy(order, *keys).limit(most)

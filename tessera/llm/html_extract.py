@@ -22,8 +22,8 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from tessera.llm.common import hash_sample
 from tessera.llm.words import Texts, U, mix
 
 # HTML elements by what they do to text.
@@ -428,7 +428,7 @@ def main_text(pages: DataFrame, labeller: Labeller = Labeller(), net: BiLstm | N
     rows. The labeller is fitted on the ``train_pages`` pages of smallest hash unless ``net`` is given.
     """
     if net is None:
-        sample = pages.filter("html is not null").orderBy(F.xxhash64("page_id", "html"), "page_id", "html").select("html").limit(labeller.train_pages)
+        sample = hash_sample(pages.filter("html is not null").select("page_id", "html"), pages.count(), ("page_id", "html"), labeller.train_pages)
         net = fit([r["html"] for r in sample.collect()], labeller)
     held = pages.sparkSession.sparkContext.broadcast(net)
     return pages.select("page_id", "url", "html").mapInArrow(lambda b: _extract(b, held.value, labeller), "page_id long, url string, text string, n_chars long, n_blocks long")

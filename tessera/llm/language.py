@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import crc_mod
+from tessera.llm.common import crc_mod, hash_sample
 from tessera.llm.words import PLACE, Texts, U, chunks, mix
 
 #: Words in a block of the forward-backward pass.
@@ -266,8 +266,9 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, field: Field, keep
 
 def fitted(documents: DataFrame, field: Field = Field(), modulus: int = 3, remainder: int = 1) -> Model:
     """The field fitted to a sample of the labelled documents that are not held out."""
-    usable = documents.filter(F.coalesce(crc_mod("doc_id", modulus) != remainder, F.lit(True)) & F.col("lang").isNotNull() & (F.length("text") <= field.train_chars))
-    sample = usable.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "lang").select("lang", "text").limit(field.train_rows)
+    labelled = documents.filter(F.coalesce(crc_mod("doc_id", modulus) != remainder, F.lit(True)) & F.col("lang").isNotNull())
+    usable = labelled.filter(F.length("text") <= field.train_chars).select("doc_id", "text", "lang")
+    sample = hash_sample(usable, labelled.count(), ("doc_id", "text", "lang"), field.train_rows)
     return fit([(r["lang"], r["text"]) for r in sample.collect()], field)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import checkpointed, hash_sample
 
 #: Integers of less than this many bits are multiplied exactly as doubles.
 EXACT = 1 << 53
@@ -205,7 +205,7 @@ def _of_dimension(rows: DataFrame, dimension: int, k: int, modulus: int, index:
     # Components below 2^24 are exact as floats.
     kind = "float" if bound < 1 << 48 else "double"
     rows = rows.withColumn("v", F.col("v").cast(f"array<{kind}>"))
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").select("v").limit(index.sample_rows).collect()], float)
+    sample = np.array([r["v"] for r in hash_sample(rows, about["n"], ("vec_id", "v"), index.sample_rows).collect()], float)
     pivots = max(2, min(index.pivots, about["n"] // (index.annuli * index.block_rows)))
     held = context.broadcast(layout(sample, bound, pivots, index))
     exact = bound < EXACT
