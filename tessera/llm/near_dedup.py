@@ -11,8 +11,8 @@ Steps, all on Spark:
    2·m sub-keys. Documents of one fingerprint collapse into a class, so exact copies take part once.
 2. Sub-keys that only one class has are dropped; table keys are formed from what is left. A pair collides in table (i, j)
    exactly if it collides in left i and right j, so nothing is lost.
-3. In each table bucket, every class is paired with the bucket's representative, and shingle sets confirm each pair.
-   Connected classes form components.
+3. Every class is compared with representatives of its buckets, a few in each round, and shingle sets confirm each pair.
+   Linked classes form components, which the next round takes into account.
 4. Classes that share a bucket and are still in different components are compared by an exact prefix-filter join on their
    sets: in a common order, here rarest first, two sets of similarity t share one of their first n − ⌈t·n⌉ + 1 shingles, and
    behind the first that they share both have enough shingles left for the overlap that t asks for. So links that the
@@ -35,6 +35,8 @@ from tessera.llm.words import PLACE, Texts, U, chunks, constants, mix, signed, u
 
 #: Lists of up to this many classes (8 bytes each) are sent to every executor; longer ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Representatives that a class is compared with in each round.
+ROUNDS = (3, 6)
 
 
 @dataclass(frozen=True)
@@ -153,8 +155,8 @@ def near_duplicates(documents: DataFrame, banding: Banding = Banding()) -> DataF
         .select("node", "n", F.xxhash64("key", "y.key").alias("table"))
     )
     tables = checkpointed(tables)
-    buckets = tables.groupBy("table").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).filter("head.node <> last").select("table", "head")
-    met = checkpointed(tables.join(buckets, "table").select("table", "node", "n", "head"))
+    buckets = tables.groupBy("table").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("table")
+    met = checkpointed(tables.join(buckets, "table", "left_semi"))
 
     # Shingle sets of one row for each class that met another.
     wanted = checkpointed(classes.join(met.select("node").distinct(), "node", "left_semi").select("row", "node"))
@@ -163,18 +165,24 @@ def near_duplicates(documents: DataFrame, banding: Banding = Banding()) -> DataF
     sets = texts.mapInArrow(lambda b: _sets(b, banding), "node binary, shingles array<long>")
     sets = checkpointed(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
-    # Step 3: each class with the representatives of its buckets.
-    pairs = met.filter((F.col("node") != F.col("head.node")) & _could_link(F.col("n"), F.col("head.n"), banding.percent))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
-    links = checkpointed(_confirmed(pairs, sets, banding.percent))
-    labels = components(links)
+    # Step 3: classes with representatives of their buckets, in rounds of other representatives; buckets of one component
+    # need no more of them.
+    named = lambda x: x.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_, links = met.withColumn("label", F.col("node")), None
+    for salt, heads in enumerate(ROUNDS):
+        draw = F.xxhash64("node", F.lit(salt))
+        head = open_.groupBy("table").agg(F.min_by(F.struct("node", "n", "label"), draw).alias("head"))
+        differs = (F.col("label") != F.col("head.label")) & _could_link(F.col("n"), F.col("head.n"), banding.percent)
+        pairs = open_.join(head, "table").filter(differs).groupBy("node").agg(F.slice(F.array_sort(F.collect_set("head.node")), 1, heads).alias("b"))
+        found = _confirmed(pairs.select(F.col("node").alias("a"), F.explode("b").alias("b")), sets, banding.percent)
+        links = checkpointed(found if links is None else links.union(found))
+        labels = components(links)
+        placed = checkpointed(named(met))
+        split = placed.groupBy("table").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("table")
+        open_ = checkpointed(placed.join(split, "table", "left_semi"))
 
     # Step 4: what is still apart in a bucket.
-    named = lambda x: x.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = named(met.select("table", "node"))
-    split = placed.groupBy("table").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("table")
-    apart = placed.join(split, "table", "left_semi").select("node", "label").distinct()
-    apart = checkpointed(apart.join(sets, "node"))
+    apart = checkpointed(open_.select("node", "label").distinct().join(sets, "node"))
     more = checkpointed(_confirmed(_prefix_pairs(apart, banding.percent), sets, banding.percent))
     if not more.isEmpty():
         labels = components(links.union(more))
