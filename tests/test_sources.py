@@ -47,7 +47,7 @@ def test_airport_lines_belong_to_the_last_header(spark):
 
 
 def test_scenery_text(spark):
-    body = "I\n800\nDSF2TEXT\n\nPROPERTY sim/west 12\nOBJECT_DEF a b.obj\nPOLYGON_DEF p.pol\nOBJECT_DEF c.obj\nFILTER 0\nOBJECT_MSL 1 12.5 47.5 432.0 0.0\nOBJECT 0 12.1 47.1 90\nNONSENSE 1"
+    body = "I\n800\nhead\n\nPROPERTY sim/west 12\nOBJECT_DEF a b.obj\nPOLYGON_DEF p.pol\nOBJECT_DEF c.obj\nFILTER 0\nOBJECT_MSL 1 12.5 47.5 432.0 0.0\nOBJECT 0 12.1 47.1 90\nNONSENSE 1"
     found = text.scenery_commands(lines(spark, body))
     assert [tuple(r) for r in found["properties"].collect()] == [("f", "sim/west", "12")]
     assert sorted((r.kind, r["index"], r.path) for r in found["defs"].collect()) == [("OBJECT", 0, "a b.obj"), ("OBJECT", 1, "c.obj"), ("POLYGON", 0, "p.pol")]
