@@ -99,3 +99,13 @@ def v17_road_rules(spark, sf_dir):
     bad = ~F.col("src_h").between(0, 5) | ~F.col("dst_h").between(0, 5)
     problem = F.when(F.col("src") == F.col("dst"), "self-loop").when(bad, "layer")
     return derived(spark, sf_dir, "road_edges").select("edge_id", problem.alias("problem")).filter("problem is not null")
+
+
+@query(
+    """WITH e AS (SELECT *, (edge_id//4)%2 AS kind FROM road_edges), j AS (SELECT e.edge_id, NOT EXISTS (SELECT 1 FROM e p WHERE p.dst=e.src AND p.kind=e.kind) AS begins FROM e)
+ SELECT edge_id, max(CASE WHEN begins THEN edge_id END) OVER (ORDER BY edge_id) AS chain FROM j""",
+    "road_edges",
+)
+def k5_merge_linear_chains(spark, sf_dir):
+    edges = derived(spark, sf_dir, "road_edges").withColumn("kind", F.expr("edge_id div 4") % 2)
+    return network.merged_chains(edges, "kind")

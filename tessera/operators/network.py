@@ -86,3 +86,16 @@ def junction_histogram(edges: DataFrame) -> DataFrame:
     met = ends.groupBy("e.node", "e.level").agg(F.sort_array(F.collect_list("feat_type")).alias("types"))
     kept = met.filter(~((F.size("types") == 2) & (F.col("types")[0] == F.col("types")[1])))
     return kept.select(F.least(F.size("types"), F.lit(5)).alias("degree"), F.array_join("types", ",").alias("types")).groupBy("degree", "types").agg(F.count("*").alias("n"))
+
+
+def merged_chains(edges: DataFrame, *same: str) -> DataFrame:
+    """(edge_id, chain): edges joined through nodes with one edge in and one out that agree in ``same``; loops stay."""
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("_in"), F.first("edge_id").alias("before"), *[F.first(c).alias(f"_a_{c}") for c in same])
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_out"), F.first("edge_id").alias("behind"), *[F.first(c).alias(f"_b_{c}") for c in same])
+    agree = F.lit(True)
+    for c in same:
+        agree = agree & F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}"))
+    links = into.join(out, "node").filter((F.col("_in") == 1) & (F.col("_out") == 1) & agree & (F.col("before") != F.col("behind")))
+    found = components(links.select(F.col("before").alias("src"), F.col("behind").alias("dst")))
+    found = found.select(F.col("node").alias("edge_id"), F.col("component").alias("chain"))
+    return edges.select("edge_id").join(found, "edge_id", "left").select("edge_id", F.coalesce("chain", "edge_id").alias("chain"))

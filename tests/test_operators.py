@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
-from tessera.operators import airports, network, points, raster, rules, vectors
+from tessera.operators import airports, greedy, network, points, raster, rules, terrain, vectors
 
 
 def cells(spark, rows):
@@ -105,3 +105,39 @@ def test_runway_ends_are_a_length_apart(spark, heading):
     ends = geo.runway_ends(F.lit(10.0), F.lit(50.0), F.lit(heading), F.lit(3000.0))
     row = spark.range(1).select(ends.alias("e")).select(geo.dist_m(*map(F.col, ("e.lon1", "e.lat1", "e.lon2", "e.lat2")))).first()
     assert abs(row[0] - 3000) < 1
+
+
+def test_simplified_line_keeps_ends_and_corners(spark):
+    line = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1.0, 0.01), (1, 2, 2.0, 0.0), (1, 3, 2.0, 5.0), (2, 0, 1.0, 1.0), (3, 0, 0.0, 0.0), (3, 1, 0.0, 0.0), (3, 2, 0.0, 0.0)], "way long, pos long, lon double, lat double")
+    got = greedy.simplify_lines(line, "way", 0.1).collect()
+    assert sorted((r.way, r.pos) for r in got) == [(1, 0), (1, 2), (1, 3), (2, 0), (3, 0), (3, 2)]
+
+
+def test_near_duplicates_go_greedily_by_rank(spark):
+    import math
+    import random
+
+    draw = random.Random(3)
+    rows = [(i, i % 3, float(draw.randrange(5)), 10 + draw.random() * 0.002, 50 + draw.random() * 0.001) for i in range(120)]
+    stay = []
+    for r in sorted(rows, key=lambda r: (-r[2], r[0])):
+        near = lambda s: math.hypot((s[3] - r[3]) * math.cos(math.radians((s[4] + r[4]) / 2)), s[4] - r[4]) * geo.DEG_TO_MTR_LAT <= 10  # noqa: E731, B023
+        if not any(s[1] == r[1] and near(s) for s in stay):
+            stay.append(r)
+    got = greedy.remove_near_duplicates(spark.createDataFrame(rows, "id long, face_id long, rank double, lon double, lat double"), 10.0).collect()
+    assert sorted(r.id for r in got) == sorted(r[0] for r in stay)
+
+
+def test_regions_join_around_corners(spark):
+    picture = ["aab", "bab", "aaa", "bbb"]
+    rows = [(x, y, float(ord(c))) for y, line in enumerate(picture) for x, c in enumerate(line)]
+    got = {(r.x, r.y): r.region for r in terrain.regions(cells(spark, rows), 3).collect()}
+    assert {got[p] for p in ((0, 0), (1, 0), (1, 1), (0, 2), (1, 2), (2, 2))} == {0} and got[2, 0] == got[2, 1] == 2 and got[0, 1] == 3 and {got[x, 3] for x in range(3)} == {9}
+    small = terrain.eliminate_small_regions(cells(spark, rows), float(ord("b")), 2, 3).collect()
+    assert [(r.x, r.y) for r in small if r.value is None] == [(0, 1)]
+
+
+def test_mode_flood_fills_from_the_border(spark):
+    rows = [(x, y, 1.0 if x == 0 else 2.0 if x == 4 else None) for x in range(5) for y in range(3)]
+    got = {(r.x, r.y): r.value for r in terrain.fill_mode_flood(cells(spark, rows)).collect()}
+    assert [got[x, 1] for x in range(5)] == [1.0, 1.0, 1.0, 2.0, 2.0]
