@@ -16,6 +16,7 @@ from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.lm_score import scores
 from tessera.llm.mixing import mixed
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.oracles import ORACLES
 from tessera.llm.packing import packed
 from tessera.llm.pii import pseudonymised
 from tessera.llm.quality import quality
@@ -23,7 +24,6 @@ from tessera.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 #: The key of the registered query; a user passes a secret of their own.
 EXAMPLE_KEY = b"key of the registered query"
@@ -71,7 +71,7 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("row")
 
 
 @query
@@ -87,3 +87,6 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+__all__ = ["ORACLES", "QUERIES"]
