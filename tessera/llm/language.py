@@ -13,6 +13,7 @@ that a very long text does not cost one step for each of its words.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import crc_mod, hash_sample
-from tessera.llm.words import PLACE, Texts, U, chunks, mix
+from tessera.llm.words import CHUNK_BYTES, PLACE, Texts, U, chunks, mix
 
 #: Words in a block of the forward-backward pass.
 BLOCK = 64
@@ -37,7 +38,7 @@ class Field:
     affixes: tuple[int, ...] = (1, 2, 3, 4)
     grams: tuple[int, ...] = (2, 3)
     lexicon_count: int = 2
-    train_rows: int = 600
+    train_rows: int = 300
     train_chars: int = 20_000
     run_words: int = 12
     sequence_words: int = 48
@@ -237,7 +238,7 @@ PREDICTIONS = "doc_id long, held_out boolean, lang_pred string, score double"
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model, field: Field, keep: tuple[str, ...] = ("doc_id", "held_out"), names: tuple[str, str] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", CHUNK_BYTES // 2):
             texts = Texts(part.column("text"), lower=True)
             lettered = np.flatnonzero(_lettered(texts))
             first = np.searchsorted(lettered, texts.first)
@@ -269,7 +270,14 @@ def fitted(documents: DataFrame, field: Field = Field(), modulus: int = 3, remai
     labelled = documents.filter(F.coalesce(crc_mod("doc_id", modulus) != remainder, F.lit(True)) & F.col("lang").isNotNull())
     usable = labelled.filter(F.length("text") <= field.train_chars).select("doc_id", "text", "lang")
     sample = hash_sample(usable, labelled.count(), ("doc_id", "text", "lang"), field.train_rows)
-    return fit([(r["lang"], r["text"]) for r in sample.collect()], field)
+    # Fitted in a task, so that the driver holds no texts and none of the arrays; what comes back is the model.
+    found = sample.select("lang", "text").mapInArrow(lambda b: _fit(b, field), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], field)
+
+
+def _fit(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
+    rows = [(lang, text) for batch in batches for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, field))], pa.binary())], names=["model"])
 
 
 def languages(documents: DataFrame, field: Field = Field(), modulus: int = 3, remainder: int = 1, model: Model | None = None) -> DataFrame:

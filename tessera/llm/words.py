@@ -15,7 +15,7 @@ import pyarrow as pa
 
 #: Bytes of text handled at once (a longer single text is handled by itself), and of words hashed at once.
 CHUNK_BYTES = 4 << 20
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 
 U = np.uint64
 GOLDEN = 0x9E3779B97F4A7C15
@@ -61,7 +61,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + SEGMENT_BYTES, "right")))
         low, high = int(starts[a]), int(ends[b - 1])
-        size = 1 << max(20, (high - low).bit_length())
+        size = 1 << max(18, (high - low).bit_length())
         up, down = _powers(size) if size <= SEGMENT_BYTES * 2 else _powers.__wrapped__(size)
         total = np.zeros(high - low + 1, U)
         np.cumsum(BYTE_VALUE[data[low:high]] * up[: high - low], out=total[1:])
