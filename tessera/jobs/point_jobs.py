@@ -85,7 +85,7 @@ def p6_bbox_overlap(spark, sf_dir):
     return derived(spark, sf_dir, "faces").filter(geo.bbox_overlap(face, tuple(map(F.lit, (-121.0, 33.0, -119.0, 35.0))))).select("face_id")
 
 
-@query("SELECT face_id, round(0.2*0.2, 9) AS area, round(west+0.1, 6) AS x, round(south+0.1, 6) AS y FROM faces", "faces")
+@query("SELECT face_id, round(CAST(0.04 AS DOUBLE), 9) AS area, round(west+0.1, 6) AS x, round(south+0.1, 6) AS y FROM faces", "faces")
 def p7_polygon_area_centroid(spark, sf_dir):
     w, s = F.col("west"), F.col("south")
     corner = lambda dx, dy: F.struct((w + dx).alias("x"), (s + dy).alias("y"))
