@@ -36,7 +36,7 @@ from tessera.llm.words import PLACE, Texts, U, chunks, constants, mix, signed, u
 #: Lists of up to this many classes (8 bytes each) are sent to every executor; longer ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Representatives that a class is compared with in each round.
-ROUNDS = (3, 6)
+ROUNDS = (6,)
 
 
 @dataclass(frozen=True)
