@@ -1,22 +1,27 @@
 """Language-model scores of whole documents by a weighted backoff automaton.
 
-The model is an n-gram model with absolute discounting. Every training token is an arc of the root state; frequent words and
-n-grams are states too, each with arcs for the n-grams that extend it, a failure arc to its longest proper suffix, and a
-backoff weight on that arc. Reading a text left to right, the automaton carries one state (the longest suffix that is a
+The model is an n-gram model with absolute discounting. Every training token is an arc of the root state; words and repeated
+n-grams are states too, each with arcs for the repeated n-grams that extend it, a failure arc to its longest proper suffix, and
+a backoff weight on that arc. Reading a text left to right, the automaton carries one state (the longest suffix that is a
 state), follows failure arcs until the next token has an arc, and adds up log-probabilities.
 
-Counts cover the whole training part of the corpus. The unigram table grows with the corpus and is never collected or
-broadcast: texts are packed into chunks, each chunk asks for the counts of its own distinct words through one shuffle, and
-scoring a chunk needs only the answers to what it asked. States are words of at least ``state_share`` of all tokens (so there
-are at most 1 / state_share of them) and n-grams of at least ``gram_share``; by these shares the part of the automaton that is
-broadcast is bounded (50,000 words and 500,000 n-grams of each order by default), whatever the size of the corpus.
+Counts cover the whole training part of the corpus: every word is a state and every n-gram of ``least_count`` occurrences is an
+arc, however large the corpus (``state_share`` and ``gram_share`` can raise these floors; by default they do not). The model
+grows with the corpus and is never collected or broadcast. Texts are packed into chunks, and two rounds of questions give each
+chunk the part of the automaton that its own texts can walk through:
+
+1. Each chunk asks for the counts of its distinct words and n-grams; each n-gram is entrusted to one of the chunks that asked.
+2. For each state, chunks hand in the probability that the arcs entrusted to them take, and what the shorter state gives to the
+   same tokens; the sums are the state's backoff weight, which goes to each chunk that has the state.
+
+Keys are dealt by ranges of their hash and a chunk asks for a key once, so no frequent word or n-gram gathers in one task.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, crc_mod
-from tessera.llm.words import Texts, U, chunks, mix, signed
+from tessera.llm.common import checkpointed, crc_mod, shuffles_removed
+from tessera.llm.words import PLACE, Texts, U, chunks, mix
 
 #: Bytes of text in a chunk; a longer single text is a chunk by itself.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 #: Hash of the end token; no word's hash is mixed this way.
 END = U(0x5851F42D4C957F2D)
 
@@ -37,49 +42,25 @@ END = U(0x5851F42D4C957F2D)
 class Backoff:
     order: int = 3
     discount: float = 0.75
-    state_share: float = 2e-5
-    gram_share: float = 2e-6
+    state_share: float = 0.0
+    gram_share: float = 0.0
     least_count: int = 2
 
 
-@dataclass
-class Automaton:
-    """States are numbers, 0 the root. ``keys`` are the sorted arcs (state, token) of the states other than the root."""
+@dataclass(frozen=True)
+class Root:
+    """What every chunk must know of the whole corpus: numbers of training tokens and of distinct ones."""
 
-    words: np.ndarray
-    keys: np.ndarray
-    logs: np.ndarray
-    to: np.ndarray
-    fail: np.ndarray
-    back: np.ndarray
-    tokens: int = 0
+    options: Backoff
+    parts: int
+    tokens: int
     types: int = 0
-    discount: float = 0.75
-    unknown: float = field(init=False)
-
-    def __post_init__(self):
-        self.unknown = float(np.log10(self.discount * self.types / self.tokens)) if self.tokens else 0.0
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of tokens in the root state, by their counts."""
-        return np.where(counts > 0, np.log10(np.maximum(counts - self.discount, 1e-9) / max(self.tokens, 1)), self.unknown)
-
-    def arcs(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Place of the arc of each (state, token), or −1."""
-        return _find(self.keys, _arc(states, tokens))
-
 
-def _arc(states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return mix(tokens + states.astype(U) * U(0x9E3779B97F4A7C15))
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each value in sorted ``keys``, or −1."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
+    def probability(self, counts: np.ndarray) -> np.ndarray:
+        """Probability of tokens in the root state, by their counts."""
+        if not self.tokens:
+            return np.ones(len(counts))
+        return np.where(counts > 0, counts - self.options.discount, self.options.discount * self.types) / self.tokens
 
 
 def sequence(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -90,50 +71,6 @@ def sequence(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return tokens, first
 
 
-def states_after(model: Automaton, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The state that the automaton is in before each token (0 at the start of a text).
-
-    One level at a time: a frequent word leads to its own state, and the state of a run together with the next token leads
-    to the state of the longer run, as long as that is one.
-    """
-    level = _find(model.words, tokens) + 1
-    best = level
-    begins = np.zeros(len(tokens) + 1, bool)
-    begins[first] = True
-    while True:
-        longer = np.zeros(len(tokens), np.int64)
-        at = np.flatnonzero((level[:-1] > 0) & ~begins[1 : len(tokens)]) if len(tokens) else np.empty(0, np.int64)
-        found = model.arcs(level[at], tokens[at + 1])
-        at, found = at[found >= 0] + 1, found[found >= 0]
-        longer[at] = model.to[found]
-        if not longer.any():
-            break
-        best, level = np.where(longer > 0, longer, best), longer
-    before = np.zeros(len(tokens), np.int64)
-    before[1:] = best[:-1]
-    before[first[:-1]] = 0
-    return before
-
-
-def log_probabilities(model: Automaton, tokens: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each token, read left to right; ``counts`` are the training counts of the tokens."""
-    state = states_after(model, tokens, first)
-    total = np.zeros(len(tokens))
-    open_ = np.flatnonzero(state > 0)
-    rooted = np.ones(len(tokens), bool)
-    while len(open_):
-        at = model.arcs(state[open_], tokens[open_])
-        hit = at >= 0
-        total[open_[hit]] += model.logs[at[hit]]
-        rooted[open_[hit]] = False
-        open_ = open_[~hit]
-        total[open_] += model.back[state[open_]]
-        state[open_] = model.fail[state[open_]]
-        open_ = open_[state[open_] > 0]
-    total[rooted] += model.root(counts[rooted])
-    return total
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, blob, tokens): about PACK_BYTES of text each, with the number of training tokens in it."""
     place, number = TaskContext.get().partitionId(), 0
@@ -161,208 +98,218 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def _unpack(blob) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """(documents, tokens, first, whether each token is of a training document) for pieces of a chunk."""
-    for part in pa.ipc.open_stream(pa.py_buffer(blob)):
-        tokens, first = sequence(Texts(part.column("text"), lower=True))
-        yield part, tokens, first, np.repeat(part.column("train").to_numpy(zero_copy_only=False), np.diff(first))
-
-
-def _distinct(blob) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of a chunk in order, and their counts in its training documents."""
-    found = [np.empty(0, U)]
-    counted = [np.empty(0, np.int64)]
-    for _, tokens, _, train in _unpack(blob):
-        values, inverse = np.unique(tokens, return_inverse=True)
-        found.append(values)
-        counted.append(np.bincount(inverse, train, len(values)).astype(np.int64))
-    return _summed(np.concatenate(found), np.concatenate(counted))
+class Chunk:
+    """Tokens of a chunk and, for each order k, its distinct n-grams.
 
+    ``ends[k]`` are the places where an n-gram of k tokens inside one text ends, ``keys[k]`` the distinct ones in order,
+    ``of[k]`` the number of the one that ends at each place (−1 for none), ``counts[k]`` their training occurrences here.
+    """
 
-def _summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(values, kind="stable")
-    values, counts = values[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
-    return values[first], np.add.reduceat(counts, first) if len(first) else counts
+    def __init__(self, blob, order: int):
+        self.pieces, tokens, begins, train, size = [], [np.empty(0, U)], [], [np.empty(0, bool)], 0
+        for part in pa.ipc.open_stream(pa.py_buffer(blob)):
+            found, first = sequence(Texts(part.column("text"), lower=True))
+            self.pieces.append((part.select(["doc_id", "train"]), first + size))
+            tokens.append(found)
+            begins.append(first[:-1] + size)
+            train.append(np.repeat(part.column("train").to_numpy(zero_copy_only=False), np.diff(first)))
+            size += len(found)
+        self.tokens, train = np.concatenate(tokens), np.concatenate(train)
+        begin = np.concatenate(begins) if begins else np.empty(0, np.int64)
+        place = np.arange(size) - np.repeat(begin, np.diff(np.append(begin, size)))
+        self.keys, self.of, self.counts, self.ends = {}, {}, {}, {}
+        for k in range(1, order + 1):
+            at = np.flatnonzero(place >= k - 1)
+            total = np.full(len(at), U(k))
+            for j in range(k):
+                total += self.tokens[at - j] * PLACE[j]
+            self.keys[k], inverse = np.unique(mix(total), return_inverse=True)
+            self.of[k] = np.full(size, -1, np.int32)
+            self.of[k][at] = inverse
+            self.ends[k] = at
+            self.counts[k] = np.bincount(inverse, train[at], len(self.keys[k])).astype(np.int64)
+
+    def some_end(self, k: int) -> np.ndarray:
+        """A place where each distinct n-gram ends."""
+        out = np.empty(len(self.keys[k]), np.int64)
+        out[self.of[k][self.ends[k]]] = self.ends[k]
+        return out
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data, count: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data.as_buffer(), count * np.dtype(kind).itemsize, codec="zstd"), kind)
+
+
+def _dump(keys: np.ndarray) -> bytes:
+    """Sorted keys: their number, the first, and the bytes of the differences, all lowest bytes first, then all second ones."""
+    steps = np.diff(keys)
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return np.array([len(keys), width], "<i8").tobytes() + keys[:1].tobytes() + _squeeze(planes)
+
+
+def _load(data) -> np.ndarray:
+    raw = data.as_buffer()
+    (count, width), first = np.frombuffer(raw[:16], "<i8").tolist(), np.frombuffer(raw[16:24], U)
+    steps = np.zeros((count - 1, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(pa.decompress(raw[24:], (count - 1) * width, codec="zstd"), np.uint8).reshape(width, count - 1).T
+    return np.cumsum(np.concatenate((first, steps.view("<u8").ravel())), dtype=U)
+
+
+def _edges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part's range begins in sorted keys."""
+    return np.searchsorted(keys, np.array([(k << 64) // parts for k in range(parts)], U)).tolist() + [len(keys)]
+
+
+QUESTIONS = "kind long, part long, chunk long, keys binary, x binary, y binary"
+ANSWERS = "chunk long, kind long, part long, reply binary, types long"
+
+
+def _question(kind: int, chunk: int, keys: np.ndarray, x: np.ndarray, y: np.ndarray | None, parts: int) -> pa.RecordBatch:
+    """One row for each part in which the chunk has keys."""
+    edges = _edges(keys, parts)
+    rows = [(k, slice(edges[k], edges[k + 1])) for k in range(parts) if edges[k] < edges[k + 1]]
+    column = lambda v: pa.array([None if v is None else _squeeze(v[at]) for _, at in rows], pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([_dump(keys[at]) for _, at in rows], pa.binary()), column(x), column(y)],
+        names=["kind", "part", "chunk", "keys", "x", "y"],
+    )
 
 
-def _ask(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """For each chunk and part, the chunk's distinct tokens of that part with their counts."""
+def _ask(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The distinct words and n-grams of each chunk with their counts."""
     for batch in batches:
-        for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
-            values, counts = _distinct(blob.as_buffer())
-            part = (values % U(parts)).astype(np.int64)
-            for k, at in _by_part(part, parts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int64()), pa.array([chunk], pa.int64()), pa.array([values[at].tobytes()], pa.binary()), pa.array([counts[at].astype(np.uint32).tobytes()], pa.binary())], names=["part", "chunk", "tokens", "counts"]
-                )
+        for number, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
+            chunk = Chunk(blob.as_buffer(), order)
+            for k in range(1, order + 1):
+                yield _question(k, number, chunk.keys[k], chunk.counts[k].astype(np.uint32), None, parts)
 
 
-def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for k in range(parts):
-        if edges[k] < edges[k + 1]:
-            yield k, order[edges[k] : edges[k + 1]]
+def _gathered(asked: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """(questions by chunk, where each begins, distinct keys' first places, number of each key, edges' count)."""
+    asked = asked.sort_by("chunk")
+    keys = [_load(x) for x in asked.column("keys")]
+    edges = np.cumsum([0, *map(len, keys)]).tolist()
+    values, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return asked, edges, first, inverse, values
 
 
-def _answer(asked: pa.Table, least: float) -> pa.Table:
-    """The total of each token that was asked for, to each chunk in the order of its question; and the frequent tokens."""
-    asked = asked.sort_by("chunk")
-    tokens = [np.frombuffer(x.as_buffer(), U) for x in asked.column("tokens")]
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in asked.column("counts")]).astype(np.int64)
-    values, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
-    totals = np.bincount(inverse, counts, len(values)).astype(np.int64)
-    edges = np.cumsum([0, *map(len, tokens)])
-    frequent = np.flatnonzero(totals >= max(least, 1))
+def _reply(asked: pa.Table, edges: list[int], kind: int, reply: np.ndarray, types: int) -> pa.Table:
     rows = asked.num_rows
-    none = [0] * (rows - 1)
     return pa.table(
         {
             "chunk": asked.column("chunk").combine_chunks(),
+            "kind": pa.array([kind] * rows, pa.int64()),
             "part": asked.column("part").combine_chunks(),
-            "totals": pa.array([totals[inverse[edges[i] : edges[i + 1]]].tobytes() if totals.max(initial=0) >> 32 else totals[inverse[edges[i] : edges[i + 1]]].astype(np.uint32).tobytes() for i in range(rows)], pa.binary()),
-            "wide": pa.array([bool(totals.max(initial=0) >> 32)] * rows),
-            "types": pa.array([int((totals > 0).sum()), *none], pa.int64()),
-            "frequent": pa.array([list(zip(signed(values[frequent]).tolist(), totals[frequent].tolist())), *[[]] * (rows - 1)], pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int64())]))),
+            "reply": pa.array([_squeeze(reply[a:b]) for a, b in zip(edges, edges[1:])], pa.binary()),
+            "types": pa.array([types, *[0] * (rows - 1)], pa.int64()),
         }
     )
 
 
-def _grams(batches: Iterator[pa.RecordBatch], model: Automaton, order: int) -> Iterator[pa.RecordBatch]:
-    """Counts of (state of order − 1 words, token), where both that state and the token's own suffix run are states."""
-    for batch in batches:
-        for blob in batch.column("blob"):
-            keys, counts = [np.empty(0, U)], [np.empty(0, np.int64)]
-            states, tokens_of = [np.empty(0, np.int64)], [np.empty(0, U)]
-            for _, tokens, first, train in _unpack(blob.as_buffer()):
-                at, state = _runs(model, tokens, first, train, order)
-                key, place, count = np.unique(_arc(state, tokens[at]), return_index=True, return_counts=True)
-                keys.append(key)
-                counts.append(count)
-                states.append(state[place])
-                tokens_of.append(tokens[at][place])
-            key, place, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(states)[place], pa.int64()), pa.array(signed(np.concatenate(tokens_of)[place])), pa.array(np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64))], names=["state", "token", "count"]
-            )
-
-
-def _runs(model: Automaton, tokens: np.ndarray, first: np.ndarray, train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of tokens that a state of exactly order − 1 words precedes and whose shorter run is in the model; those states."""
-    words = _find(model.words, tokens)
-    level = words + 1
-    begins = np.zeros(len(tokens) + 1, bool)
-    begins[first] = True
-    joined = ~begins[1 : len(tokens)]
-    for k in range(2, order + 1):
-        at = np.flatnonzero((level[:-1] > 0) & joined) + 1
-        if k == order:
-            at = at[train[at]]
-            state = level[at - 1]
-            if order == 2:
-                keep = (words[at] >= 0) | (tokens[at] == END)
+def _totals(asked: pa.Table, floor: float) -> pa.Table:
+    """Twice the total of each key that was asked for, and one more for the chunk that the key is entrusted to."""
+    asked, edges, first, inverse, values = _gathered(asked)
+    kind = asked.column("kind")[0].as_py()
+    counts = np.concatenate([_unsqueeze(x, b - a, np.uint32) for x, a, b in zip(asked.column("x"), edges, edges[1:])])
+    totals = np.bincount(inverse, counts, len(values)).astype(np.int64)
+    types = int((totals > 0).sum()) if kind == 1 else 0
+    if kind > 1:
+        totals[totals < floor] = 0
+    reply = 2 * totals[inverse]
+    reply[first] += 1
+    return _reply(asked, edges, kind, reply, types)
+
+
+def _weights(asked: pa.Table) -> pa.Table:
+    """The backoff weight of each state that was asked for; its kind is −k for a state of k tokens."""
+    asked, edges, _, inverse, values = _gathered(asked)
+    kept, covered = (np.bincount(inverse, np.concatenate([_unsqueeze(x, b - a, np.float64) for x, a, b in zip(asked.column(c), edges, edges[1:])]), len(values)) for c in "xy")
+    back = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - covered, 1e-12))
+    return _reply(asked, edges, asked.column("kind")[0].as_py(), back[inverse].astype(np.float32), 0)
+
+
+class Walk:
+    """A chunk with the counts of its n-grams: which are states, which are arcs, and the arcs' probabilities."""
+
+    def __init__(self, blob, replies: pa.Table, root: Root):
+        options = root.options
+        self.chunk, self.root = Chunk(blob, options.order), root
+        found = {(k, p): x for k, p, x in zip(replies.column("kind").to_pylist(), replies.column("part").to_pylist(), replies.column("reply"))}
+        self.found = found
+        self.total, self.mine, self.arc, self.state, self.prob, self.end, self.prefix = {}, {}, {}, {}, {}, {}, {}
+        for k in range(1, options.order + 1):
+            reply = self.answers(k, self.chunk.keys[k], np.int64)
+            self.total[k], self.mine[k] = reply >> 1, (reply & 1).astype(bool)
+            end = self.end[k] = self.chunk.some_end(k)
+            last = self.chunk.tokens[end] == END
+            if k == 1:
+                self.prob[1] = root.probability(self.total[1])
+                frequent = self.total[1] >= max(options.state_share * root.tokens, 1)
+                self.arc[1], self.state[1] = frequent | last, frequent & ~last
             else:
-                keep = model.arcs(model.fail[state], tokens[at]) >= 0
-            return at[keep], state[keep]
-        found = model.arcs(level[at - 1], tokens[at])
-        level = np.zeros(len(tokens), np.int64)
-        level[at[found >= 0]] = model.to[found[found >= 0]]
-    raise ValueError("order is 2 at least")
-
-
-def train(packed: DataFrame, options: Backoff) -> tuple[Automaton, DataFrame]:
-    """The automaton and the answers (chunk, part, totals, wide) for a chunk table."""
-    spark = packed.sparkSession
-    about = packed.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
-    parts, total = max(1, about["n"]), about["tokens"]
-    asked = packed.select("chunk", "blob").mapInArrow(lambda b: _ask(b, parts), "part long, chunk long, tokens binary, counts binary")
-    least = options.state_share * total
-    answers = checkpointed(
-        asked.groupBy("part").applyInArrow(lambda x: _answer(x, least), "chunk long, part long, totals binary, wide boolean, types long, frequent array<struct<token:long,count:long>>")
-    )
-    types = answers.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()["types"]
-    # At most 1 / state_share rows.
-    rows = answers.select(F.explode("frequent").alias("x")).select("x.token", "x.count").collect()
-    tokens = np.array([r["token"] for r in rows], np.int64).view(U)
-    counts = np.array([r["count"] for r in rows], np.int64)
-    order = np.argsort(tokens)
-    tokens, counts = tokens[order], counts[order]
-    end = tokens == END
-    words = tokens[~end]
-    size = len(words) + 1
-    model = Automaton(words, np.empty(0, U), np.empty(0), np.empty(0, np.int64), np.zeros(size, np.int64), np.zeros(size), total, types, options.discount)
-    root = dict(zip(tokens.tolist(), model.root(counts).tolist()))
-    seen = np.concatenate(([total], counts[~end])).astype(float)  # how often each state was left
-    low, high = 1, size
-    states_of, tokens_of, logs_of, to_of = [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0)], [np.empty(0, np.int64)]
-    for n in range(2, options.order + 1):
-        held = spark.sparkContext.broadcast(model)
-        found = packed.select("blob").mapInArrow(lambda b, held=held, n=n: _grams(b, held.value, n), "state long, token long, count long")
-        floor = max(options.least_count, options.gram_share * total)
-        # At most 1 / gram_share rows.
-        rows = found.groupBy("state", "token").agg(F.sum("count").alias("count")).filter(F.col("count") >= floor).toPandas().sort_values(["state", "token"])
-        held.unpersist()
-        state, token, count = rows["state"].to_numpy(np.int64), rows["token"].to_numpy(np.int64).view(U), rows["count"].to_numpy(float)
-        logs = np.log10((count - options.discount) / seen[state]) if len(state) else np.empty(0)
-        if n == 2:
-            below = np.array([root[x] for x in token.tolist()])
-            suffix = _find(model.words, token) + 1
-        else:
-            arc = model.arcs(model.fail[state], token)
-            below, suffix = model.logs[arc], model.to[arc]
-        size = len(model.fail)
-        kept = np.bincount(state, 10**logs, size)[low:high]
-        covered = np.bincount(state, 10**below, size)[low:high]
-        back = model.back.copy()
-        back[low:high] = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - covered, 1e-12))
-        onward = np.flatnonzero(token != END) if n < options.order else np.empty(0, np.int64)
-        to = np.zeros(len(token), np.int64)
-        to[onward] = high + np.arange(len(onward))
-        seen = np.concatenate((seen, count[onward]))
-        states_of.append(state)
-        tokens_of.append(token)
-        logs_of.append(logs)
-        to_of.append(to)
-        keys = _arc(np.concatenate(states_of), np.concatenate(tokens_of))
-        order = np.argsort(keys)
-        model = Automaton(
-            model.words, keys[order], np.concatenate(logs_of)[order], np.concatenate(to_of)[order], np.concatenate((model.fail, suffix[onward])), np.concatenate((back, np.zeros(len(onward)))), total, types, options.discount
-        )
-        low, high = high, high + len(onward)
-        if not len(onward):
-            break
-    return model, answers.select("chunk", "part", "totals", "wide")
+                prefix, suffix = self.chunk.of[k - 1][end - 1], self.chunk.of[k - 1][end]
+                self.prefix[k] = prefix
+                self.arc[k] = (self.total[k] > 0) & self.state[k - 1][prefix] & self.arc[k - 1][suffix]
+                self.state[k] = self.arc[k] & ~last
+                self.prob[k] = np.where(self.arc[k], (self.total[k] - options.discount) / np.maximum(self.total[k - 1][prefix], 1), 0)
+
+    def answers(self, kind: int, keys: np.ndarray, dtype: type) -> np.ndarray:
+        edges = _edges(keys, self.root.parts)
+        parts = [_unsqueeze(self.found[kind, p], b - a, dtype) for p, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        return np.concatenate(parts) if parts else np.empty(0, dtype)
+
+    def shares(self, number: int) -> Iterator[pa.RecordBatch]:
+        """For each state, what the arcs entrusted to this chunk take of it and what the shorter state gives to their tokens."""
+        for k in range(1, self.root.options.order):
+            arcs = np.flatnonzero(self.arc[k + 1] & self.mine[k + 1])
+            into, lower = self.prefix[k + 1][arcs], self.chunk.of[k][self.end[k + 1][arcs]]
+            size, on = len(self.chunk.keys[k]), self.state[k]
+            kept, covered = np.bincount(into, self.prob[k + 1][arcs], size), np.bincount(into, self.prob[k][lower], size)
+            yield _question(-k, number, self.chunk.keys[k][on], kept[on], covered[on], self.root.parts)
+
+    def log_probabilities(self) -> np.ndarray:
+        """log10 probability of each token, read left to right."""
+        of = self.chunk.of
+        total = np.log10(self.prob[1])[of[1]]
+        for k in range(1, self.root.options.order):
+            back = np.zeros(len(self.chunk.keys[k]))
+            back[self.state[k]] = self.answers(-k, self.chunk.keys[k][self.state[k]], np.float32)
+            at = self.chunk.ends[k + 1]
+            state, gram = of[k][at - 1], of[k + 1][at]
+            on = self.state[k][state]
+            at, state, gram = at[on], state[on], gram[on]
+            hit = self.arc[k + 1][gram]
+            total[at] = np.where(hit, np.log10(np.where(hit, self.prob[k + 1][gram], 1)), back[state] + total[at])
+        return total
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(chunk: pa.Table, answers: pa.Table, model: Automaton, parts: int) -> Iterator[pa.RecordBatch]:
-    for blob in chunk.column("blob"):
-        blob = blob.as_buffer()
-        values, _ = _distinct(blob)
-        totals = np.zeros(len(values), np.int64)
-        replies = {k: np.frombuffer(x.as_buffer(), np.int64 if wide.as_py() else np.uint32) for k, x, wide in zip(answers.column("part").to_pylist(), answers.column("totals"), answers.column("wide"))}
-        for k, at in _by_part((values % U(parts)).astype(np.int64), parts):
-            totals[at] = replies[k]
-        for part, tokens, first, train_tokens in _unpack(blob):
-            counts = totals[np.searchsorted(values, tokens)]
-            base = np.log10((counts + 1) / (model.tokens + model.types + 1))
-            logs = log_probabilities(model, tokens, first, counts)
-            begin = first[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array(~part.column("train").to_numpy(zero_copy_only=False)),
-                    pa.array(np.diff(first), pa.int64()),
-                    pa.array(np.add.reduceat((counts > 0).astype(np.int64), begin)),
-                    pa.array(np.full(len(begin), model.tokens), pa.int64()),
-                    pa.array(np.add.reduceat(base, begin)),
-                    pa.array(np.add.reduceat(logs, begin)),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+def _score(blob, replies: pa.Table, root: Root) -> Iterator[pa.RecordBatch]:
+    walk = Walk(blob, replies, root)
+    counts = walk.total[1][walk.chunk.of[1]]
+    base, logs = np.log10((counts + 1) / (root.tokens + root.types + 1)), walk.log_probabilities()
+    for part, first in walk.chunk.pieces:
+        whole = slice(first[0], first[-1])
+        begin = first[:-1] - first[0]
+        yield pa.RecordBatch.from_arrays(
+            [
+                part.column("doc_id"),
+                pa.array(~part.column("train").to_numpy(zero_copy_only=False)),
+                pa.array(np.diff(first), pa.int64()),
+                pa.array(np.add.reduceat((counts[whole] > 0).astype(np.int64), begin)),
+                pa.array(np.full(len(begin), root.tokens), pa.int64()),
+                pa.array(np.add.reduceat(base[whole], begin)),
+                pa.array(np.add.reduceat(logs[whole], begin)),
+            ],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
 
 def scores(documents: DataFrame, options: Backoff = Backoff(), modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -376,12 +323,25 @@ def scores(documents: DataFrame, options: Backoff = Backoff(), modulus: int = 7,
     train_row = F.coalesce(crc_mod("doc_id", modulus) != remainder, F.lit(True)).alias("train")
     docs = documents.select("doc_id", "text", train_row)
     packed = checkpointed(docs.mapInArrow(_pack, "chunk long, blob binary, tokens long"))
-    model, answers = train(packed, options)
-    parts = max(1, packed.count())
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    about = packed.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    root = Root(options, max(1, about["n"] // 2), about["tokens"])
+    floor = max(options.least_count, options.gram_share * root.tokens)
+    texts = packed.select("chunk", "blob")
+    asked = texts.mapInArrow(lambda b: _ask(b, options.order, root.parts), QUESTIONS)
+    with shuffles_removed(documents.sparkSession):
+        totals = checkpointed(asked.groupBy("kind", "part").applyInArrow(lambda x: _totals(x, floor), ANSWERS))
+    known = Root(options, root.parts, root.tokens, totals.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()["types"])
+
+    def share(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        found = [x for number, blob in zip(chunk.column("chunk").to_pylist(), chunk.column("blob")) for x in Walk(blob.as_buffer(), replies, known).shares(number)]
+        return pa.Table.from_batches(found)
 
     def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        found = list(_score(chunk, replies, held.value, parts))
-        return pa.Table.from_batches(found) if found else chunk.schema.empty_table()
-
-    return packed.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORES)
+        return pa.Table.from_batches([x for blob in chunk.column("blob") for x in _score(blob.as_buffer(), replies, known)])
+
+    if options.order > 1:
+        shares = texts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(share, QUESTIONS)
+        with shuffles_removed(documents.sparkSession):
+            weights = checkpointed(shares.groupBy("kind", "part").applyInArrow(_weights, ANSWERS))
+        totals = totals.union(weights)
+    return texts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, SCORES)

@@ -137,3 +137,16 @@ def test_scores_of_nothing_and_without_training(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     got = scores(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).collect()
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(True, 3, 0, 0, 0.0, 0.0)]
+
+
+def test_repeated_grams_count_however_large_the_corpus(spark):
+    """A rare word pair and triple in a long corpus, where a floor by share of the tokens would drop them."""
+    filler = " ".join(f"f{i % 977} g{i % 13}" for i in range(60_000))
+    rows = [(i, filler) for i in range(100, 112)] + [(i, f"rare{i % 3} pair{i % 3} here{i % 3}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = {i: [*words(t, True), None] for i, t in rows}
+    score, *_ = plain_backoff([tokens[i] for i, _ in rows if not held(i)], Backoff(state_share=0, gram_share=0))
+    got = {r.doc_id: r.score for r in scores(docs).collect()}
+    assert len(got) == len(rows)
+    assert all(abs(got[i] - score(tokens[i])) < 1e-5 for i in range(40))
