@@ -20,8 +20,8 @@ from tessera.llm.mixing import mixed
 from tessera.llm.near_dedup import BROADCAST_ROWS, near_duplicates
 from tessera.llm.packing import packed
 
-#: Documents whose words are, on the mean, less likely than this to be of the predicted language are rejected.
-LEAST_LANGUAGE_SCORE = 0.4
+#: Documents are rejected if a smaller share of their words has a clear language, be it the document's own or another.
+LEAST_CLEAR_SHARE = 0.4
 
 
 def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
@@ -33,7 +33,7 @@ def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters (null and empty ones too) and those in no recognisable language; fills a null lang."""
     ship_package(spark)
-    told = with_language(docs, ("_lang_pred", "_lang_score")).filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE))
+    told = with_language(docs, ("_lang_pred", "_lang_score", "_lang_clear")).filter((F.col("_lang_pred") != "und") & (F.col("_lang_clear") >= LEAST_CLEAR_SHARE))
     return told.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(docs.columns)
 
 

@@ -4,9 +4,10 @@ Every word has features of its bytes (affixes, n-grams inside the word) and of t
 each language; learned transitions tie the languages of neighbouring words. Forward-backward over a whole document gives each
 word a distribution over languages, and their mean over the document's words decides.
 
-The field is fitted on a bounded sample of labelled rows (``train_rows`` rows of at most ``train_chars`` characters, both
-parameters): their whole texts are cut into short runs of words, and runs of all languages are shuffled together, so the field
-learns from switched text. Prediction is one map over the texts: emissions are computed once for each distinct word of a chunk,
+The field is fitted on a bounded sample of labelled rows: about ``train_rows``, dealt to the languages by their share, but
+``language_rows`` of each language or all that it has. Of a text longer than ``train_chars`` characters a stretch of that
+length is taken, anywhere in it. The texts are cut into short runs of words, and runs of all languages are shuffled together,
+so the field learns from switched text. Prediction is one map over the texts: emissions are computed once for each distinct word of a chunk,
 and forward-backward runs over all documents of a chunk at once, in blocks of words whose transfer matrices join exactly, so
 that a very long text does not cost one step for each of its words.
 """
@@ -19,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import crc_mod, hash_sample
+from tessera.llm.common import checkpointed, crc_mod
 from tessera.llm.words import CHUNK_BYTES, PLACE, Texts, U, chunks, mix
 
 #: Words in a block of the forward-backward pass.
@@ -38,8 +39,10 @@ class Field:
     affixes: tuple[int, ...] = (1, 2, 3, 4)
     grams: tuple[int, ...] = (2, 3)
     lexicon_count: int = 2
-    train_rows: int = 300
+    train_rows: int = 600
+    language_rows: int = 40
     train_chars: int = 20_000
+    sure: float = 0.5
     run_words: int = 12
     sequence_words: int = 48
     steps: int = 40
@@ -236,7 +239,7 @@ def _lettered(texts: Texts) -> np.ndarray:
 PREDICTIONS = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model, field: Field, keep: tuple[str, ...] = ("doc_id", "held_out"), names: tuple[str, str] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model, field: Field, keep: tuple[str, ...] = ("doc_id", "held_out"), names: tuple[str, ...] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text", CHUNK_BYTES // 2):
             texts = Texts(part.column("text"), lower=True)
@@ -249,6 +252,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, field: Field, keep
                 if not any(c.isalpha() for c in part.column("text")[int(i)].as_py()):
                     size[i] = 0
             mean = np.zeros((len(texts), max(1, len(model.labels))))
+            sure = np.zeros(len(texts))
             if len(lettered) and model.labels:
                 _, at, of = np.unique(texts.hashes[lettered], return_index=True, return_inverse=True)
                 bucket, word = features(texts.data, texts.starts[lettered[at]], texts.ends[lettered[at]], field)
@@ -257,24 +261,43 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, field: Field, keep
                 some = np.flatnonzero(size)
                 total = np.concatenate((np.zeros((1, found.shape[1])), np.cumsum(found, 0)))
                 mean[some] = (total[first[some + 1]] - total[first[some]]) / size[some, None]
+                clear = np.concatenate(([0], np.cumsum(found.max(1) >= field.sure)))
+                sure[some] = (clear[first[some + 1]] - clear[first[some]]) / size[some]
             best = mean.argmax(1)
             known = (size > 0) & bool(model.labels)
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in keep), pa.array([model.labels[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, np.clip(mean.max(1), 0, 1), 0.0))],
-                names=[*keep, *names],
-            )
+            told = [pa.array([model.labels[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, np.clip(mean.max(1), 0, 1), 0.0)), pa.array(sure)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *told[: len(names)]], names=[*keep, *names])
 
 
 def fitted(documents: DataFrame, field: Field = Field(), modulus: int = 3, remainder: int = 1) -> Model:
     """The field fitted to a sample of the labelled documents that are not held out."""
-    labelled = documents.filter(F.coalesce(crc_mod("doc_id", modulus) != remainder, F.lit(True)) & F.col("lang").isNotNull())
-    usable = labelled.filter(F.length("text") <= field.train_chars).select("doc_id", "text", "lang")
-    sample = hash_sample(usable, labelled.count(), ("doc_id", "text", "lang"), field.train_rows)
+    labelled = documents.filter(F.coalesce(crc_mod("doc_id", modulus) != remainder, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sample = _sample(labelled.select("doc_id", "text", "lang"), field)
     # Fitted in a task, so that the driver holds no texts and none of the arrays; what comes back is the model.
     found = sample.select("lang", "text").mapInArrow(lambda b: _fit(b, field), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit([], field)
 
 
+def _sample(usable: DataFrame, field: Field) -> DataFrame:
+    """Rows of every language by the smallest hash, long texts cut to a stretch that the hash places."""
+    counts = checkpointed(usable.groupBy("lang").agg(F.count("*").alias("rows")))
+    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    share = F.ceil(F.col("rows") * field.train_rows / F.lit(max(total, 1)))
+    counts = counts.withColumn("quota", F.greatest(share, F.lit(field.language_rows)))
+    order = F.xxhash64("doc_id", "text", "lang")
+    # Only rows of small hash reach the window: a few times the quota of each language.
+    near = usable.join(F.broadcast(counts), "lang").withColumn("order", order).filter(F.shiftrightunsigned("order", 32) < 4 * F.col("quota") / F.col("rows") * (1 << 32))
+    places = Window.partitionBy("lang").orderBy("order", "doc_id", "text")
+    spare = F.length("text") - field.train_chars
+    stretch = F.substring("text", (F.pmod("order", spare + 1) + 1).cast("int"), F.lit(field.train_chars))
+    # Words that the stretch cuts go, unless they are all of it.
+    whole = F.regexp_replace(stretch, r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]|[\x20\x09-\x0D][^\x20\x09-\x0D]*$", "")
+    near = near.withColumn("text", F.when(spare > 0, whole).otherwise(F.col("text")))
+    taken = near.withColumn("place", F.row_number().over(places)).filter(F.col("place") <= F.col("quota"))
+    # One order and one partition, so that a rerun fits alike.
+    return taken.orderBy("order", "doc_id", "lang", "text").coalesce(1)
+
+
 def _fit(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
     rows = [(lang, text) for batch in batches for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())]
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, field))], pa.binary())], names=["model"])
@@ -294,10 +317,11 @@ def languages(documents: DataFrame, field: Field = Field(), modulus: int = 3, re
     return docs.mapInArrow(lambda b: _predict(b, held.value, field), PREDICTIONS)
 
 
-def with_language(documents: DataFrame, names: tuple[str, str], field: Field = Field(), model: Model | None = None) -> DataFrame:
-    """The rows of ``documents`` with all their columns and the predicted language and its score, under ``names``."""
+def with_language(documents: DataFrame, names: tuple[str, str, str], field: Field = Field(), model: Model | None = None) -> DataFrame:
+    """The rows of ``documents`` with all their columns and, under ``names``, the predicted language, its score, and the share of
+    words (with letters) that are of some one language with a probability of ``sure``."""
     model = fitted(documents, field) if model is None else model
     held = documents.sparkSession.sparkContext.broadcast(model)
     keep = tuple(documents.columns)
-    schema = T.StructType([*documents.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    schema = T.StructType([*documents.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())])
     return documents.mapInArrow(lambda b: _predict(b, held.value, field, keep, names), schema)

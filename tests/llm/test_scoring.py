@@ -150,3 +150,20 @@ def test_repeated_grams_count_however_large_the_corpus(spark):
     got = {r.doc_id: r.score for r in scores(docs).collect()}
     assert len(got) == len(rows)
     assert all(abs(got[i] - score(tokens[i])) < 1e-5 for i in range(40))
+
+
+def test_rare_and_long_languages_are_learned_and_switching_is_kept(spark):
+    from corpus_pipeline import language_id
+
+    make = lambda parts, i, n: " ".join(parts[(i * 7 + j * j) % len(parts)] + parts[(i + j) % len(parts)] for j in range(n))
+    kinds = {"aa": ["ka", "ko", "ki", "ku"], "bb": ["zan", "zen", "zin", "zon"], "cc": ["plu", "plo", "ple", "pli"], "dd": ["wey", "way", "wuy", "woy"]}
+    rows = [(i, make(kinds["aa"], i, 30), "aa") for i in range(2000)]
+    rows += [(3000 + i, make(kinds["bb"], i, 30), "bb") for i in range(6)]  # rare
+    rows += [(4000 + i, make(kinds["cc"], i, 4000), "cc") for i in range(6)]  # long texts only
+    rows += [(4500 + i, make(kinds["dd"], i, 30), "dd") for i in range(30)]
+    switched = " ".join(make(kinds[k], 1, 20) for k in kinds)
+    rows += [(5000, switched, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in languages(docs, Field(steps=15)).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if lang and i >= 2000)
+    assert not language_id(spark, docs.filter("doc_id = 5000 or doc_id % 7 <> 0"), "").filter("doc_id = 5000").isEmpty()
