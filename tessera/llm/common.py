@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -19,10 +20,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only a session that names none (a test) gets a folder of its own."""
+    """The cluster's ``spark.checkpoint.dir``; only a local session that names none (a test) gets a folder of its own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -44,6 +48,34 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+class Scratch:
+    """Intermediate tables of one run as Parquet in the shared folder: a written table cuts the lineage as a checkpoint does, takes
+    less room, and can be dropped as soon as nothing reads it. What is left goes when the session ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.count, self.paths = spark, 0, {}
+        self.folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.fs = spark._jvm.org.apache.hadoop.fs
+        self._fs(self.folder).deleteOnExit(self.fs.Path(self.folder))
+
+    def _fs(self, path: str):
+        return self.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` computed once and read back; its shuffle files go with the action."""
+        path, self.count = f"{self.folder}/{self.count}", self.count + 1
+        with shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (path, table)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path, _ = self.paths.pop(id(table))
+            self._fs(path).delete(self.fs.Path(path), True)
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words as long; 0 for null."""
     return F.coalesce(F.regexp_count(text if isinstance(text, Column) else F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -54,6 +86,12 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
 
 
+def row_name(*columns: str) -> Column:
+    """A name of 32 hexadecimal digits (128 bits) for a row: two differently seeded hashes of these columns, nulls included."""
+    parts = [F.struct(F.col(c).isNull(), F.col(c)) for c in columns]
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in (1, 2)])
+
+
 def crc_mod(doc_id: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

@@ -10,13 +10,15 @@ Steps, all on Spark:
 1. One pass over the texts gives each document its distinct-shingle count, a 128-bit fingerprint of its shingle set and its
    2·m sub-keys. Documents of one fingerprint collapse into a class, so exact copies take part once.
 2. Sub-keys that only one class has are dropped; table keys are formed from what is left. A pair collides in table (i, j)
-   exactly if it collides in left i and right j, so nothing is lost.
-3. Every class is compared with representatives of its buckets, a few in each round, and shingle sets confirm each pair.
-   Linked classes form components, which the next round takes into account.
-4. Classes that share a bucket and are still in different components are compared by an exact prefix-filter join on their
-   sets: in a common order, here rarest first, two sets of similarity t share one of their first n − ⌈t·n⌉ + 1 shingles, and
-   behind the first that they share both have enough shingles left for the overlap that t asks for. So links that the
-   representatives could not show are found without listing the pairs of a bucket.
+   exactly if it collides in left i and right j, so nothing is lost. Each bucket has a head: the class whose sub-keys are
+   shared most, which in a group of copies is the one that most of them come from.
+3. Every class is compared with the head that it meets most prominently, on the full sets, and linked classes form components.
+   In buckets that still hold several components, every class is then compared with every head.
+4. What is left are pairs (a, b) of one bucket, neither linked to its head p. Their sets differ from the head's in δa and δb, and
+   |a Δ b| = |δa| + |δb| − 2·|δa ∩ δb|. At similarity t, |a Δ b| is at most (1 − t)/(1 + t)·(|a| + |b|), so δa and δb must
+   share so many members that a prefix filter on them, rarest first, leaves few candidates: what all of a group have from the
+   head, which makes prefixes of whole sets meet in pairs, is in no δ. If that bound asks for no shared member, a and b are
+   both linked to p and need no comparison. So no link between different components is lost, and no pairs of a bucket are listed.
 """
 
 from __future__ import annotations
@@ -29,14 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, row_key
+from tessera.llm.common import Scratch, row_name
 from tessera.llm.components import components
 from tessera.llm.words import PLACE, Texts, U, chunks, constants, mix, signed, unique_per_text
 
-#: Lists of up to this many classes (8 bytes each) are sent to every executor; longer ones are shuffled.
-BROADCAST_ROWS = 1_000_000
-#: Representatives that a class is compared with in each round.
-ROUNDS = (6,)
+#: Lists of up to this many classes (48 bytes each) are sent to every executor; longer ones are shuffled.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -115,97 +115,128 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return 100 * common >= percent * (F.size(a) + F.size(b) - common)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the shingle sets of both."""
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    return pairs.join(first, "a").join(other, "b").filter(_alike("of_a", "of_b", percent)).select("a", "b")
+    return pairs.join(first, "a").join(other, "b")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity."""
+    return _with_sets(pairs, sets).filter(_alike("of_a", "of_b", percent)).select("a", "b")
 
 
 def _could_link(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """The rows with the component of ``node``; a class without links is its own."""
+    found = labels.select(F.col("node").alias(node), F.col("label").alias("_found"))
+    return rows.join(found, node, "left").withColumn(label, F.coalesce("_found", node)).drop("_found")
+
+
 def near_duplicates(documents: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, row) for every row of ``documents`` (doc_id, text; other columns are ignored).
 
     A-Z count as lower case. A null or blank text has an empty set and is linked with nothing. ``component_id`` is the
     smallest doc_id reached, ``kept`` whether it is the row's own. A null doc_id counts as larger than any other: it is a
     component's id only where all of its ids are null. Rows that repeat a doc_id are judged each by its own text. An empty
-    table gives no rows. ``row`` is a hash of doc_id and text, which tells rows of one doc_id apart.
+    table gives no rows. ``row`` is a 128-bit name of doc_id and text, which tells rows of one doc_id apart.
     """
-    docs = documents.select("doc_id", "text").withColumn("row", row_key("doc_id", "text"))
-    signed_docs = checkpointed(
-        docs.mapInArrow(lambda b: _signatures(b, banding), "doc_id long, row long, n_shingles long, node binary, keys array<long>")
+    percent = banding.percent
+    scratch = Scratch(documents.sparkSession)
+    docs = documents.select("doc_id", "text").withColumn("row", row_name("doc_id", "text"))
+    signed_docs = scratch.keep(
+        docs.mapInArrow(lambda b: _signatures(b, banding), "doc_id long, row string, n_shingles long, node binary, keys array<long>")
     )
-    ids = signed_docs.select("doc_id", "row", "n_shingles", "node")
-    classes = checkpointed(
+    ids = scratch.keep(signed_docs.select("doc_id", "row", "n_shingles", "node"))
+    classes = scratch.keep(
         signed_docs.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     )
+    scratch.drop(signed_docs)
 
-    # Step 2: sub-keys that two classes share, and the tables formed from them.
+    # Step 2: sub-keys that two classes share, the tables formed from them, and the heads of their buckets.
     sub = classes.select("node", "n", F.posexplode("keys").alias("i", "key"))
-    shared = sub.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    hits = sub.join(shared, "key", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "key")).alias("hits"))
+    shared = sub.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    hits = sub.join(shared, "key").groupBy("node").agg(F.first("n").alias("n"), F.sum("members").alias("weight"), F.collect_list(F.struct("i", "key")).alias("hits"))
     side = lambda cond: F.filter("hits", lambda x: cond(x["i"]))
     tables = (
         hits.withColumn("right", side(lambda i: i >= banding.collection))
-        .select("node", "n", F.explode(side(lambda i: i < banding.collection)).alias("x"), "right")
-        .select("node", "n", F.col("x.key").alias("key"), F.explode("right").alias("y"))
-        .select("node", "n", F.xxhash64("key", "y.key").alias("table"))
+        .select("node", "n", "weight", F.explode(side(lambda i: i < banding.collection)).alias("x"), "right")
+        .select("node", "n", "weight", F.col("x.key").alias("key"), F.explode("right").alias("y"))
+        .select("node", "n", "weight", F.xxhash64("key", "y.key").alias("table"))
     )
-    tables = checkpointed(tables)
-    buckets = tables.groupBy("table").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("table")
-    met = checkpointed(tables.join(buckets, "table", "left_semi"))
+    tables = scratch.keep(tables)
+    first = F.max_by(F.struct("node", "n", "weight"), F.struct("weight", "node")).alias("first")
+    heads = tables.groupBy("table").agg(first, F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    heads = heads.select("table", F.col("first.node").alias("head"), F.col("first.n").alias("head_n"), F.col("first.weight").alias("head_weight"))
+    met = scratch.keep(tables.join(heads, "table").filter("node <> head").drop("weight"))
+    scratch.drop(tables)
 
     # Shingle sets of one row for each class that met another.
-    wanted = checkpointed(classes.join(met.select("node").distinct(), "node", "left_semi").select("row", "node"))
+    named = met.select("node").union(met.select("head")).distinct()
+    wanted = scratch.keep(classes.join(named, "node", "left_semi").select("row", "node"))
     few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "row").select("node", "text")
-    sets = texts.mapInArrow(lambda b: _sets(b, banding), "node binary, shingles array<long>")
-    sets = checkpointed(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
-
-    # Step 3: classes with representatives of their buckets, in rounds of other representatives; buckets of one component
-    # need no more of them.
-    named = lambda x: x.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_, links = met.withColumn("label", F.col("node")), None
-    for salt, heads in enumerate(ROUNDS):
-        draw = F.xxhash64("node", F.lit(salt))
-        head = open_.groupBy("table").agg(F.min_by(F.struct("node", "n", "label"), draw).alias("head"))
-        differs = (F.col("label") != F.col("head.label")) & _could_link(F.col("n"), F.col("head.n"), banding.percent)
-        pairs = open_.join(head, "table").filter(differs).groupBy("node").agg(F.slice(F.array_sort(F.collect_set("head.node")), 1, heads).alias("b"))
-        found = _confirmed(pairs.select(F.col("node").alias("a"), F.explode("b").alias("b")), sets, banding.percent)
-        links = checkpointed(found if links is None else links.union(found))
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "row").groupBy("node").agg(F.first("text").alias("text"))
+    sets = scratch.keep(texts.mapInArrow(lambda b: _sets(b, banding), "node binary, shingles array<long>"))
+    owners = scratch.keep(classes.select("node", "least_id"))
+    scratch.drop(classes, wanted)
+
+    # Step 3: each class with its most prominent head, then with all heads of the buckets that are not of one component.
+    fits = met.filter(_could_link(F.col("n"), F.col("head_n"), percent))
+    told = scratch.keep(fits.groupBy(F.col("node").alias("a")).agg(F.max_by("head", F.struct("head_weight", "head")).alias("b")))
+    links = scratch.keep(_confirmed(told, sets, percent))
+    labels = components(links)
+    both = _labelled(_labelled(met.drop("head_weight"), labels), labels, "head", "head_label")
+    met2 = scratch.keep(both)
+    scratch.drop(met)
+    spread = lambda low, high: met2.groupBy("table").agg(F.min(low).alias("low"), F.max(high).alias("high")).filter("low <> high").select("table")
+    open_ = met2.join(spread(F.least("label", "head_label"), F.greatest("label", "head_label")), "table", "left_semi")
+    fits = open_.filter((F.col("label") != F.col("head_label")) & _could_link(F.col("n"), F.col("head_n"), percent))
+    rest = fits.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct().join(told, ["a", "b"], "left_anti")
+    more = scratch.keep(_confirmed(rest, sets, percent))
+    if not more.isEmpty():
+        links = scratch.keep(links.union(more))
         labels = components(links)
-        placed = checkpointed(named(met))
-        split = placed.groupBy("table").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("table")
-        open_ = checkpointed(placed.join(split, "table", "left_semi"))
 
-    # Step 4: what is still apart in a bucket.
-    apart = checkpointed(open_.select("node", "label").distinct().join(sets, "node"))
-    more = checkpointed(_confirmed(_prefix_pairs(apart, banding.percent), sets, banding.percent))
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    # Step 4: classes of different components in one bucket, by how they differ from its head.
+    met3 = _labelled(met2.drop("label", "head_label", "head_n"), labels)
+    held = met3.groupBy("table").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("table")
+    apart = scratch.keep(met3.join(held, "table", "left_semi").select(F.col("node").alias("a"), F.col("head").alias("b"), "label", "n").distinct())
+    deltas = scratch.keep(
+        _with_sets(apart, sets).select("a", F.col("b").alias("head"), "label", "n", F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a")).alias("delta"))
+    )
+    last = scratch.keep(_confirmed(_delta_pairs(deltas, percent), sets, percent))
+    if not last.isEmpty():
+        labels = components(links.union(last))
 
-    grouped = named(classes.select("node", "least_id"))
+    grouped = _labelled(owners, labels)
     whole = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    found = grouped.select("node", "label").join(whole, "label").select("node", "component_id")
+    found = scratch.keep(grouped.select("node", "label").join(whole, "label").select("node", "component_id"))
+    scratch.drop(met2, sets, owners, apart, deltas)
     linked = ids.filter("n_shingles > 0").join(found, "node")
     alone = ids.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     names = ["doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row"]
     return linked.select(*names).union(alone.select(*names))
 
 
-def _prefix_pairs(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels that share a prefix shingle: all that can reach the similarity."""
-    each = apart.select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    common = each.groupBy("shingle").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
-    # The order is total (members, then shingle); shingles of one label only keep their places, but join nothing.
-    ranked = each.join(common, "shingle").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("members", "shingle", (F.col("low") != F.col("high")).alias("open")))).alias("rest"))
-    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = ranked.select("node", "label", "n", F.posexplode(F.slice("rest", F.lit(1), length)).alias("place", "x")).filter("x.open").select("node", "label", "n", (F.col("n") - F.col("place")).alias("left"), "x.shingle")
-    first, other = (prefix.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n", "left")]) for side in "ab")
-    # As the first shingle that the pair shares, it and what is left behind it must hold the overlap that is asked for.
-    enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    near = first.join(other, "shingle").filter((F.col("label_a") < F.col("label_b")) & enough)
-    return near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+def _delta_pairs(deltas: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels whose differences from one head share as many members as the similarity asks for."""
+    changed = F.size("delta")
+    each = deltas.select("head", "a", "label", "n", changed.alias("changed"), F.explode("delta").alias("shingle"))
+    common = each.groupBy("head", "shingle").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+    common = common.filter("low <> high").select("head", "shingle", "members")
+    # Members that only one component has can't be shared; the others are in one total order (members, then shingle).
+    ranked = each.join(common, ["head", "shingle"]).groupBy("head", "a", "label", "n", "changed").agg(F.sort_array(F.collect_list(F.struct("members", "shingle"))).alias("rest"))
+    # |a Δ b| is largest for the largest partner, n·100/percent; and δb is no smaller than δa less that.
+    least = F.greatest(F.lit(1), F.col("changed") - F.floor(F.col("n") * (100 - percent) / percent))
+    ranked = ranked.withColumn("length", (F.size("rest") - least + 1).cast("int")).filter("length > 0")
+    prefix = ranked.select("head", "a", "label", "n", "changed", F.posexplode(F.slice("rest", F.lit(1), F.col("length"))).alias("place", "x"), F.size("rest").alias("open"))
+    prefix = prefix.select("head", "x.shingle", F.struct("a", "label", "n", "changed", (F.col("open") - F.col("place")).alias("left")).alias("of"))
+    one, two = prefix.withColumnRenamed("of", "x"), prefix.withColumnRenamed("of", "y")
+    # As the first member that both share, it and what is left behind it must hold all that the pair must share.
+    enough = 2 * (100 + percent) * F.least("x.left", "y.left") >= (100 + percent) * (F.col("x.changed") + F.col("y.changed")) - (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    near = one.join(two, ["head", "shingle"]).filter((F.col("x.label") < F.col("y.label")) & _could_link(F.col("x.n"), F.col("y.n"), percent) & enough)
+    return near.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()

@@ -6,7 +6,7 @@ import pytest
 
 from tessera.llm.components import components
 from tessera.llm.line_dedup import dedup_lines
-from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.near_dedup import _delta_pairs, near_duplicates
 from tests.llm.cases import documents, nothing, words
 
 
@@ -58,6 +58,36 @@ def test_near_duplicates_equal_brute_force(spark):
         assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_one_large_group_on_both_sides_of_the_threshold(spark):
+    """Copies of one text with more and more changed words: many are linked with none, though all meet in every bucket."""
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(draw.randrange(9)):
+            w[draw.randrange(len(w))] = f"x{draw.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    want = plain_components(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(want[r.doc_id, r.n_shingles] == {r.component_id} for r in got)
+
+
+def test_candidates_of_differences_hold_every_link_and_few_pairs(spark):
+    """Sets around a head that none of them is linked with: of 300 such sets, only those that can be linked meet."""
+    draw = random.Random(3)
+    head, sets = set(range(140)), []
+    for i in range(300):
+        gone = set(draw.sample(range(140), 26))
+        own = {10_000 + 100 * (i // 2) + k for k in range(22)} | {90_000 + 10 * i + k for k in range(4)}
+        sets.append((head - gone if i % 2 == 0 else sets[-1] & head) | own)
+    rows = [(bytes([i // 256, i % 256]), b"p", bytes([i // 256, i % 256]), len(s), sorted(head ^ s)) for i, s in enumerate(sets)]
+    deltas = spark.createDataFrame(rows, "a binary, head binary, label binary, n int, delta array<long>")
+    found = {tuple(sorted((int.from_bytes(r.a), int.from_bytes(r.b)))) for r in _delta_pairs(deltas, 75).collect()}
+    linked = {(i, j) for j in range(300) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert linked and linked <= found and len(found) <= 600
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(nothing(spark)).count() == 0
 
