@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import checkpointed, crc_mod
 from tessera.llm.words import CHUNK_BYTES, PLACE, Texts, U, chunks, mix
 
-#: Words in a block of the forward-backward pass.
-BLOCK = 64
+#: Words in a block of the forward-backward pass, and sequences of the fit that are in memory at once.
+BLOCK, SLICE = 64, 1024
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -187,6 +187,7 @@ def fit(rows: list[tuple[str, str]], field: Field) -> Model:
     truth = label[order].reshape(shape)
     # Features once for each distinct word.
     _, at, of = np.unique(hashes[order], return_index=True, return_inverse=True)
+    of = of.reshape(truth.shape)
     spans = np.flatnonzero(lettered)[order][at]
     bucket, owner_word = features(texts.data, texts.starts[spans], texts.ends[spans], field)
     lex = _lexicon_places(model.lexicon, hashes[order][at])
@@ -195,10 +196,14 @@ def fit(rows: list[tuple[str, str]], field: Field) -> Model:
     moments = [np.full(x.shape, 1e-8) for x in (model.weights, model.lexicon_weights, model.transitions)]
     onehot = np.eye(size)
     for _ in range(field.steps):
-        scores = emissions(model, bucket, owner_word, len(at), lex)[of].reshape(*truth.shape, size)
-        posterior, pairs = _expectations(scores, model.transitions, weight)
-        lack = ((onehot[truth] - posterior) * weight).reshape(-1, size)
-        by_word = np.stack([np.bincount(of, lack[:, k], len(at)) for k in range(size)], 1)
+        scores = emissions(model, bucket, owner_word, len(at), lex)
+        by_word, pairs = np.zeros((len(at), size)), np.zeros((size, size))
+        for k in range(0, len(truth), SLICE):
+            part = slice(k, k + SLICE)
+            posterior, met = _expectations(scores[of[part]], model.transitions, weight[part])
+            lack = ((onehot[truth[part]] - posterior) * weight[part]).reshape(-1, size)
+            by_word += np.stack([np.bincount(of[part].ravel(), lack[:, k], len(at)) for k in range(size)], 1)
+            pairs += met
         known = lex >= 0
         seen = np.zeros((size, size))
         np.add.at(seen, (truth[:, :-1].ravel(), truth[:, 1:].ravel()), weight[:, 1:, 0].ravel())
@@ -241,7 +246,7 @@ PREDICTIONS = "doc_id long, held_out boolean, lang_pred string, score double"
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model, field: Field, keep: tuple[str, ...] = ("doc_id", "held_out"), names: tuple[str, ...] = ("lang_pred", "score")) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch, "text", CHUNK_BYTES // 2):
+        for part in chunks(batch, "text", CHUNK_BYTES):
             texts = Texts(part.column("text"), lower=True)
             lettered = np.flatnonzero(_lettered(texts))
             first = np.searchsorted(lettered, texts.first)

@@ -7,7 +7,7 @@ aggregate, which keeps the earliest line of each group, so a group of any size c
 * lines of one length that agree after deletion at the same place differ in that place alone;
 * a line that equals a longer one without some word is one insertion away from it.
 
-What meets is confirmed on the words. Lines that occur more than once take part once, by their earliest place. Before the
+Keys are 128 bits wide, so that different variants don't meet at any size. What meets is confirmed on the words. Lines that occur more than once take part once, by their earliest place. Before the
 variants are made, lines that cannot have a partner are left out: two lines within one edit agree in their first or in their
 last half, so a line whose halves nobody shares has none.
 """
@@ -20,18 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, row_key
+from tessera.llm.common import Scratch, row_key
 
 #: The ASCII blanks that end words, but for the line feed.
 BLANKS = " \t\x0b\x0c\r"
 #: Up to this many documents or lines, what is known of them (about 30 bytes each) is sent to every executor.
-BROADCAST_ROWS, BROADCAST_LINES = 200_000, 2_000_000
+BROADCAST_ROWS, BROADCAST_LINES = 100_000, 1_000_000
 
 
 @dataclass(frozen=True)
 class LineDedup:
-    #: A line of fewer words is only dropped for an equal one: one edit would change too much of it.
-    least_words: int = 8
+    #: The edit may change one word in so many of the shorter line: lines are near by the share that differs, up to one word.
+    words_per_edit: int = 8
 
 
 def _half_keys(words: Column, n: Column) -> Column:
@@ -47,11 +47,14 @@ def _bodies(documents: DataFrame) -> DataFrame:
 
     ``doc`` is the doc_id, larger than any other if null.
     """
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    cut = documents.select(doc.alias("doc"), row_key("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    cut = documents.select(_doc().alias("doc"), row_key("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
     return cut.withColumn("body", F.btrim("body", F.lit(BLANKS))).filter("body <> ''")
 
 
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+
+
 def _words(body: Column) -> Column:
     """The words of a trimmed line; most lines have single spaces only, for which the plain split is faster."""
     odd = body.contains("  ")
@@ -65,40 +68,44 @@ def _place() -> Column:
     return F.struct("doc", "row", "line")
 
 
-def _near(lines: DataFrame, documents: DataFrame) -> DataFrame:
+def _near(lines: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
     """(h, g): hashes of the lines that have an earlier line one edit away."""
     halves = lines.filter("halves is not null").select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half")
     hopeful = halves.join(shared, "half", "left_semi").select("h").distinct()
     first = lines.join(hopeful, "h", "left_semi").groupBy("h", "g").agg(F.min(_place()).alias("place"))
-    first = checkpointed(first.select("h", "g", "place.*"))
+    first = scratch.keep(first.select("h", "g", "place.*"))
     few = first.count() <= BROADCAST_ROWS
-    found = _bodies(documents).drop("doc").join(F.broadcast(first) if few else first, ["row", "line"])
+    found = _bodies(documents).join(F.broadcast(first) if few else first, ["doc", "row", "line"])
     # One row for each line, also where a document is repeated.
-    full = checkpointed(found.groupBy("h", "g").agg(F.first("doc").alias("doc"), F.first("row").alias("row"), F.first("line").alias("line"), F.first(_words(F.col("body"))).alias("words")))
+    full = scratch.keep(found.groupBy("h", "g").agg(F.first("doc").alias("doc"), F.first("row").alias("row"), F.first("line").alias("line"), F.first(_words(F.col("body"))).alias("words")))
 
-    # The fingerprint of a word sequence is a sum over its words and their places; a deletion moves the words behind it.
+    # The two fingerprints of a word sequence are xors over its words and their places; a deletion moves the words behind it.
     word = full.select("doc", "row", "line", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    value = lambda place: F.shiftrightunsigned(F.xxhash64("word", place), 20)
+    value = lambda seed, place: F.xxhash64(F.lit(seed), "word", place)
     order = Window.partitionBy("doc", "row", "line").orderBy("i")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("doc", "row", "line")
-    valued = word.select("doc", "row", "line", "n", "i", value(F.col("i")).alias("here"), value(F.col("i") - 1).alias("moved"))
-    without = F.coalesce(F.sum("here").over(before), F.lit(0)) + F.sum("moved").over(whole) - F.sum("moved").over(upto)
-    itself = valued.groupBy("doc", "row", "line", "n").agg(F.sum("here").alias("print")).select("doc", "row", "line", "n", F.lit(-1).alias("i"), "print")
-    prints = checkpointed(valued.select("doc", "row", "line", "n", "i", without.alias("print")).union(itself))
+    values = [value(seed, F.col("i") - moved).alias(f"{name}{seed}") for seed in (1, 2) for moved, name in enumerate(("here", "moved"))]
+    valued = word.select("doc", "row", "line", "n", "i", *values)
+    xor = lambda name, window: F.coalesce(F.bit_xor(name).over(window), F.lit(0).cast("long"))
+    without = [xor(f"here{k}", before).bitwiseXOR(xor(f"moved{k}", whole)).bitwiseXOR(xor(f"moved{k}", upto)).alias(f"print{k}") for k in (1, 2)]
+    itself = valued.groupBy("doc", "row", "line", "n").agg(*[F.bit_xor(f"here{k}").alias(f"print{k}") for k in (1, 2)]).select("doc", "row", "line", "n", F.lit(-1).alias("i"), "print1", "print2")
+    prints = scratch.keep(valued.select("doc", "row", "line", "n", "i", *without).union(itself))
     left = F.when(F.col("i") < 0, F.col("n")).otherwise(F.col("n") - 1).alias("left")
-    common = prints.groupBy("print", left).agg(F.count("*").alias("members")).filter("members > 1").select("print", "left")
-    variants = checkpointed(prints.withColumn("left", left).join(common, ["print", "left"], "left_semi").select("print", "left", "n", "i", _place().alias("place")))
+    key = ["print1", "print2"]
+    common = prints.groupBy(*key, left).agg(F.count("*").alias("members")).filter("members > 1").select(*key, "left")
+    variants = scratch.keep(prints.withColumn("left", left).join(common, [*key, "left"], "left_semi").select(*key, "left", "n", "i", _place().alias("place")))
+    scratch.drop(prints, first)
 
     # A deletion variant meets those of the same place, and the line that it equals; a whole line meets its longer ones.
     deleted = F.col("i") >= 0
-    replaced = variants.filter(deleted).groupBy("print", "n", "i").agg(F.min("place").alias("partner"))
-    longer = variants.filter(deleted).groupBy("print", "left").agg(F.min("place").alias("partner"))
-    equal = variants.filter(~deleted).groupBy("print", "left").agg(F.min("place").alias("partner"))
-    met = variants.filter(deleted).join(replaced, ["print", "n", "i"]).select("place", "partner")
-    met = met.union(variants.filter(deleted).join(equal, ["print", "left"]).select("place", "partner"))
-    met = met.union(variants.filter(~deleted).join(longer, ["print", "left"]).select("place", "partner"))
+    replaced = variants.filter(deleted).groupBy(*key, "n", "i").agg(F.min("place").alias("partner"))
+    longer = variants.filter(deleted).groupBy(*key, "left").agg(F.min("place").alias("partner"))
+    equal = variants.filter(~deleted).groupBy(*key, "left").agg(F.min("place").alias("partner"))
+    met = variants.filter(deleted).join(replaced, [*key, "n", "i"]).select("place", "partner")
+    met = met.union(variants.filter(deleted).join(equal, [*key, "left"]).select("place", "partner"))
+    met = met.union(variants.filter(~deleted).join(longer, [*key, "left"]).select("place", "partner"))
     pairs = met.filter("partner < place").groupBy("place").agg(F.min("partner").alias("partner"))
     mine = full.select(_place().alias("place"), "h", "g", F.col("words").alias("a"))
     theirs = full.select(_place().alias("partner"), F.col("words").alias("b"))
@@ -121,33 +128,38 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def dedup_lines(documents: DataFrame, options: LineDedup = LineDedup()) -> DataFrame:
     """The rows of ``documents`` with the columns ``text`` (without its later near-equal lines), ``n_lines`` and ``n_dropped``.
 
-    A line goes if the corpus has an earlier line (by doc_id, null last, then row and place) with equal words, or, where both
-    have ``least_words`` words or more, at most one word apart. That line may itself be one that goes. Lines without words
-    are kept as they are and not counted. Rows that repeat both doc_id and text count as one document and keep the same lines;
-    a null text stays null with 0 lines. All other columns are passed through; an empty table gives no rows.
+    A line goes if the corpus has an earlier line (by doc_id, null last, then row and place) with equal words, or with at most
+    one word inserted, deleted or replaced, where that is no more than one in ``words_per_edit`` words of the shorter line.
+    That line may itself be one that goes. Lines without words are kept as they are and not counted. Rows that repeat both
+    doc_id and text count as one document and keep the same lines; a null text stays null with 0 lines. All other columns are
+    passed through, but own columns n_lines and n_dropped are replaced; an empty table gives no rows.
     """
+    scratch = Scratch(documents.sparkSession)
     n = F.size("words")
     lines = _bodies(documents).select("doc", "row", "line", _words(F.col("body")).alias("words"))
-    halves = F.when(n >= options.least_words, _half_keys(F.col("words"), n))
-    lines = checkpointed(lines.select(F.xxhash64("words").alias("h"), F.xxhash64(F.lit(7), "words").alias("g"), "doc", "row", "line", halves.alias("halves")))
-    near = checkpointed(_near(lines, documents)).withColumn("near", F.lit(True))
+    halves = F.when(n >= options.words_per_edit, _half_keys(F.col("words"), n))
+    lines = scratch.keep(lines.select(F.xxhash64("words").alias("h"), F.xxhash64(F.lit(7), "words").alias("g"), "doc", "row", "line", halves.alias("halves")))
+    near = scratch.keep(_near(lines, documents, scratch)).withColumn("near", F.lit(True))
     every = lines.select("h", "g", _place().alias("place"))
-    verdict = every.groupBy("h", "g").agg(F.min("place").alias("earliest")).join(near, ["h", "g"], "left")
-    every = every.join(verdict, ["h", "g"]).filter(F.col("near").isNotNull() | (F.col("place") != F.col("earliest")))
-    gone = every.groupBy(F.col("place.row").alias("row")).agg(F.sort_array(F.collect_set("place.line")).alias("gone"))
-    gone = checkpointed(gone)
+    # Written first, so that the join below deals both sides anew and can split a line that is everywhere.
+    verdict = every.groupBy("h", "g").agg(F.min("place").alias("earliest"), F.count("*").alias("times")).join(near, ["h", "g"], "left")
+    verdict = scratch.keep(verdict.filter("times > 1 or near is not null").select("h", "g", "earliest", F.col("near").isNotNull().alias("near")))
+    few = verdict.count() <= BROADCAST_ROWS
+    every = every.join(F.broadcast(verdict) if few else verdict, ["h", "g"]).filter(F.col("near") | (F.col("place") != F.col("earliest")))
+    gone = scratch.keep(every.groupBy("place.doc", "place.row").agg(F.sort_array(F.collect_set("place.line")).alias("gone")))
+    scratch.drop(lines, verdict)
     size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
     few = size["rows"] <= BROADCAST_ROWS and size["lines"] <= BROADCAST_LINES
-    key = "_row" if "row" in documents.columns else "row"
-    docs = documents.withColumn(key, row_key("doc_id", "text"))
-    marks = gone.select(F.col("row").alias(key), F.col("gone").alias("_gone"))
-    out = docs.join(F.broadcast(marks) if few else marks, key, "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    # Own columns have names with a blank, so that no column of the documents clashes.
+    keys, marked = ["line doc", "line row"], gone.select(F.col("doc").alias("line doc"), F.col("row").alias("line row"), F.col("gone").alias("lines gone"))
+    docs = documents.withColumns({"line doc": _doc(), "line row": row_key("doc_id", "text")})
+    out = docs.join(F.broadcast(marked) if few else marked, keys, "left").withColumn("lines gone", F.coalesce("lines gone", F.array().cast("array<int>")))
     body = F.split("text", "\n")
-    edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(body)))
-    between = F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda k: F.slice(F.col("_body"), F.get("_edges", k) + 2, F.get("_edges", k + 1) - F.get("_edges", k) - 1))
-    out = out.withColumn("_body", body).withColumn("_edges", edges).withColumn("_text", F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(F.flatten(between), "\n")))
-    worded = F.size(F.filter("_body", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    edges = F.concat(F.array(F.lit(-1)), F.col("lines gone"), F.array(F.size(body)))
+    between = F.transform(F.sequence(F.lit(0), F.size("lines gone")), lambda k: F.slice(F.col("lines all"), F.get("line edges", k) + 2, F.get("line edges", k + 1) - F.get("line edges", k) - 1))
+    out = out.withColumns({"lines all": body, "line edges": edges})
+    left = F.when(F.size("lines gone") == 0, F.col("text")).otherwise(F.array_join(F.flatten(between), "\n")).alias("text")
+    worded = F.size(F.filter("lines all", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(
-        *[F.col("_text").alias("text") if c == "text" else F.col(c) for c in names], F.when(F.col("text").isNull(), 0).otherwise(worded).cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_dropped")
-    )
+    counts = [F.when(F.col("text").isNull(), 0).otherwise(worded).cast("long").alias("n_lines"), F.size("lines gone").cast("long").alias("n_dropped")]
+    return out.select(*[left if c == "text" else F.col(f"`{c}`") for c in names], *counts)

@@ -14,7 +14,10 @@ chunk the part of the automaton that its own texts can walk through:
 2. For each state, chunks hand in the probability that the arcs entrusted to them take, and what the shorter state gives to the
    same tokens; the sums are the state's backoff weight, which goes to each chunk that has the state.
 
-Keys are dealt by ranges of their hash and a chunk asks for a key once, so no frequent word or n-gram gathers in one task.
+Keys are dealt by ranges of their hash and a chunk asks for a key once, so no frequent word or n-gram gathers in one task. Each
+chunk sends a row to at most ``FAN`` ranges. Where the corpus needs more ranges, questions pass through levels: ``FAN`` chunks at
+a time are merged for each range, what is merged is split into narrower ranges, and so on, until all chunks meet in ranges of
+about a chunk's size; replies go back the same way. So the rows grow with the number of chunks, not with its square.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from tessera.llm.words import PLACE, Texts, U, chunks, mix
 
 #: Bytes of text in a chunk; a longer single text is a chunk by itself.
 PACK_BYTES = 8 << 20
+#: Ranges that a chunk deals its keys to, and chunks that are merged at a time.
+FAN = 256
 #: Hash of the end token; no word's hash is mixed this way.
 END = U(0x5851F42D4C957F2D)
 
@@ -47,12 +52,39 @@ class Backoff:
     least_count: int = 2
 
 
+@dataclass(frozen=True)
+class Route:
+    """The levels that questions pass through: at each, ranges of keys are split further and more chunks are merged."""
+
+    chunks: int
+    fan: int
+
+    @property
+    def fans(self) -> list[int]:
+        """Into how many ranges each level splits a range; in the end there is one range for two chunks."""
+        ranges, out = max(1, self.chunks // 2), []
+        while ranges > self.fan:
+            out.append(self.fan)
+            ranges = -(-ranges // self.fan)
+        return [*out, ranges]
+
+    def ranges(self, level: int) -> int:
+        return int(np.prod(self.fans[:level], dtype=object))
+
+    def team(self, seat: int, level: int) -> int:
+        """Who is merged at a level; at the last all are."""
+        return 0 if level == len(self.fans) else seat // self.fan**level
+
+    def seat(self, chunk: int) -> int:
+        return int(mix(np.array([chunk], U))[0] % U(max(1, self.chunks)))
+
+
 @dataclass(frozen=True)
 class Root:
     """What every chunk must know of the whole corpus: numbers of training tokens and of distinct ones."""
 
     options: Backoff
-    parts: int
+    route: Route
     tokens: int
     types: int = 0
 
@@ -71,8 +103,8 @@ def sequence(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return tokens, first
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, blob, tokens): about PACK_BYTES of text each, with the number of training tokens in it."""
+def _pack(batches: Iterator[pa.RecordBatch], pack_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, blob, tokens): about ``pack_bytes`` of text each, with the number of training tokens in it."""
     place, number = TaskContext.get().partitionId(), 0
     held: list[pa.RecordBatch] = []
     size = tokens = 0
@@ -85,13 +117,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([place << 32 | number], pa.int64()), pa.array([sink.getvalue()], pa.binary()), pa.array([tokens], pa.int64())], names=["chunk", "blob", "tokens"])
 
     for batch in batches:
-        for part in chunks(batch, "text", PACK_BYTES // 4):
+        for part in chunks(batch, "text", pack_bytes // 4):
             texts = Texts(part.column("text"))
             train = part.column("train").to_numpy(zero_copy_only=False)
             held.append(part)
             size += len(texts.data)
             tokens += int((texts.counts + 1)[train].sum())
-            if size >= PACK_BYTES:
+            if size >= pack_bytes:
                 yield row()
                 held, size, tokens, number = [], 0, 0, number + 1
     if held:
@@ -160,33 +192,36 @@ def _load(data) -> np.ndarray:
     return np.cumsum(np.concatenate((first, steps.view("<u8").ravel())), dtype=U)
 
 
-def _edges(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part's range begins in sorted keys."""
-    return np.searchsorted(keys, np.array([(k << 64) // parts for k in range(parts)], U)).tolist() + [len(keys)]
+def _edges(keys: np.ndarray, route: Route, level: int = 0, within: int = 0) -> list[int]:
+    """Where each of the ranges begins that a level splits the range ``within`` of sorted keys into."""
+    count, total = route.fans[level], route.ranges(level + 1)
+    return np.searchsorted(keys, np.array([(k << 64) // total for k in range(within * count, (within + 1) * count)], U)).tolist() + [len(keys)]
 
 
-QUESTIONS = "kind long, part long, chunk long, keys binary, x binary, y binary"
+QUESTIONS = "kind long, part long, team long, chunk long, keys binary, x binary, y binary"
 ANSWERS = "chunk long, kind long, part long, reply binary, types long"
 
 
-def _question(kind: int, chunk: int, keys: np.ndarray, x: np.ndarray, y: np.ndarray | None, parts: int) -> pa.RecordBatch:
-    """One row for each part in which the chunk has keys."""
-    edges = _edges(keys, parts)
-    rows = [(k, slice(edges[k], edges[k + 1])) for k in range(parts) if edges[k] < edges[k + 1]]
+def _question(kind: int, chunk: int, keys: np.ndarray, x: np.ndarray, y: np.ndarray | None, route: Route, level: int = 0, within: int = 0, seat: int | None = None) -> pa.RecordBatch:
+    """One row for each range in which the chunk, or those merged at a level, have keys."""
+    edges = _edges(keys, route, level, within)
+    rows = [(within * route.fans[level] + k, slice(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+    team = route.team(route.seat(chunk) if seat is None else seat, level + 1)
     column = lambda v: pa.array([None if v is None else _squeeze(v[at]) for _, at in rows], pa.binary())
+    same = lambda v: pa.array([v] * len(rows), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array([_dump(keys[at]) for _, at in rows], pa.binary()), column(x), column(y)],
-        names=["kind", "part", "chunk", "keys", "x", "y"],
+        [same(kind), pa.array([k for k, _ in rows], pa.int64()), same(team), same(chunk), pa.array([_dump(keys[at]) for _, at in rows], pa.binary()), column(x), column(y)],
+        names=["kind", "part", "team", "chunk", "keys", "x", "y"],
     )
 
 
-def _ask(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], order: int, route: Route) -> Iterator[pa.RecordBatch]:
     """The distinct words and n-grams of each chunk with their counts."""
     for batch in batches:
         for number, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
             chunk = Chunk(blob.as_buffer(), order)
             for k in range(1, order + 1):
-                yield _question(k, number, chunk.keys[k], chunk.counts[k].astype(np.uint32), None, parts)
+                yield _question(k, number, chunk.keys[k], chunk.counts[k].astype(np.int64), None, route)
 
 
 def _gathered(asked: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray, np.ndarray]:
@@ -198,6 +233,13 @@ def _gathered(asked: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndar
     return asked, edges, first, inverse, values
 
 
+def _summed(column, edges: list[int], inverse: np.ndarray, size: int, dtype: type) -> np.ndarray:
+    """The sum of what is said of each key."""
+    out = np.zeros(size, dtype)
+    np.add.at(out, inverse, np.concatenate([_unsqueeze(x, b - a, dtype) for x, a, b in zip(column, edges, edges[1:])]))
+    return out
+
+
 def _reply(asked: pa.Table, edges: list[int], kind: int, reply: np.ndarray, types: int) -> pa.Table:
     rows = asked.num_rows
     return pa.table(
@@ -215,8 +257,7 @@ def _totals(asked: pa.Table, floor: float) -> pa.Table:
     """Twice the total of each key that was asked for, and one more for the chunk that the key is entrusted to."""
     asked, edges, first, inverse, values = _gathered(asked)
     kind = asked.column("kind")[0].as_py()
-    counts = np.concatenate([_unsqueeze(x, b - a, np.uint32) for x, a, b in zip(asked.column("x"), edges, edges[1:])])
-    totals = np.bincount(inverse, counts, len(values)).astype(np.int64)
+    totals = _summed(asked.column("x"), edges, inverse, len(values), np.int64)
     types = int((totals > 0).sum()) if kind == 1 else 0
     if kind > 1:
         totals[totals < floor] = 0
@@ -228,11 +269,59 @@ def _totals(asked: pa.Table, floor: float) -> pa.Table:
 def _weights(asked: pa.Table) -> pa.Table:
     """The backoff weight of each state that was asked for; its kind is −k for a state of k tokens."""
     asked, edges, _, inverse, values = _gathered(asked)
-    kept, covered = (np.bincount(inverse, np.concatenate([_unsqueeze(x, b - a, np.float64) for x, a, b in zip(asked.column(c), edges, edges[1:])]), len(values)) for c in "xy")
+    kept, covered = (_summed(asked.column(c), edges, inverse, len(values), np.float64) for c in "xy")
     back = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - covered, 1e-12))
     return _reply(asked, edges, asked.column("kind")[0].as_py(), back[inverse].astype(np.float32), 0)
 
 
+def _merge(asked: pa.Table, route: Route, level: int) -> pa.Table:
+    """The questions of a team about one range as one, in narrower ranges."""
+    asked, edges, _, inverse, values = _gathered(asked)
+    kind, part, team = (asked.column(c)[0].as_py() for c in ("kind", "part", "team"))
+    x, y = (_summed(asked.column(c), edges, inverse, len(values), np.int64 if kind > 0 else np.float64) if asked.column(c)[0].is_valid else None for c in "xy")
+    seat = team * route.fan**level
+    return pa.Table.from_batches([_question(kind, part << 32 | team, values, x, y, route, level, part, seat)])
+
+
+def _hand_down(asked: pa.Table, replies: pa.Table, route: Route, level: int) -> pa.Table:
+    """What the merged question got, for each of those who asked; a key is entrusted to the first of them."""
+    asked, edges, first, inverse, values = _gathered(asked)
+    kind, part = (asked.column(c)[0].as_py() for c in ("kind", "part"))
+    found = dict(zip(replies.column("part").to_pylist(), replies.column("reply")))
+    cuts, begin = _edges(values, route, level, part), part * route.fans[level]
+    dtype = np.int64 if kind > 0 else np.float32
+    merged = np.concatenate([_unsqueeze(found[begin + k], b - a, dtype) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b])
+    reply = merged[inverse]
+    if kind > 0:
+        others = np.ones(len(reply), bool)
+        others[first] = False
+        reply[others] &= ~1
+    return _reply(asked, edges, kind, reply, 0)
+
+
+def _merger(route: Route, level: int):
+    return lambda asked: _merge(asked, route, level)
+
+
+def _hander(route: Route, level: int):
+    return lambda asked, replies: _hand_down(asked, replies, route, level)
+
+
+def _exchange(asked: DataFrame, route: Route, answer) -> tuple[DataFrame, int]:
+    """The replies to the chunks, and the number of types that those who answer have counted."""
+    with shuffles_removed(asked.sparkSession):
+        levels = [asked]
+        for level in range(1, len(route.fans)):
+            levels[-1] = checkpointed(levels[-1])
+            levels.append(levels[-1].groupBy("kind", "part", "team").applyInArrow(_merger(route, level), QUESTIONS))
+        replies = checkpointed(levels.pop().groupBy("kind", "part").applyInArrow(answer, ANSWERS))
+        types = replies.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()["types"]
+        for level in range(len(route.fans) - 1, 0, -1):
+            node = replies.select("kind", F.shiftright("chunk", 32).alias("of_part"), F.col("chunk").bitwiseAND((1 << 32) - 1).alias("of_team"), "part", "reply")
+            replies = checkpointed(levels.pop().groupBy("kind", "part", "team").cogroup(node.groupBy("kind", "of_part", "of_team")).applyInArrow(_hander(route, level), ANSWERS))
+    return replies, types
+
+
 class Walk:
     """A chunk with the counts of its n-grams: which are states, which are arcs, and the arcs' probabilities."""
 
@@ -259,7 +348,7 @@ class Walk:
                 self.prob[k] = np.where(self.arc[k], (self.total[k] - options.discount) / np.maximum(self.total[k - 1][prefix], 1), 0)
 
     def answers(self, kind: int, keys: np.ndarray, dtype: type) -> np.ndarray:
-        edges = _edges(keys, self.root.parts)
+        edges = _edges(keys, self.root.route)
         parts = [_unsqueeze(self.found[kind, p], b - a, dtype) for p, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
         return np.concatenate(parts) if parts else np.empty(0, dtype)
 
@@ -270,7 +359,7 @@ class Walk:
             into, lower = self.prefix[k + 1][arcs], self.chunk.of[k][self.end[k + 1][arcs]]
             size, on = len(self.chunk.keys[k]), self.state[k]
             kept, covered = np.bincount(into, self.prob[k + 1][arcs], size), np.bincount(into, self.prob[k][lower], size)
-            yield _question(-k, number, self.chunk.keys[k][on], kept[on], covered[on], self.root.parts)
+            yield _question(-k, number, self.chunk.keys[k][on], kept[on], covered[on], self.root.route)
 
     def log_probabilities(self) -> np.ndarray:
         """log10 probability of each token, read left to right."""
@@ -322,15 +411,14 @@ def scores(documents: DataFrame, options: Backoff = Backoff(), modulus: int = 7,
     """
     train_row = F.coalesce(crc_mod("doc_id", modulus) != remainder, F.lit(True)).alias("train")
     docs = documents.select("doc_id", "text", train_row)
-    packed = checkpointed(docs.mapInArrow(_pack, "chunk long, blob binary, tokens long"))
+    packed = checkpointed(docs.mapInArrow(lambda b, n=PACK_BYTES: _pack(b, n), "chunk long, blob binary, tokens long"))
     about = packed.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
-    root = Root(options, max(1, about["n"] // 2), about["tokens"])
+    root = Root(options, Route(about["n"], FAN), about["tokens"])
     floor = max(options.least_count, options.gram_share * root.tokens)
     texts = packed.select("chunk", "blob")
-    asked = texts.mapInArrow(lambda b: _ask(b, options.order, root.parts), QUESTIONS)
-    with shuffles_removed(documents.sparkSession):
-        totals = checkpointed(asked.groupBy("kind", "part").applyInArrow(lambda x: _totals(x, floor), ANSWERS))
-    known = Root(options, root.parts, root.tokens, totals.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()["types"])
+    asked = texts.mapInArrow(lambda b: _ask(b, options.order, root.route), QUESTIONS)
+    totals, types = _exchange(asked, root.route, lambda x: _totals(x, floor))
+    known = Root(options, root.route, root.tokens, types)
 
     def share(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         found = [x for number, blob in zip(chunk.column("chunk").to_pylist(), chunk.column("blob")) for x in Walk(blob.as_buffer(), replies, known).shares(number)]
@@ -341,7 +429,6 @@ def scores(documents: DataFrame, options: Backoff = Backoff(), modulus: int = 7,
 
     if options.order > 1:
         shares = texts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(share, QUESTIONS)
-        with shuffles_removed(documents.sparkSession):
-            weights = checkpointed(shares.groupBy("kind", "part").applyInArrow(_weights, ANSWERS))
+        weights, _ = _exchange(shares, root.route, _weights)
         totals = totals.union(weights)
     return texts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, SCORES)

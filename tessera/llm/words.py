@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once (a longer single text is handled by itself), and of words hashed at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 SEGMENT_BYTES = 1 << 18
 
 U = np.uint64

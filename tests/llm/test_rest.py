@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm.html_extract import Block, Labeller, blocks, fit, label, main_text
@@ -197,6 +198,15 @@ def test_pipeline_stages_on_odd_documents(spark):
     assert max(mix[i] for i in range(100, 110)) <= 2
 
 
+def test_pipeline_stages_leave_clashing_columns_alone(spark):
+    names = ["_gone", "_lang_pred", "_body", "_row", "_edges", "_text", "_repeat", "_found", "hash", "label", "n_dropped", "line"]
+    docs = documents(spark).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        assert all(r[c] == c + ("" if r.doc_id is None else str(r.doc_id)) for r in out.collect() for c in names), name
+
+
 def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, DATA)
     assert got.columns == ["doc_id", "piece", "first_word", "n_words", "bin_id", "offset"] and got.count() > 100

@@ -5,8 +5,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from tessera.llm.language import Field, fit, languages, marginals
+from tessera.llm import lm_score
 from tessera.llm.lm_score import Backoff, scores
 from tessera.llm.quality import QualityRules, quality
 from tests.llm.cases import documents, nothing, words
@@ -132,6 +134,28 @@ def test_scores_equal_a_dictionary_model(spark):
         assert abs(r.score - score(w)) < 1e-6 * max(1, len(w))
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_scores_through_levels_equal_those_of_one_level(spark, monkeypatch, fan):
+    """Tiny chunks and a tiny fan make several levels; the rows asked grow with the chunks, not with their square."""
+    rows = [(i, " ".join(f"t{(i * j * j) % 23}" for j in range(60))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = {r.doc_id: r.score for r in scores(docs).collect()}
+    monkeypatch.setattr(lm_score, "PACK_BYTES", 400)
+    monkeypatch.setattr(lm_score, "FAN", fan)
+    counted = []
+    plain = lm_score._exchange
+
+    def exchange(asked, route, answer):
+        counted.append((asked.count(), route))
+        return plain(asked, route, answer)
+
+    monkeypatch.setattr(lm_score, "_exchange", exchange)
+    got = {r.doc_id: r.score for r in scores(docs).collect()}
+    assert len(got) == 80 and all(abs(got[i] - want[i]) < 1e-4 for i in want)
+    rows_asked, route = counted[0]
+    assert route.chunks >= 20 and len(route.fans) >= 3 and rows_asked <= 3 * fan * route.chunks
+
+
 def test_scores_of_nothing_and_without_training(spark):
     assert scores(nothing(spark)).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
