@@ -76,6 +76,14 @@ class Scratch:
             self._fs(path).delete(self.fs.Path(path), True)
 
 
+def in_small_batches(texts: DataFrame, rows: int = 1000) -> DataFrame:
+    """``texts``, in a session whose Arrow batches hold at most so many rows: of whole texts the default 10,000 take much memory."""
+    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, rows)
+    return texts
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words as long; 0 for null."""
     return F.coalesce(F.regexp_count(text if isinstance(text, Column) else F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

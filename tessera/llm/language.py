@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import checkpointed, crc_mod
+from tessera.llm.common import checkpointed, crc_mod, in_small_batches
 from tessera.llm.words import CHUNK_BYTES, PLACE, Texts, U, chunks, mix
 
 #: Words in a block of the forward-backward pass, and sequences of the fit that are in memory at once.
@@ -318,7 +318,7 @@ def languages(documents: DataFrame, field: Field = Field(), modulus: int = 3, re
     """
     model = fitted(documents, field, modulus, remainder) if model is None else model
     held = documents.sparkSession.sparkContext.broadcast(model)
-    docs = documents.select("doc_id", "text", F.coalesce(crc_mod("doc_id", modulus) == remainder, F.lit(False)).alias("held_out"))
+    docs = in_small_batches(documents).select("doc_id", "text", F.coalesce(crc_mod("doc_id", modulus) == remainder, F.lit(False)).alias("held_out"))
     return docs.mapInArrow(lambda b: _predict(b, held.value, field), PREDICTIONS)
 
 
@@ -329,4 +329,4 @@ def with_language(documents: DataFrame, names: tuple[str, str, str], field: Fiel
     held = documents.sparkSession.sparkContext.broadcast(model)
     keep = tuple(documents.columns)
     schema = T.StructType([*documents.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())])
-    return documents.mapInArrow(lambda b: _predict(b, held.value, field, keep, names), schema)
+    return in_small_batches(documents).mapInArrow(lambda b: _predict(b, held.value, field, keep, names), schema)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, crc_mod, shuffles_removed
+from tessera.llm.common import checkpointed, crc_mod, in_small_batches, shuffles_removed
 from tessera.llm.words import PLACE, Texts, U, chunks, mix
 
 #: Bytes of text in a chunk; a longer single text is a chunk by itself.
@@ -410,7 +410,7 @@ def scores(documents: DataFrame, options: Backoff = Backoff(), modulus: int = 7,
     are scored, and learned from, as often as they occur; an empty table gives no rows.
     """
     train_row = F.coalesce(crc_mod("doc_id", modulus) != remainder, F.lit(True)).alias("train")
-    docs = documents.select("doc_id", "text", train_row)
+    docs = in_small_batches(documents).select("doc_id", "text", train_row)
     packed = checkpointed(docs.mapInArrow(lambda b, n=PACK_BYTES: _pack(b, n), "chunk long, blob binary, tokens long"))
     about = packed.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     root = Root(options, Route(about["n"], FAN), about["tokens"])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, row_name
+from tessera.llm.common import Scratch, in_small_batches, row_name
 from tessera.llm.components import components
 from tessera.llm.words import PLACE, Texts, U, chunks, constants, mix, signed, unique_per_text
 
@@ -147,7 +147,7 @@ def near_duplicates(documents: DataFrame, banding: Banding = Banding()) -> DataF
     """
     percent = banding.percent
     scratch = Scratch(documents.sparkSession)
-    docs = documents.select("doc_id", "text").withColumn("row", row_name("doc_id", "text"))
+    docs = in_small_batches(documents).select("doc_id", "text").withColumn("row", row_name("doc_id", "text"))
     signed_docs = scratch.keep(
         docs.mapInArrow(lambda b: _signatures(b, banding), "doc_id long, row string, n_shingles long, node binary, keys array<long>")
     )

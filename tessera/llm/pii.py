@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, row_key
+from tessera.llm.common import checkpointed, in_small_batches, row_key
 
 #: Up to this many entities of later attempts (about 100 bytes each) are sent to every executor.
 BROADCAST_ROWS = 100_000
@@ -282,7 +282,7 @@ def pseudonymised(documents: DataFrame, key: bytes) -> DataFrame:
     repeated rows are replaced alike; without entities a text is unchanged. An empty table gives no rows. Whoever has
     ``key`` can derive the surrogates of a known entity again; without it they tell nothing of the original but its format.
     """
-    docs = documents.select(row_key("doc_id", "text").alias("row"), "doc_id", "text")
+    docs = in_small_batches(documents).select(row_key("doc_id", "text").alias("row"), "doc_id", "text")
     mentions = docs.select("row", "text").mapInArrow(_entities, "row long, kind string, entity string")
     state = settled(mentions.select("kind", "entity").distinct(), key)
     later = state.filter("attempt > 0").select("kind", "entity", "attempt")
