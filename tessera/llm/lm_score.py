@@ -23,7 +23,7 @@ about a chunk's size; replies go back the same way. So the rows grow with the nu
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,7 +137,7 @@ class Chunk:
     ``of[k]`` the number of the one that ends at each place (−1 for none), ``counts[k]`` their training occurrences here.
     """
 
-    def __init__(self, blob, order: int):
+    def __init__(self, blob, orders: Iterable[int]):
         self.pieces, tokens, begins, train, size = [], [np.empty(0, U)], [], [np.empty(0, bool)], 0
         for part in pa.ipc.open_stream(pa.py_buffer(blob)):
             found, first = sequence(Texts(part.column("text"), lower=True))
@@ -150,7 +150,7 @@ class Chunk:
         begin = np.concatenate(begins) if begins else np.empty(0, np.int64)
         place = np.arange(size) - np.repeat(begin, np.diff(np.append(begin, size)))
         self.keys, self.of, self.counts, self.ends = {}, {}, {}, {}
-        for k in range(1, order + 1):
+        for k in orders:
             at = np.flatnonzero(place >= k - 1)
             total = np.full(len(at), U(k))
             for j in range(k):
@@ -169,11 +169,15 @@ class Chunk:
 
 
 def _squeeze(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+    """Compressed values: all lowest bytes first, then all second ones, of which most are zero."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unsqueeze(data, count: int, kind: type) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data.as_buffer(), count * np.dtype(kind).itemsize, codec="zstd"), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data.as_buffer(), count * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, count).T).view(kind).ravel()
 
 
 def _dump(keys: np.ndarray) -> bytes:
@@ -181,7 +185,7 @@ def _dump(keys: np.ndarray) -> bytes:
     steps = np.diff(keys)
     width = (int(steps.max(initial=0)).bit_length() + 7) // 8
     planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return np.array([len(keys), width], "<i8").tobytes() + keys[:1].tobytes() + _squeeze(planes)
+    return np.array([len(keys), width], "<i8").tobytes() + keys[:1].tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _load(data) -> np.ndarray:
@@ -216,12 +220,11 @@ def _question(kind: int, chunk: int, keys: np.ndarray, x: np.ndarray, y: np.ndar
 
 
 def _ask(batches: Iterator[pa.RecordBatch], order: int, route: Route) -> Iterator[pa.RecordBatch]:
-    """The distinct words and n-grams of each chunk with their counts."""
+    """The distinct n-grams of ``order`` tokens of each chunk with their counts."""
     for batch in batches:
         for number, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
-            chunk = Chunk(blob.as_buffer(), order)
-            for k in range(1, order + 1):
-                yield _question(k, number, chunk.keys[k], chunk.counts[k].astype(np.int64), None, route)
+            chunk = Chunk(blob.as_buffer(), [order])
+            yield _question(order, number, chunk.keys[order], chunk.counts[order].astype(np.int64), None, route)
 
 
 def _gathered(asked: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray, np.ndarray]:
@@ -327,7 +330,7 @@ class Walk:
 
     def __init__(self, blob, replies: pa.Table, root: Root):
         options = root.options
-        self.chunk, self.root = Chunk(blob, options.order), root
+        self.chunk, self.root = Chunk(blob, range(1, options.order + 1)), root
         found = {(k, p): x for k, p, x in zip(replies.column("kind").to_pylist(), replies.column("part").to_pylist(), replies.column("reply"))}
         self.found = found
         self.total, self.mine, self.arc, self.state, self.prob, self.end, self.prefix = {}, {}, {}, {}, {}, {}, {}
@@ -416,8 +419,12 @@ def scores(documents: DataFrame, options: Backoff = Backoff(), modulus: int = 7,
     root = Root(options, Route(about["n"], FAN), about["tokens"])
     floor = max(options.least_count, options.gram_share * root.tokens)
     texts = packed.select("chunk", "blob")
-    asked = texts.mapInArrow(lambda b: _ask(b, options.order, root.route), QUESTIONS)
-    totals, types = _exchange(asked, root.route, lambda x: _totals(x, floor))
+    # One order after the other, so that the questions of one at a time are on disk.
+    totals, types = None, 0
+    for order in range(1, options.order + 1):
+        asked = texts.mapInArrow(lambda b, k=order: _ask(b, k, root.route), QUESTIONS)
+        told, found = _exchange(asked, root.route, lambda x: _totals(x, floor))
+        totals, types = told if totals is None else totals.union(told), types + found
     known = Root(options, root.route, root.tokens, types)
 
     def share(chunk: pa.Table, replies: pa.Table) -> pa.Table:

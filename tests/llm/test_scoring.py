@@ -153,7 +153,7 @@ def test_scores_through_levels_equal_those_of_one_level(spark, monkeypatch, fan)
     got = {r.doc_id: r.score for r in scores(docs).collect()}
     assert len(got) == 80 and all(abs(got[i] - want[i]) < 1e-4 for i in want)
     rows_asked, route = counted[0]
-    assert route.chunks >= 20 and len(route.fans) >= 3 and rows_asked <= 3 * fan * route.chunks
+    assert route.chunks >= 20 and len(route.fans) >= 3 and rows_asked <= fan * route.chunks
 
 
 def test_scores_of_nothing_and_without_training(spark):
