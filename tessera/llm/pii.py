@@ -1,21 +1,25 @@
 """Surrogates for personal data: every detected entity gets a keyed replacement of its own type and format.
 
-Detected are e-mail addresses, telephone numbers, IPv4 addresses, payment cards (by check digit), IBANs (by check digits),
-US social security numbers, secrets (access keys, passwords, tokens) and names behind a title. A replacement keeps the shape of
-what it replaces: digits stay digits, letters stay letters of their case and script, separators stay, check digits are right,
-an address stays in the same kind of network, a name keeps the gender of its title.
+Detected are e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment cards (by check digit), IBANs (by check
+digits), US social security numbers, secrets (access keys, passwords, tokens) and names: those behind a title, and every other
+mention, with a capital, of a name that the same document has behind a title. A replacement keeps the shape of what it replaces:
+digits stay digits, letters stay letters of their case and script, separators stay, check digits are right, an address stays in
+the same kind of network. A first name keeps its gender, which is that of the list of first names, else what most titles in the
+corpus tell of it. Where so many entities share a shape that replacements run out, later attempts are longer, or leave the kind
+of network, so that there is always one left.
 
 One entity has one replacement in the whole corpus (coreference), since it is derived from a secret key, the type and the
 normalised entity. That two entities never share a replacement (distinctness), and that no replacement is itself an entity of
 the corpus, is checked over all distinct entities: those that collide, except the smallest of them, are derived again with the
-next attempt number, until nothing collides. The few entities of a later attempt reach the documents by broadcast if there are
-few, else by a join; texts are replaced in one map.
+next attempt number, until nothing collides. The entities of a later attempt, or of a gender that titles tell, reach the
+documents by broadcast if there are few, else by a join; texts are replaced in one map.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, in_small_batches, row_key
+from tessera.llm.common import checkpointed, in_small_batches, row_name
 
-#: Up to this many entities of later attempts (about 100 bytes each) are sent to every executor.
+#: Up to this many entities of later attempts or told gender (about 100 bytes each) are sent to every executor.
 BROADCAST_ROWS = 100_000
+#: Attempts after which replacements are longer or leave the kind of network, and after which the search gives up.
+WIDER, LAST = 2, 64
 
 # Titles with the gender they tell.
 TITLES = {
@@ -50,16 +56,18 @@ SYLLABLES = {
     "cyrillic": "ба бо ва ви га го да до за зи ка ко ла ли ма ми на но па по ра ро са со та то".split(),
     "greek": "βα γα γο δα δι κα κο λα λι μα μι να νο πα πο ρα ρο σα τα το".split(),
 }
+GENDER = {name.casefold(): gender for (_, gender), names in FIRST_NAMES.items() for name in names}
 WORD = r"[^\W\d_][\w'’-]*"
 NAME = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\.?[  ](?=(?P<name>{WORD}(?:[  ]{WORD}){{0,2}}))")
-EMAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
+EMAIL = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
 TITLE = re.compile(r"[MHSDLPГΚ][\w.]{0,12}[  ]\w")
 DIGIT = re.compile(r"\d")
 DIGITS = re.compile(r"[+(]?\d[\d .()/-]*")
 IPV4 = re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)")
 CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)")
+PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|[2-9]\d{2} [2-9]\d{2} \d{4})(?![\w]|[.-]\d)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS = re.compile(r"(?<!\w)(?P<kind>AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)(?P<value>[A-Za-z0-9-]{12,})")
 ACCESS_KINDS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xox")
@@ -72,6 +80,7 @@ class Entity:
     end: int
     kind: str
     text: str  # normalised, what coreference goes by
+    gender: str = ""  # what the title tells of a first name
 
 
 def luhn(digits: str) -> bool:
@@ -95,6 +104,8 @@ def detect(text: str) -> list[Entity]:
         found += [Entity(*m.span("value"), "secret", m["value"]) for m in ASSIGNED.finditer(text)]
     if any(x in text for x in ACCESS_KINDS):
         found += [Entity(*m.span("value"), "secret", m["value"]) for m in ACCESS.finditer(text)]
+    if "::" in text or text.count(":") > 6:
+        found += [Entity(*m.span(), "ipv6", m[0].lower()) for m in IPV6.finditer(text) if _is_ipv6(m[0])]
     if DIGIT.search(text):
         found += [Entity(*m.span(), "iban", m[0].replace(" ", "")) for m in IBAN.finditer(text) if _iban_number(m[0].replace(" ", "")) % 97 == 1]
         for m in DIGITS.finditer(text):
@@ -106,19 +117,10 @@ def detect(text: str) -> list[Entity]:
                     plain = x[0] if kind == "ip" else re.sub(r"\D", "", x[0])
                     if kind != "card" or luhn(plain):
                         found.append(Entity(*x.span(), kind, plain))
-    for m in NAME.finditer(text) if TITLE.search(text) else ():
-        words = []
-        for w in re.finditer(WORD, m["name"]):
-            if not w[0][0].isupper():
-                break
-            words.append(w)
-        # Behind the title: first names, then the surname.
-        for i, w in enumerate(words):
-            role = "surname" if i == len(words) - 1 else f"first-{TITLES[m['title']]}"
-            found.append(Entity(m.start("name") + w.start(), m.start("name") + w.end(), f"{role}-{_script(w[0])}", w[0].casefold()))
+    found += _names(text) if TITLE.search(text) else []
     found.sort(key=lambda e: e.start)
     out: list[Entity] = []
-    rank = {k: i for i, k in enumerate(("email", "secret", "iban", "ip", "card", "ssn", "phone"))}
+    rank = {k: i for i, k in enumerate(("email", "secret", "iban", "ip", "ipv6", "card", "ssn", "phone"))}
     for e in found:
         while out and e.start < out[-1].end and rank.get(e.kind, 9) < rank.get(out[-1].kind, 9):
             out.pop()
@@ -127,6 +129,37 @@ def detect(text: str) -> list[Entity]:
     return out
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        return text.count(":") > 1 and any(c != ":" for c in text) and bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
+def _names(text: str) -> list[Entity]:
+    """Names behind a title, first names then the surname; and all other mentions of them, which also start with a capital."""
+    found, kinds = [], {}
+    for m in NAME.finditer(text):
+        words = []
+        for w in re.finditer(WORD, m["name"]):
+            if not w[0][0].isupper():
+                break
+            words.append(w)
+        for i, w in enumerate(words):
+            plain = w[0].casefold()
+            role = "surname" if i == len(words) - 1 else "first"
+            # A word that is a surname in one place and a first name in another is one entity of the document.
+            kind = kinds.setdefault(plain, f"{role}-{_script(w[0])}")
+            found.append(Entity(m.start("name") + w.start(), m.start("name") + w.end(), kind, plain, TITLES[m["title"]] if role == "first" else ""))
+    if kinds:
+        taken = {e.start for e in found}
+        again = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, kinds), key=len, reverse=True))})(?!\w)", re.IGNORECASE)
+        for m in again.finditer(text):
+            if m[0][0].isupper() and m.start() not in taken and (plain := m[0].casefold()) in kinds:
+                found.append(Entity(*m.span(), kinds[plain], plain))
+    return found
+
+
 def _script(word: str) -> str:
     point = ord(word[0])
     return "cyrillic" if 0x400 <= point < 0x530 else "greek" if 0x370 <= point < 0x400 else "latin"
@@ -156,30 +189,43 @@ def _shaped(text: str, draw: Stream) -> str:
         elif c.isascii() and c.isalpha():
             x = "abcdef"[draw.below(6)] if hexadecimal else "abcdefghijklmnopqrstuvwxyz"[draw.below(26)]
             out.append(x.upper() if c.isupper() else x)
+        elif c.isalpha():
+            letters = "".join(dict.fromkeys("".join(SYLLABLES[_script(c.lower())])))
+            x = letters[draw.below(len(letters))]
+            out.append(x.upper() if c.isupper() else x)
         else:
             out.append(c)
     return "".join(out)
 
 
-def surrogate(key: bytes, kind: str, text: str, attempt: int = 0) -> str:
+def surrogate(key: bytes, kind: str, text: str, attempt: int = 0, gender: str = "") -> str:
     """The normalised replacement of a normalised entity."""
     draw = Stream(key, kind, text, str(attempt))
+    longer = "x" * max(0, attempt - WIDER)
     if kind == "email":
         name, _, host = text.rpartition("@")
         labels = host.split(".")
-        return f"{_shaped(name, draw)}@{'.'.join([_shaped(x, draw) for x in labels[:-1]] + labels[-1:])}"
+        return f"{_shaped(name + longer, draw)}@{'.'.join([_shaped(x, draw) for x in labels[:-1]] + labels[-1:])}"
     if kind == "ip":
         a, b = map(int, text.split(".")[:2])
-        if a == 10 or a == 127:
+        private = a in (10, 127) or (a, b) in ((192, 168), (169, 254)) or (a == 172 and 16 <= b < 32)
+        if attempt > 2 * WIDER:
+            head = [240 + draw.below(15), draw.below(256)]  # reserved addresses
+        elif private and attempt > WIDER:
+            head = [10, draw.below(256)]
+        elif a == 10 or a == 127:
             head = [a, draw.below(256)]
-        elif (a, b) == (192, 168) or (a, b) == (169, 254):
+        elif private and a != 172:
             head = [a, b]
-        elif a == 172 and 16 <= b < 32:
+        elif private:
             head = [a, 16 + draw.below(16)]
         else:
             first = [x for x in range(1, 224) if x not in (10, 127, 169, 172, 192)]
             head = [first[draw.below(len(first))], draw.below(256)]
         return ".".join(map(str, [*head, draw.below(256), 1 + draw.below(254)]))
+    if kind == "ipv6":
+        groups = [f"{1 + draw.below(16 ** min(4, len(g) + len(longer)) - 1):x}" if g else "" for g in text.split(":")]
+        return ":".join(groups) if _is_ipv6(":".join(groups)) else text
     if kind == "card":
         body = text[0] + "".join(str(draw.below(10)) for _ in text[1:-1])
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
@@ -190,17 +236,17 @@ def surrogate(key: bytes, kind: str, text: str, attempt: int = 0) -> str:
         keep = max(0, len(text) - 10)  # country code
         return text[:keep] + "".join(str(2 + draw.below(8)) if i in (0, 3) else str(draw.below(10)) for i in range(len(text) - keep))
     if kind == "ssn":
-        return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
+        area = 900 + draw.below(100) if attempt > 2 * WIDER else 1 + draw.below(665)  # from 900 on, none are issued
+        return f"{area:03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
     if kind == "secret":
-        return _shaped(text, draw)
-    role, _, rest = kind.partition("-")
-    script = rest.rpartition("-")[2]
+        return _shaped(text + longer, draw)
+    role, _, script = kind.partition("-")
     if role == "first":
-        gender = rest[0]
-        names = FIRST_NAMES[script, gender] if gender != "n" else FIRST_NAMES[script, "m"] + FIRST_NAMES[script, "f"]
+        gender = GENDER.get(text, gender)
+        names = FIRST_NAMES[script, gender] if gender in ("m", "f") else FIRST_NAMES[script, "m"] + FIRST_NAMES[script, "f"]
         # Further attempts compound names, so that there are always enough.
         return "-".join(names[draw.below(len(names))] for _ in range(1 + attempt)).casefold()
-    return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + min(attempt, 3)))
+    return "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + attempt))
 
 
 def dressed(original: str, kind: str, plain: str) -> str:
@@ -213,38 +259,42 @@ def dressed(original: str, kind: str, plain: str) -> str:
     return plain
 
 
-def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[Entity]]:
-    """The text with every entity replaced, and the entities."""
+Told = dict[tuple[str, str], tuple[int, str]]
+
+
+def replaced(text: str, key: bytes, told: Told) -> tuple[str, list[Entity]]:
+    """The text with every entity replaced, and the entities; ``told`` has attempt and gender of entities where they matter."""
     found = detect(text)
     out, at = [], 0
     for e in found:
-        out += [text[at : e.start], dressed(text[e.start : e.end], e.kind, surrogate(key, e.kind, e.text, attempts.get((e.kind, e.text), 0)))]
+        out += [text[at : e.start], dressed(text[e.start : e.end], e.kind, surrogate(key, e.kind, e.text, *told.get((e.kind, e.text), ())))]
         at = e.end
     return "".join([*out, text[at:]]), found
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, kinds, texts = [], [], []
-        for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
-            for kind, entity in {(e.kind, e.text) for e in detect(text.as_py() or "")}:
-                rows.append(row)
-                kinds.append(kind)
-                texts.append(entity)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], names=["row", "kind", "entity"])
+        rows = [(row, *e) for row, text in zip(batch.column("row").to_pylist(), batch.column("text")) for e in {(e.kind, e.text, e.gender) for e in detect(text.as_py() or "")}]
+        row, kind, entity, gender = zip(*rows) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.string()), *(pa.array(x, pa.string()) for x in (kind, entity, gender))], names=["row", "kind", "entity", "gender"])
 
 
 def _derived(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [surrogate(key, *x) for x in zip(batch.column("kind").to_pylist(), batch.column("entity").to_pylist(), batch.column("attempt").to_pylist())]
+        made = [surrogate(key, *x) for x in zip(*(batch.column(c).to_pylist() for c in ("kind", "entity", "attempt", "gender")))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, "surrogate"])
 
 
 def settled(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, attempt, surrogate) for distinct (kind, entity): no two surrogates of a kind agree, none is an entity."""
-    fields = "kind string, entity string, attempt int"
-    state = entities.select("kind", "entity", F.lit(0).alias("attempt"))
-    while True:
+    """(kind, entity, attempt, gender, surrogate) for distinct (kind, entity): no two surrogates of a kind agree, none is an entity.
+
+    ``gender`` is what most titles tell of a first name, m or f, and empty if they tell nothing or as much of either.
+    """
+    fields = "kind string, entity string, attempt int, gender string"
+    votes = F.sum(F.when(F.col("gender") == "m", 1).when(F.col("gender") == "f", -1).otherwise(0))
+    state = entities.groupBy("kind", "entity").agg(votes.alias("votes"))
+    state = state.select("kind", "entity", F.lit(0).alias("attempt"), F.when(F.col("votes") > 0, "m").when(F.col("votes") < 0, "f").otherwise("").alias("gender"))
+    for _ in range(LAST):
         state = checkpointed(state.mapInArrow(lambda b: _derived(b, key), f"{fields}, surrogate string"))
         shared = state.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("least")).filter("n > 1")
         twice = state.join(shared, ["kind", "surrogate"]).filter("entity <> least").select("kind", "entity")
@@ -253,21 +303,22 @@ def settled(entities: DataFrame, key: bytes) -> DataFrame:
         if again.isEmpty():
             return state
         again = again.withColumn("again", F.lit(1))
-        state = state.join(again, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
+        state = state.join(again, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"), "gender")
+    raise RuntimeError(f"surrogates still collide after {LAST} attempts")
 
 
-RESULT = "row long, doc_id long, text string, n_entities long, entities array<struct<start:int,end:int,kind:string>>"
+RESULT = "row string, doc_id long, text string, n_entities long, entities array<struct<start:int,end:int,kind:string>>"
 
 
-def _write(batches: Iterator[pa.RecordBatch], key: bytes, everywhere: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], key: bytes, everywhere: Told) -> Iterator[pa.RecordBatch]:
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
     for batch in batches:
-        own = batch.column("attempts").to_pylist() if "attempts" in batch.schema.names else None
+        own = batch.column("told").to_pylist() if "told" in batch.schema.names else None
         texts, found = [], []
         for i, text in enumerate(batch.column("text")):
             text = text.as_py()
-            attempts = everywhere if own is None else {(x["kind"], x["entity"]): x["attempt"] for x in own[i] or ()}
-            new, entities = (None, []) if text is None else replaced(text, key, attempts)
+            told = everywhere if own is None else {(x["kind"], x["entity"]): (x["attempt"], x["gender"]) for x in own[i] or ()}
+            new, entities = (None, []) if text is None else replaced(text, key, told)
             texts.append(new)
             found.append([{"start": e.start, "end": e.end, "kind": e.kind.partition("-")[0]} for e in entities])
         yield pa.RecordBatch.from_arrays(
@@ -282,13 +333,13 @@ def pseudonymised(documents: DataFrame, key: bytes) -> DataFrame:
     repeated rows are replaced alike; without entities a text is unchanged. An empty table gives no rows. Whoever has
     ``key`` can derive the surrogates of a known entity again; without it they tell nothing of the original but its format.
     """
-    docs = in_small_batches(documents).select(row_key("doc_id", "text").alias("row"), "doc_id", "text")
-    mentions = docs.select("row", "text").mapInArrow(_entities, "row long, kind string, entity string")
-    state = settled(mentions.select("kind", "entity").distinct(), key)
-    later = state.filter("attempt > 0").select("kind", "entity", "attempt")
+    docs = in_small_batches(documents).select(row_name("doc_id", "text").alias("row"), "doc_id", "text")
+    mentions = docs.select("row", "text").mapInArrow(_entities, "row string, kind string, entity string, gender string")
+    state = settled(mentions.select("kind", "entity", "gender"), key)
+    later = state.filter("attempt > 0 or gender <> ''").select("kind", "entity", "attempt", "gender")
     if (count := later.count()) > BROADCAST_ROWS:
-        of_row = mentions.distinct().join(later, ["kind", "entity"]).groupBy("row").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("attempts"))
+        of_row = mentions.select("row", "kind", "entity").distinct().join(later, ["kind", "entity"]).groupBy("row").agg(F.collect_list(F.struct("kind", "entity", "attempt", "gender")).alias("told"))
         return docs.join(of_row, "row", "left").mapInArrow(lambda b: _write(b, key, {}), RESULT)
-    everywhere = {(r["kind"], r["entity"]): r["attempt"] for r in later.collect()} if count else {}
+    everywhere = {(r["kind"], r["entity"]): (r["attempt"], r["gender"]) for r in later.collect()} if count else {}
     held = documents.sparkSession.sparkContext.broadcast(everywhere)
     return docs.mapInArrow(lambda b: _write(b, key, held.value), RESULT)

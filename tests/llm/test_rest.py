@@ -1,6 +1,7 @@
 """Extraction, search, surrogates, mixing, packing, and the pipeline."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import corpus_pipeline
 from tessera.llm.html_extract import Block, Labeller, blocks, fit, label, main_text
 from tessera.llm.mixing import Mix, mixed
 from tessera.llm.packing import Packing, best_fit, packed
-from tessera.llm.pii import detect, luhn, pseudonymised, replaced, settled, surrogate
+from tessera.llm.pii import FIRST_NAMES, detect, luhn, pseudonymised, replaced, settled, surrogate
 from tessera.llm.topk import PivotIndex, top_k
 from tests.llm.cases import documents, nothing, words
 
@@ -81,13 +82,55 @@ def test_entities_and_their_formats():
 
 
 def test_surrogates_stay_distinct_and_are_no_entities(spark):
-    names = spark.createDataFrame([("first-m-latin", f"name{i}") for i in range(60)] + [("first-m-latin", "adam"), ("ssn", "123456789")], "kind string, entity string")
+    names = spark.createDataFrame([("first-latin", f"name{i}", "m") for i in range(60)] + [("first-latin", "adam", ""), ("ssn", "123456789", "")], "kind string, entity string, gender string")
     got = settled(names, b"k").collect()
     made = Counter((r.kind, r.surrogate) for r in got)
     assert len(got) == 62 and max(made.values()) == 1
     assert not {(r.kind, r.entity) for r in got} & set(made)
 
 
+def test_surrogates_of_a_crowded_space_end(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{a}@{b}.com", "") for a in letters for b in letters][:400] + [("ip", f"192.168.{i // 256}.{i % 256}", "") for i in range(40_000)]
+    got = settled(spark.createDataFrame(rows, "kind string, entity string, gender string"), b"k")
+    made = [(r.kind, r.surrogate) for r in got.collect()]
+    assert len(made) == len(set(made)) == len(rows) and not {(k, e) for k, e, _ in rows} & set(made)
+
+
+def test_one_name_has_one_surrogate_whatever_stands_before_it(spark):
+    text = "Dr. Anna Smith met Frau Anna Smith. Anna Smith and Smith left, ANNA too; a smith stayed. Herr Kim, Sir Kimo Lee and Prof Kimo Lee."
+    new = {r.doc_id: r.text for r in pseudonymised(spark.createDataFrame([(1, text), (2, "Prof Kimo Lee"), (3, "Smith and Anna alone")], "doc_id long, text string"), b"k").collect()}
+    w = new[1].replace(".", " ").replace(",", " ").replace(";", " ").split()
+    first, last = w[1], w[2]
+    assert first.casefold() in {x.casefold() for x in FIRST_NAMES["latin", "f"]} and first != "Anna" and last != "Smith"
+    assert new[1].startswith(f"Dr. {first} {last} met Frau {first} {last}. {first} {last} and {last} left, {first.upper()} too; a smith stayed. Herr ")
+    man = new[2].split()[1]
+    assert man.casefold() in {x.casefold() for x in FIRST_NAMES["latin", "m"]} and new[1].count(f"{man} ") == 2 and new[3] == "Smith and Anna alone"
+
+
+def test_surrogates_of_a_planted_corpus(spark):
+    """Entities planted in plain sentences: every mention goes, one replacement for each, none for two, other words stay."""
+    draw = random.Random(4)
+    mails = [f"user{i}.q@host{i % 9}.example.org" for i in range(20)] + ["jörg.ä@müller.de", "иван@почта.рф"]
+    others = [f"10.1.{i}.7" for i in range(20)] + ["2001:db8::ff00:42", f"fe80::{'1:' * 4}a", "415 555 2671", "+49 30 901820 11", "123-45-6789"]
+    planted = mails + others
+    rows = []
+    for i in range(60):
+        chosen = [draw.choice(planted) for _ in range(3)]
+        rows.append((i, f"note {i} says {chosen[0]} and then {chosen[1]} ; also {chosen[2]} . end of it", chosen))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pseudonymised(docs, b"key").collect()}
+    pattern = re.compile(r"note (\d+) says (.+) and then (.+) ; also (.+) \. end of it")
+    seen = {}
+    for i, _, chosen in rows:
+        number, *new = pattern.fullmatch(got[i]).groups()
+        assert int(number) == i
+        for old, made in zip(chosen, new):
+            assert made != old and seen.setdefault(old, made) == made
+            assert [c for c in made if not c.isalnum()] == [c for c in old if not c.isalnum()]
+    assert len(set(seen.values())) == len(seen) and not set(seen.values()) & set(planted)
+
+
 def test_surrogates_keep_coreference_and_other_texts(spark):
     extra = [(20, "mail a.b@c.org now", "en", "a", 1), (21, "A.B@C.ORG and 42.144.35.254", "en", "a", 1)]
     docs = documents(spark, extra)
