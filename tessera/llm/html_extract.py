@@ -84,7 +84,7 @@ class _Reader(HTMLParser):
             self.held.append(" ")
         if tag in VOID_TAGS:
             return
-        told = [x for key, value in attrs if key in ("class", "id", "role") and value for x in value.lower().split()[:6]]
+        told = [x for key, value in attrs if key in ("class", "id", "role") and value for x in value.lower().split()]
         self.open.append((tag, " ".join([tag, *told])))
         self.links += tag == "a"
         self.silent += tag in SILENT_TAGS
@@ -127,6 +127,7 @@ class Labeller:
     hidden: int = 16
     train_pages: int = 240
     layouts: int = 800
+    train_blocks: int = 200  # blocks of a page that one training sequence may have; longer pages are several sequences
     epochs: int = 24
     batch: int = 32
     rate: float = 0.02
@@ -307,16 +308,25 @@ def _layout(random: np.random.Generator, own: list[Block], other: list[str], sen
         part(ADVERT_LAYOUTS, ["", "p", "a"][random.integers(3)], some(1, 1, other or sentences), chance(0.4))
     if chance(0.2):
         part(SIDE_LAYOUTS, ["li a", "p"][random.integers(2)], some(1, 5, sentences), chance(0.6))
-    words = CONTENT_LAYOUTS[random.integers(len(CONTENT_LAYOUTS))].split(" ")
+    words = (CONTENT_LAYOUTS[random.integers(2)] if chance(0.3) else CONTENT_LAYOUTS[random.integers(len(CONTENT_LAYOUTS))]).split(" ")
     base = [*outer, words[0] + (" " + " ".join(words[1:2]) if len(words) > 1 else ""), *words[2:]]
-    for b in own:
+    # A run of the blocks may stand in a list, a quotation, a table or the like.
+    kinds = [["ul", "li"], ["ul", "li"], ["ol", "li"], ["pre"], ["blockquote", "p"], ["div"], ["table", "tr", "td"], ["h2"], ["section", "p"]]
+    begin, other_kind = random.integers(len(own)), kinds[random.integers(len(kinds))]
+    run = range(begin, begin + random.integers(1, 5)) if chance(0.8) else range(0)
+    for i, b in enumerate(own):
         inner = [x for x in b.path if re.match(r"(?:p|h[1-6]|li|ul|ol|blockquote|b|i|em|strong|span|td|tr|table|pre)\b", x)]
         inner = [x.partition(" ")[0] for x in inner]
-        if inner[:1] == ["p"] and chance(0.15):
-            inner = [["li"], ["blockquote", "p"], ["div"], ["td"], ["h2"]][random.integers(5)]
+        if inner[:1] == ["p"] and i in run:
+            inner = other_kind
         page.append((Block((*base, *inner), b.text, b.linked), 1.0))
         if chance(0.04):
             part(ADVERT_LAYOUTS, "", some(1, 1, other or sentences), False)
+    if chance(0.2):
+        # Comments of readers inside the element that holds the article.
+        page_outer, outer = outer, base
+        part(COMMENT_LAYOUTS, ["p", "div", "li"][random.integers(3)], some(1, 8, sentences), False)
+        outer = page_outer
     if chance(0.3):
         part(SIDE_LAYOUTS, ["li a", "p", "li"][random.integers(3)], some(1, 6, sentences), chance(0.6))
     if chance(0.25):
@@ -342,11 +352,14 @@ def fit(pages: list[str], labeller: Labeller) -> BiLstm:
     other = [b.text for page, y in samples for b, x in zip(page, y) if x == 0]
     sentences = [s for a in articles for b in a for s in re.split(r"(?<=[.!?]) ", b.text) if 2 <= len(s.split()) <= 40]
     if articles and sentences:
-        # Short articles and parts of long ones, so that length does not tell.
-        samples += [_layout(random, a[: random.integers(1, len(a) + 1)], other, sentences) for a in (articles[random.integers(len(articles))] for _ in range(labeller.layouts))]
+        # Short articles and parts of long ones, with or without their beginning, so that neither length nor a title tells.
+        for _ in range(labeller.layouts):
+            a = articles[random.integers(len(articles))]
+            begin = random.integers(len(a)) if random.random() < 0.4 else 0
+            samples.append(_layout(random, a[begin : random.integers(begin + 1, len(a) + 1)], other, sentences))
     if not samples:
         return net
-    cut = 200  # blocks of a page that one training sequence may have; longer pages are several sequences
+    cut = labeller.train_blocks
     samples = [(page[k : k + cut], y[k : k + cut]) for page, y in samples for k in range(0, len(page), cut)]
     inputs = [vectors(page, labeller) for page, _ in samples]
     truths = [np.array(y, np.float32) for _, y in samples]
@@ -365,6 +378,9 @@ def fit(pages: list[str], labeller: Labeller) -> BiLstm:
             hidden = random.random(x.shape[1]) < 0.15
             x[:, hidden, : labeller.path_size] = 0
             weight[:, hidden] *= 0.3
+            # Words are hidden in others, so that pages in languages that the sample lacks are read by the rest.
+            foreign = ~hidden & (random.random(x.shape[1]) < 0.4)
+            x[:, foreign, labeller.path_size : labeller.path_size + labeller.word_size] = 0
             grads = net.gradients(x, sizes, np.nan_to_num(truth), weight)
             norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
             step += 1
@@ -428,7 +444,8 @@ def main_text(pages: DataFrame, labeller: Labeller = Labeller(), net: BiLstm | N
     rows. The labeller is fitted on the ``train_pages`` pages of smallest hash unless ``net`` is given.
     """
     if net is None:
-        sample = hash_sample(pages.filter("html is not null").select("page_id", "html"), pages.count(), ("page_id", "html"), labeller.train_pages)
+        usable = pages.filter("html is not null").select("page_id", "html")
+        sample = hash_sample(usable, usable.count(), ("page_id", "html"), labeller.train_pages)
         net = fit([r["html"] for r in sample.collect()], labeller)
     held = pages.sparkSession.sparkContext.broadcast(net)
     return pages.select("page_id", "url", "html").mapInArrow(lambda b: _extract(b, held.value, labeller), "page_id long, url string, text string, n_chars long, n_blocks long")

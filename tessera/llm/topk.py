@@ -88,7 +88,7 @@ def layout(sample: np.ndarray, bound: float, pivots_wanted: int, index: PivotInd
     return out
 
 
-INDEXED = "vec_id long, cell int, distance double, v array<{}>"
+INDEXED = "vec_id long, at long, cell int, distance double, v array<{}>"
 
 
 def _index(batches: Iterator[pa.RecordBatch], held, index: PivotIndex) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def _index(batches: Iterator[pa.RecordBatch], held, index: PivotIndex) -> Iterat
         pivot = distance.argmin(1)
         own = distance[np.arange(len(pivot)), pivot]
         annulus = (own[:, None] > held.value.edges[pivot]).sum(1)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array((pivot * index.annuli + annulus).astype(np.int32)), pa.array(own), batch.column("v")], names=["vec_id", "cell", "distance", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("at"), pa.array((pivot * index.annuli + annulus).astype(np.int32)), pa.array(own), batch.column("v")], names=["vec_id", "at", "cell", "distance", "v"])
 
 
 def _bounds(queries: np.ndarray, cells: np.ndarray, held: Layout, index: PivotIndex) -> np.ndarray:
@@ -113,20 +113,21 @@ def _bounds(queries: np.ndarray, cells: np.ndarray, held: Layout, index: PivotIn
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    """One row for a group of vectors: their ids and their components in one list."""
-    table = table.sort_by("vec_id")
-    ids = table.column("vec_id").combine_chunks()
+    """One row for a group of vectors: their ids, which rows they are, and their components in one list."""
+    table = table.sort_by([("vec_id", "ascending"), ("at", "ascending")])
+    ids, at = table.column("vec_id").combine_chunks(), table.column("at").combine_chunks()
     vectors = table.column("v").combine_chunks()
     return pa.table(
         {
             "key": pa.array([table.column("key")[0].as_py()], pa.int64()),
             "ids": pa.ListArray.from_arrays([0, len(ids)], ids),
+            "at": pa.ListArray.from_arrays([0, len(at)], at),
             "v": pa.ListArray.from_arrays([0, len(vectors.flatten())], vectors.flatten()),
         }
     )
 
 
-PACKED = "key long, ids array<long>, v array<{}>"
+PACKED = "key long, ids array<long>, at array<long>, v array<{}>"
 
 
 def _route(batches: Iterator[pa.RecordBatch], cells, held, index: PivotIndex, dimension: int, k: int, first: bool) -> Iterator[pa.RecordBatch]:
@@ -152,7 +153,7 @@ def _multiply(batches: Iterator[pa.RecordBatch], dimension: int, k: int, exact:
     """The k best of each query of the group in the block; ties to the smaller id."""
     for batch in batches:
         for i in range(batch.num_rows):
-            query_ids, block_ids = (np.asarray(batch.column(c)[i].values) for c in ("query_ids", "ids"))
+            query_ids, block_ids, block_rows = (np.asarray(batch.column(c)[i].values) for c in ("query_ids", "ids", "at"))
             q, x = (_matrix(batch.column(c).slice(i, 1), dimension) for c in ("q", "v"))
             if exact:
                 scores = (q @ x.T).astype(np.int64)
@@ -172,7 +173,7 @@ def _multiply(batches: Iterator[pa.RecordBatch], dimension: int, k: int, exact:
             row, at = row[order], at[order]
             best = np.arange(len(row)) - np.searchsorted(row, row) < k
             row, at = row[best], at[best]
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(block_ids[at]), pa.array(scores[row, at])], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(block_ids[at]), pa.array(block_rows[at]), pa.array(scores[row, at])], names=["query_id", "vec_id", "at", "score"])
 
 
 def top_k(embeddings: DataFrame, k: int = 5, query_modulus: int = 50, index: PivotIndex = PivotIndex()) -> DataFrame:
@@ -180,13 +181,13 @@ def top_k(embeddings: DataFrame, k: int = 5, query_modulus: int = 50, index: Piv
 
     Queries are rows whose vec_id is divisible by ``query_modulus``; candidates are all rows but those of the query's own id.
     Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without vec_id. Vectors are
-    compared with those of their own dimension only. Rows that repeat both id and vector count once; other rows that share an
-    id count each, and a query id of several vectors gets the best over all of them. A query with fewer than k candidates gets all of them; an empty table gives no rows.
+    compared with those of their own dimension only. Rows that share an id, or repeat id and vector, are candidates each; a
+    query id of several rows is one query, which scores a candidate by the best of its vectors. A query with fewer than k candidates gets all of them; an empty table gives no rows.
     """
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * index.scale).cast("double"))
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = embeddings.filter("vec_id is not null and size(embedding) > 0").filter(usable).select("vec_id", whole.alias("v"))
-    rows = checkpointed(rows.dropDuplicates(["vec_id", "v"]))
+    rows = checkpointed(rows.withColumn("at", F.monotonically_increasing_id()))
     sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy("n").collect()
     out = [_of_dimension(rows.filter(F.size("v") == r["n"]), r["n"], k, query_modulus, index) for r in sizes if r["rows"] > 1]
     if not out:
@@ -217,9 +218,9 @@ def _of_dimension(rows: DataFrame, dimension: int, k: int, modulus: int, index:
     size = len(held.value.pivots) * index.annuli
     by_cell = lambda values: F.element_at(F.lit([int(x) for x in values]), F.col("cell") + 1).cast("long")
     place = cells.value[:, 0].astype(int)
-    spread = F.xxhash64("vec_id", "v")
+    spread = F.xxhash64("at")
     salt = F.pmod(spread, by_cell(np.bincount(place, cells.value[:, 4], size)))
-    blocks = keyed.select((F.col("cell").cast("long") * (1 << 32) + salt).alias("key"), "vec_id", "v").groupBy("key").applyInArrow(_pack, PACKED.format(kind))
+    blocks = keyed.select((F.col("cell").cast("long") * (1 << 32) + salt).alias("key"), "vec_id", "at", "v").groupBy("key").applyInArrow(_pack, PACKED.format(kind))
     blocks = checkpointed(blocks)
     # Queries of neighbouring cells share a group until it is full, so that they want the same annuli; a cell of more queries
     # than a group holds is dealt to several.
@@ -227,17 +228,20 @@ def _of_dimension(rows: DataFrame, dimension: int, k: int, modulus: int, index:
     opens = (np.cumsum(asked) - asked) // index.group_rows
     groups = np.maximum(1, -(-asked // index.group_rows))
     key = by_cell(np.bincount(place, opens, size)) * (1 << 32) + F.pmod(spread, by_cell(np.maximum(1, np.bincount(place, groups, size))))
-    packed = keyed.filter(is_query).select(key.alias("key"), "vec_id", "v").groupBy("key").applyInArrow(_pack, PACKED.format(kind))
+    queries = keyed.filter(is_query).dropDuplicates(["vec_id", "v"])
+    packed = queries.select(key.alias("key"), "vec_id", "at", "v").groupBy("key").applyInArrow(_pack, PACKED.format(kind))
     packed = checkpointed(packed).select("key", F.col("ids").alias("query_ids"), "v")
 
     def read(route: DataFrame) -> DataFrame:
         wanted = route.select("group", (F.col("cell").cast("long") * (1 << 32)).alias("base"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         pairs = wanted.select("group", (F.col("base") + F.col("salt")).alias("key"))
         both = pairs.join(blocks, "key").join(packed.select(F.col("key").alias("group"), "query_ids", F.col("v").alias("q")), "group")
-        return both.select("query_ids", "q", "ids", "v").mapInArrow(lambda b: _multiply(b, dimension, k, exact), "query_id long, vec_id long, score long")
+        return both.select("query_ids", "q", "ids", "at", "v").mapInArrow(lambda b: _multiply(b, dimension, k, exact), "query_id long, vec_id long, at long, score long")
 
     def best(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "at")
+        # A row that several vectors of one query id have met counts once.
+        found = found.groupBy("query_id", "vec_id", "at").agg(F.max("score").alias("score"))
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     route = "group long, cell int, salts int"
