@@ -111,7 +111,7 @@ def _pack(batches: Iterator[pa.RecordBatch], pack_bytes: int) -> Iterator[pa.Rec
 
     def row() -> pa.RecordBatch:
         sink = io.BytesIO()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as out:
             for x in held:
                 out.write_batch(x)
         return pa.RecordBatch.from_arrays([pa.array([place << 32 | number], pa.int64()), pa.array([sink.getvalue()], pa.binary()), pa.array([tokens], pa.int64())], names=["chunk", "blob", "tokens"])
@@ -355,26 +355,42 @@ class Walk:
         parts = [_unsqueeze(self.found[kind, p], b - a, dtype) for p, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
         return np.concatenate(parts) if parts else np.empty(0, dtype)
 
+    def steps(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, state, longer n-gram) of each token that is read in a state of k tokens."""
+        at = self.chunk.ends[k + 1]
+        state, gram = self.chunk.of[k][at - 1], self.chunk.of[k + 1][at]
+        on = self.state[k][state]
+        return at[on], state[on], gram[on]
+
+    def given(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each n-gram of k tokens, what the arcs entrusted to this chunk take of it, and what the shorter state gives to their tokens."""
+        arcs = np.flatnonzero(self.arc[k + 1] & self.mine[k + 1])
+        into, lower = self.prefix[k + 1][arcs], self.chunk.of[k][self.end[k + 1][arcs]]
+        size = len(self.chunk.keys[k])
+        return np.bincount(into, self.prob[k + 1][arcs], size), np.bincount(into, self.prob[k][lower], size)
+
+    def asked(self, k: int, kept: np.ndarray) -> np.ndarray:
+        """The states whose backoff weight this chunk asks for: those that it has arcs of, and those that a text of it leaves by failure."""
+        _, state, gram = self.steps(k)
+        fails = np.zeros(len(kept), bool)
+        fails[state[~self.arc[k + 1][gram]]] = True
+        return self.state[k] & (fails | (kept > 0))
+
     def shares(self, number: int) -> Iterator[pa.RecordBatch]:
-        """For each state, what the arcs entrusted to this chunk take of it and what the shorter state gives to their tokens."""
+        """What this chunk has to say of the states that it asks for."""
         for k in range(1, self.root.options.order):
-            arcs = np.flatnonzero(self.arc[k + 1] & self.mine[k + 1])
-            into, lower = self.prefix[k + 1][arcs], self.chunk.of[k][self.end[k + 1][arcs]]
-            size, on = len(self.chunk.keys[k]), self.state[k]
-            kept, covered = np.bincount(into, self.prob[k + 1][arcs], size), np.bincount(into, self.prob[k][lower], size)
+            kept, covered = self.given(k)
+            on = self.asked(k, kept)
             yield _question(-k, number, self.chunk.keys[k][on], kept[on], covered[on], self.root.route)
 
     def log_probabilities(self) -> np.ndarray:
         """log10 probability of each token, read left to right."""
-        of = self.chunk.of
-        total = np.log10(self.prob[1])[of[1]]
+        total = np.log10(self.prob[1])[self.chunk.of[1]]
         for k in range(1, self.root.options.order):
             back = np.zeros(len(self.chunk.keys[k]))
-            back[self.state[k]] = self.answers(-k, self.chunk.keys[k][self.state[k]], np.float32)
-            at = self.chunk.ends[k + 1]
-            state, gram = of[k][at - 1], of[k + 1][at]
-            on = self.state[k][state]
-            at, state, gram = at[on], state[on], gram[on]
+            on = self.asked(k, self.given(k)[0])
+            back[on] = self.answers(-k, self.chunk.keys[k][on], np.float32)
+            at, state, gram = self.steps(k)
             hit = self.arc[k + 1][gram]
             total[at] = np.where(hit, np.log10(np.where(hit, self.prob[k + 1][gram], 1)), back[state] + total[at])
         return total
