@@ -23,7 +23,7 @@ about a chunk's size; replies go back the same way. So the rows grow with the nu
 from __future__ import annotations
 
 import io
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,36 +130,53 @@ def _pack(batches: Iterator[pa.RecordBatch], pack_bytes: int) -> Iterator[pa.Rec
         yield row()
 
 
-class Chunk:
-    """Tokens of a chunk and, for each order k, its distinct n-grams.
+class Tokens:
+    """Tokens of a chunk, text after text: their hashes, their places in their texts, and whether they are learned from."""
 
-    ``ends[k]`` are the places where an n-gram of k tokens inside one text ends, ``keys[k]`` the distinct ones in order,
-    ``of[k]`` the number of the one that ends at each place (−1 for none), ``counts[k]`` their training occurrences here.
-    """
-
-    def __init__(self, blob, orders: Iterable[int]):
-        self.pieces, tokens, begins, train, size = [], [np.empty(0, U)], [], [np.empty(0, bool)], 0
+    def __init__(self, blob):
+        self.pieces, tokens, places, train, size = [], [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, bool)], 0
         for part in pa.ipc.open_stream(pa.py_buffer(blob)):
             found, first = sequence(Texts(part.column("text"), lower=True))
             self.pieces.append((part.select(["doc_id", "train"]), first + size))
             tokens.append(found)
-            begins.append(first[:-1] + size)
+            places.append(np.arange(len(found)) - np.repeat(first[:-1], np.diff(first)))
             train.append(np.repeat(part.column("train").to_numpy(zero_copy_only=False), np.diff(first)))
             size += len(found)
-        self.tokens, train = np.concatenate(tokens), np.concatenate(train)
-        begin = np.concatenate(begins) if begins else np.empty(0, np.int64)
-        place = np.arange(size) - np.repeat(begin, np.diff(np.append(begin, size)))
-        self.keys, self.of, self.counts, self.ends = {}, {}, {}, {}
-        for k in orders:
-            at = np.flatnonzero(place >= k - 1)
-            total = np.full(len(at), U(k))
-            for j in range(k):
-                total += self.tokens[at - j] * PLACE[j]
-            self.keys[k], inverse = np.unique(mix(total), return_inverse=True)
-            self.of[k] = np.full(size, -1, np.int32)
+        self.tokens, self.place, self.train = np.concatenate(tokens), np.concatenate(places), np.concatenate(train)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(where it ends, key) of every n-gram of k tokens inside one text; keys are even."""
+        at = np.flatnonzero(self.place >= k - 1)
+        total = np.full(len(at), U(k))
+        for j in range(k):
+            total += self.tokens[at - j] * PLACE[j]
+        return at, mix(total) & ~U(1)
+
+    def counted(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams of k tokens in order, and how often each is learned from."""
+        at, keys = self.grams(k)
+        both = np.sort(keys | self.train[at])
+        keys = both & ~U(1)
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        return keys[first], np.add.reduceat(both & U(1), first).astype(np.int64) if len(first) else np.empty(0, np.int64)
+
+
+class Chunk(Tokens):
+    """Tokens of a chunk and, for each order k, its distinct n-grams.
+
+    ``ends[k]`` are the places where an n-gram of k tokens inside one text ends, ``keys[k]`` the distinct ones in order,
+    ``of[k]`` the number of the one that ends at each place (−1 for none).
+    """
+
+    def __init__(self, blob, order: int):
+        super().__init__(blob)
+        self.keys, self.of, self.ends = {}, {}, {}
+        for k in range(1, order + 1):
+            at, keys = self.grams(k)
+            self.keys[k], inverse = np.unique(keys, return_inverse=True)
+            self.of[k] = np.full(len(self.tokens), -1, np.int32)
             self.of[k][at] = inverse
             self.ends[k] = at
-            self.counts[k] = np.bincount(inverse, train[at], len(self.keys[k])).astype(np.int64)
 
     def some_end(self, k: int) -> np.ndarray:
         """A place where each distinct n-gram ends."""
@@ -220,11 +237,12 @@ def _question(kind: int, chunk: int, keys: np.ndarray, x: np.ndarray, y: np.ndar
 
 
 def _ask(batches: Iterator[pa.RecordBatch], order: int, route: Route) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of ``order`` tokens of each chunk with their counts."""
+    """The distinct words and n-grams of each chunk with their counts."""
     for batch in batches:
         for number, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob")):
-            chunk = Chunk(blob.as_buffer(), [order])
-            yield _question(order, number, chunk.keys[order], chunk.counts[order].astype(np.int64), None, route)
+            tokens = Tokens(blob.as_buffer())
+            for k in range(1, order + 1):
+                yield _question(k, number, *tokens.counted(k), None, route)
 
 
 def _gathered(asked: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray, np.ndarray]:
@@ -330,7 +348,7 @@ class Walk:
 
     def __init__(self, blob, replies: pa.Table, root: Root):
         options = root.options
-        self.chunk, self.root = Chunk(blob, range(1, options.order + 1)), root
+        self.chunk, self.root = Chunk(blob, options.order), root
         found = {(k, p): x for k, p, x in zip(replies.column("kind").to_pylist(), replies.column("part").to_pylist(), replies.column("reply"))}
         self.found = found
         self.total, self.mine, self.arc, self.state, self.prob, self.end, self.prefix = {}, {}, {}, {}, {}, {}, {}
@@ -435,12 +453,8 @@ def scores(documents: DataFrame, options: Backoff = Backoff(), modulus: int = 7,
     root = Root(options, Route(about["n"], FAN), about["tokens"])
     floor = max(options.least_count, options.gram_share * root.tokens)
     texts = packed.select("chunk", "blob")
-    # One order after the other, so that the questions of one at a time are on disk.
-    totals, types = None, 0
-    for order in range(1, options.order + 1):
-        asked = texts.mapInArrow(lambda b, k=order: _ask(b, k, root.route), QUESTIONS)
-        told, found = _exchange(asked, root.route, lambda x: _totals(x, floor))
-        totals, types = told if totals is None else totals.union(told), types + found
+    asked = texts.mapInArrow(lambda b: _ask(b, options.order, root.route), QUESTIONS)
+    totals, types = _exchange(asked, root.route, lambda x: _totals(x, floor))
     known = Root(options, root.route, root.tokens, types)
 
     def share(chunk: pa.Table, replies: pa.Table) -> pa.Table:
