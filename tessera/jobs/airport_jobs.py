@@ -61,16 +61,16 @@ def v4_runway_heading_vs_name(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT event_id AS flow, event_id%50 AS apt, event_id AS place, (event_id*37)%360 AS d0, (event_id*37)%360+(event_id*11)%120 AS d1, CAST((event_id*7)%40 AS DOUBLE) AS knots FROM events WHERE event_id < 1000),
+    """WITH f AS (SELECT event_id AS flow, event_id//20 AS apt, event_id AS place, (event_id*37)%360 AS d0, (event_id*37)%360+(event_id*11)%120 AS d1, CAST((event_id*7)%40 AS DOUBLE) AS knots FROM events),
  s AS (SELECT flow, apt, place, d%360 AS deg, least(knots, 35) AS knots FROM f, LATERAL (SELECT unnest(range(d0, d1+1)) AS d)),
  c AS (SELECT a.flow, a.deg, a.knots, max(b.knots) AS before FROM s a LEFT JOIN s b ON a.apt=b.apt AND a.deg=b.deg AND b.place < a.place GROUP BY ALL)
  SELECT flow FROM c GROUP BY flow HAVING NOT bool_or(knots > coalesce(before, -1))"""
 )
 def v6_unreachable_flows(spark, sf_dir):
     e = F.col("event_id")
-    flows = spark.read.parquet(f"{sf_dir}/events.parquet").filter(e < 1000)
+    flows = spark.read.parquet(f"{sf_dir}/events.parquet")
     start = e * 37 % 360
-    flows = flows.select(e.alias("flow"), (e % 50).alias("apt"), e.alias("place"), start.alias("from_deg"), (start + e * 11 % 120).alias("to_deg"), (e * 7 % 40).cast("double").alias("knots"))
+    flows = flows.select(e.alias("flow"), F.floor(e / 20).alias("apt"), e.alias("place"), start.alias("from_deg"), (start + e * 11 % 120).alias("to_deg"), (e * 7 % 40).cast("double").alias("knots"))
     return ops.unreachable_flows(flows)
 
 

@@ -42,7 +42,8 @@ def fill_scanline_gaps(cells: DataFrame, keys: Keys = ()) -> DataFrame:
     row = Window.partitionBy(*keys, "y").orderBy("x")
     known = F.when(F.col("value").isNotNull(), F.struct("x", "value"))
     before = F.last(known, True).over(row.rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.first(known, True).over(row.rowsBetween(0, Window.unboundedFollowing))
+    # The same frame over the descending row: a frame that ends unbounded is built anew for each of its rows.
+    behind = F.last(known, True).over(Window.partitionBy(*keys, "y").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0))
     ends = cells.withColumn("_a", before).withColumn("_b", behind)
     share = (F.col("x") - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))
     between = F.col("_a.value") + share * (F.col("_b.value") - F.col("_a.value"))
@@ -52,10 +53,10 @@ def fill_scanline_gaps(cells: DataFrame, keys: Keys = ()) -> DataFrame:
 
 def _nearest(axis: str, other: str, keys: Keys) -> Column:
     """Struct (far, value) of the nearest valid neighbour along an axis; the later one on a tie."""
-    line = Window.partitionBy(*keys, other).orderBy(axis)
+    line, back_line = (Window.partitionBy(*keys, other).orderBy(order) for order in (F.col(axis), F.desc(axis)))
     known = F.when(F.col("value").isNotNull(), F.struct(F.col(axis).alias("at"), F.col("value").alias("value")))
     low = F.last(known, True).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    high = F.first(known, True).over(line.rowsBetween(1, Window.unboundedFollowing))
+    high = F.last(known, True).over(back_line.rowsBetween(Window.unboundedPreceding, -1))
     back, ahead = F.col(axis) - low["at"], high["at"] - F.col(axis)
     take_low = high.isNull() | (low.isNotNull() & (back < ahead))
     return F.when(take_low, F.struct((low["at"] - F.col(axis)).alias("far"), low["value"].alias("value"))).otherwise(F.struct((high["at"] - F.col(axis)).alias("far"), high["value"].alias("value")))

@@ -34,9 +34,9 @@ DERIVED = {
     "osm_nodes": """SELECT event_id AS node_id, CAST(-1240000+(event_id*7919)%80000 AS DOUBLE)/CAST(10000 AS DOUBLE) AS lon,
  CAST(320000+(event_id*6007)%60000 AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat FROM {events}""",
     "osm_way_refs": """SELECT l_orderkey AS way_id, CAST(l_linenumber AS BIGINT) AS pos, min(l_partkey*5+l_linenumber) AS node_id FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
-    "faces": """SELECT c_custkey AS face_id, CAST(-124 AS DOUBLE)+CAST(c_custkey%40 AS DOUBLE)/CAST(5 AS DOUBLE) AS west,
+    "faces": """SELECT c_custkey AS face_id, CAST(-124 AS DOUBLE)+CAST(c_custkey%40 AS DOUBLE)/CAST(5 AS DOUBLE)+CAST(8 AS DOUBLE)*floor(c_custkey/CAST(1200 AS DOUBLE)) AS west,
  CAST(32 AS DOUBLE)+CAST(floor((c_custkey%1200)/CAST(40 AS DOUBLE)) AS DOUBLE)/CAST(5 AS DOUBLE) AS south,
- CASE WHEN c_custkey%5=0 THEN 'water' ELSE 'land' END AS terrain FROM {customer} WHERE c_custkey<1200""",
+ CASE WHEN c_custkey%5=0 THEN 'water' ELSE 'land' END AS terrain FROM {customer}""",
 }
 
 

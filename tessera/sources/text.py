@@ -7,11 +7,40 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geo import FOOT
 
-# Obstacle kinds by their name in the obstacle file; any other name is kind 0.
-OBSTACLE_KINDS = {
-    "BLDG": 1, "BLDG-TWR": 1, "TOWER": 2, "TOWERS": 2, "POLE": 3, "POLES": 3, "STACK": 4, "STACKS": 4, "CHIMNEY": 4, "TANK": 5, "COOL TWR": 6, "T-L TWR": 7,
-    "WINDMILL": 8, "RIG": 9, "SILO": 10, "CRANE": 11, "BRIDGE": 12, "DAM": 13, "MONUMENT": 14, "CHURCH": 15, "STADIUM": 16, "ANTENNA": 2, "ELEVATOR": 10,
-}
+# Names in the obstacle file and the features that they stand for, if any; any other name is a radio tower.
+OBSTACLE_FEATURES = {
+    "AM_RADIO_TOWER": "radio tower",
+    "POLE": "pole",
+    "TOWERS": "radio tower",
+    "TOWER": "radio tower",
+    "CRANE": "crane",
+    "CATENARY": None,
+    "BLDG": "building",
+    "CTRL TWR": None,
+    "T-L TWR": None,
+    "ELEVATOR": "elevator",
+    "WINDMILL": "windmill",
+    "RIG": None,
+    "STACK": "smokestack",
+    "REFINERY": "refinery",
+    "TANK": "tank",
+    "BLDG-TWR": "building",
+    "TRAMWAY": "tramway",
+    "STACKS": "smokestacks",
+    "SPIRE": "spire",
+    "CRANE T": "crane",
+    "PLANT": "plant",
+    "DOME": "dome",
+    "SIGN": "sign",
+    "BRIDGE": None,
+    "ARCH": "arch",
+    "COOL TWR": "cooling tower",
+    "MONUMENT": "monument",
+    "BALLOON": None,
+    "DAM": "dam",
+}
+#: Kinds are numbers of features, from 0 for a radio tower.
+FEATURES = list(dict.fromkeys(x for x in OBSTACLE_FEATURES.values() if x))
 # Navigation row codes and the beacons they stand for.
 BEACON_KINDS = {2: "ndb", 3: "vor", 4: "ils", 5: "loc", 6: "glideslope", 7: "outer marker", 8: "middle marker", 9: "inner marker"}
 # Row codes of airport headers.
@@ -39,14 +68,16 @@ def _degrees(line: str, at: int, wide: int) -> Column:
 def parse_obstacles(lines: DataFrame) -> DataFrame:
     """(file, line_no, kind, freq, lon, lat, agl, msl) of fixed-column obstacle lines behind the first line that starts with a dash.
 
-    A frequency makes a radio tower (kind 0), as an unknown name does; heights are metres. Lines without a position are dropped.
+    ``kind`` is the number of a feature in ``FEATURES``, null for names that stand for none. A frequency makes a radio tower
+    (kind 0), as an unknown name does; heights are metres. Lines without a position are dropped.
     """
     order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     behind = F.coalesce(F.max(F.col("line").startswith("-")).over(order), F.lit(False))
     body = lines.withColumn("_on", behind).filter("_on").drop("_on")
     name, freq = _cut("line", 58, 66), F.nullif(_cut("line", 68, 72), F.lit(""))
-    known = F.create_map(*[F.lit(x) for kind in OBSTACLE_KINDS.items() for x in kind])
-    kind = F.when(freq.isNotNull(), 0).otherwise(F.coalesce(F.try_element_at(known, name), F.lit(0)))
+    known = F.create_map(*[F.lit(x) for name, feature in OBSTACLE_FEATURES.items() if feature for x in (name, FEATURES.index(feature))])
+    none = name.isin([x for x, feature in OBSTACLE_FEATURES.items() if not feature])
+    kind = F.when(freq.isNotNull(), 0).when(~none, F.coalesce(F.try_element_at(known, name), F.lit(0)))
     feet = lambda a, b: _cut("line", a, b).try_cast("double") * FOOT
     out = body.select("file", "line_no", kind.alias("kind"), freq.alias("freq"), _degrees("line", 43, 3).alias("lon"), _degrees("line", 29, 2).alias("lat"), feet(73, 77).alias("agl"), feet(78, 83).alias("msl"))
     return out.filter("lon is not null and lat is not null")

@@ -17,9 +17,9 @@ def obstacle(name, freq, agl, msl):
 
 
 def test_obstacles(spark):
-    body = "\n".join(["head", obstacle("TOWER", "", "1", "2"), "-----", obstacle("STACK", "", "00100", "001000"), obstacle("TOWER", "101.1", "00010", ""), obstacle("WHATEVER", "", "", ""), "short"])
+    body = "\n".join(["head", obstacle("TOWER", "", "1", "2"), "-----", obstacle("STACK", "", "00100", "001000"), obstacle("TOWER", "101.1", "00010", ""), obstacle("WHATEVER", "", "", ""), obstacle("RIG", "", "", ""), obstacle("CRANE T", "", "", ""), "short"])
     got = text.parse_obstacles(lines(spark, body)).orderBy("line_no").collect()
-    assert [r.kind for r in got] == [4, 0, 0]
+    assert [r.kind for r in got] == [text.FEATURES.index("smokestack"), 0, 0, None, text.FEATURES.index("crane")]
     assert abs(got[0].lon + 118.26) < 1e-9 and abs(got[0].lat - 34.5) < 1e-9 and abs(got[0].agl - 30.48) < 1e-9 and abs(got[0].msl - 304.8) < 1e-9
     assert got[1].freq == "101.1" and got[1].msl is None and got[2].agl is None
 
