@@ -80,3 +80,74 @@ def country_codes(countries: DataFrame, parts: DataFrame) -> DataFrame:
 def later_wins(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` replace all rows of ``old`` with their key."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def _code(low: int, high: int, digits: bool) -> str:
+    """Pattern of an organisation's code."""
+    return f"^[A-Za-z{'0-9' if digits else ''}]{{{low},{high}}}$"
+
+
+def metadata_problems(metadata: DataFrame) -> DataFrame:
+    """(apt_id, meta_key, problem) of metadata rows (apt_id, meta_key, meta_value): codes, levels, flags, links; empty values pass.
+
+    A transition altitude under 1,000 is a flight level, which must lie between 100 and 300; else it may be 30,000 ft at most.
+    """
+    key, value = F.col("meta_key"), F.col("meta_value")
+    number = value.try_cast("int")
+    level = F.when(~value.rlike("^[0-9]+$"), "number").when((number < 1000) & ~number.between(100, 300), "flight level").when(number > 30000, "altitude")
+    among = lambda *allowed: F.when(~value.isin(*allowed), "value")
+    problem = (
+        F.when(value == "", None)
+        .when(key == "faa", F.when(~value.rlike(_code(3, 5, True)), "code"))
+        .when(key == "iata", F.when(~value.rlike(_code(3, 3, False)), "code"))
+        .when(key == "icao", F.when(~value.rlike(_code(4, 4, False)) | (F.lower(F.left(value, F.lit(1))) == "x"), "code"))
+        .when(key == "local", F.when(~value.rlike(_code(3, 7, True)), "code"))
+        .when(key == "transition_alt", level)
+        .when(key == "circuits", among("0", "1"))
+        .when(key == "tower_caps", among("atc", "fiso"))
+        .when(key == "gui_label", among("2D", "3D"))
+        .otherwise(F.when(value.contains("http"), "link"))
+    )
+    return metadata.select("apt_id", "meta_key", problem.alias("problem")).filter("problem is not null")
+
+
+def oversized(parts: DataFrame, airports: DataFrame, most_nm: float = 7.0) -> DataFrame:
+    """Airports (apt_id, icao) whose parts (apt_id, lon, lat) span more than ``most_nm``; two known ones may span three times that."""
+    box = parts.groupBy("apt_id").agg((F.max("lon") - F.min("lon")).alias("wide"), (F.max("lat") - F.min("lat")).alias("tall"), ((F.max("lat") + F.min("lat")) / 2).alias("middle"))
+    limit = most_nm / 60 * F.when(F.col("icao").isin("KEDW", "KSEA"), 3.0).otherwise(1.0)
+    return box.join(airports.select("apt_id", "icao"), "apt_id").filter((F.col("wide") > limit / F.cos(F.radians("middle"))) | (F.col("tall") > limit)).select("apt_id", "icao")
+
+
+def lacking_parts(airports: DataFrame, parts: DataFrame) -> DataFrame:
+    """(apt_id, problem): no runway, helipad or sealane by the airport's kind (0 land, 1 heli, 2 sea); trucks without routes and the reverse; no boundary."""
+    has = lambda kind: F.max(F.col("part_kind") == kind)
+    names = ("runway", "helipad", "sealane", "boundary", "truck parking", "truck route")
+    own = parts.groupBy("apt_id").agg(*[has(k).alias(k) for k in names])
+    every = airports.join(own, "apt_id", "left").select("apt_id", "apt_kind", *[F.coalesce(F.col(f"`{k}`"), F.lit(False)).alias(k.replace(" ", "_")) for k in names])
+    found = F.array(
+        F.when((F.col("apt_kind") == 0) & ~F.col("runway"), "no runway").when((F.col("apt_kind") == 1) & ~F.col("helipad"), "no helipad").when((F.col("apt_kind") == 2) & ~F.col("sealane"), "no sealane"),
+        F.when(F.col("truck_parking") & ~F.col("truck_route"), "parking without routes"),
+        F.when(F.col("truck_route") & ~F.col("truck_parking"), "routes without parking"),
+        F.when(F.col("runway") & ~F.col("boundary"), "no boundary"),
+    )
+    return every.select("apt_id", F.explode(F.array_compact(found)).alias("problem"))
+
+
+def taxi_edge_problems(edges: DataFrame) -> DataFrame:
+    """(edge_id, problem): edges shorter than their width class allows (0–1: 7 m, 2: 10, 3–5: 20, 6 for trucks: 5), and odd names.
+
+    A name has up to three characters: a letter, then a letter or digit, then a digit. Truck routes may have any.
+    """
+    width = F.col("width_class")
+    least = F.when(width <= 1, 7.0).when(width == 2, 10.0).when(width == 6, 5.0).otherwise(20.0)
+    short = F.when(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") < least * least, "short")
+    name = F.col("taxi_name")
+    odd = F.when((width == 6) | (name == ""), None).when(F.length(name) > 3, "long name").when(~name.rlike("^[A-Za-z]([A-Za-z0-9]([0-9])?)?$"), "odd name")
+    return edges.select("edge_id", F.explode(F.array_compact(F.array(short, odd))).alias("problem"))
+
+
+def runway_use_problems(uses: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(use_id, problem): uses (use_id, apt_id, operations, equipment, khz) without operation, equipment or a frequency of the airport."""
+    known = frequencies.select("apt_id", "khz", F.lit(True).alias("known")).distinct()
+    problem = F.when(F.col("operations") == 0, "operation").when(F.col("equipment") == 0, "equipment").when(F.col("known").isNull(), "frequency")
+    return uses.join(known, ["apt_id", "khz"], "left").select("use_id", problem.alias("problem")).filter("problem is not null")

@@ -37,6 +37,24 @@ DERIVED = {
     "faces": """SELECT c_custkey AS face_id, CAST(-124 AS DOUBLE)+CAST(c_custkey%40 AS DOUBLE)/CAST(5 AS DOUBLE)+CAST(8 AS DOUBLE)*floor(c_custkey/CAST(1200 AS DOUBLE)) AS west,
  CAST(32 AS DOUBLE)+CAST(floor((c_custkey%1200)/CAST(40 AS DOUBLE)) AS DOUBLE)/CAST(5 AS DOUBLE) AS south,
  CASE WHEN c_custkey%5=0 THEN 'water' ELSE 'land' END AS terrain FROM {customer}""",
+    "runway_uses": """SELECT event_id AS use_id, event_id%100 AS apt_id, event_id%4 AS operations, event_id%5 AS equipment,
+ 117000+((event_id+(event_id%3)*50)*5)%21000 AS khz FROM {events}""",
+    "apt_metadata": """SELECT s_suppkey AS apt_id, k.meta_key, CASE k.meta_key WHEN 'faa' THEN CASE (s_suppkey*7+k.no)%5 WHEN 0 THEN 'ABC' WHEN 1 THEN 'AB' WHEN 2 THEN '' WHEN 3 THEN 'A1CDE' ELSE 'A-C' END
+ WHEN 'iata' THEN CASE (s_suppkey*7+k.no)%4 WHEN 0 THEN 'ABC' WHEN 1 THEN 'A1C' WHEN 2 THEN 'ABCD' ELSE '' END
+ WHEN 'icao' THEN CASE (s_suppkey*7+k.no)%4 WHEN 0 THEN 'KABC' WHEN 1 THEN 'xABC' WHEN 2 THEN 'K1BC' ELSE 'KABCD' END
+ WHEN 'local' THEN CASE (s_suppkey*7+k.no)%3 WHEN 0 THEN 'AB12' WHEN 1 THEN 'A' ELSE 'ABCD5678' END
+ WHEN 'transition_alt' THEN CASE (s_suppkey*7+k.no)%6 WHEN 0 THEN '18000' WHEN 1 THEN '180' WHEN 2 THEN '90' WHEN 3 THEN '12.5' WHEN 4 THEN '31000' ELSE '' END
+ WHEN 'circuits' THEN CASE (s_suppkey*7+k.no)%3 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '2' END
+ WHEN 'tower_caps' THEN CASE (s_suppkey*7+k.no)%3 WHEN 0 THEN 'atc' WHEN 1 THEN 'fiso' ELSE 'none' END
+ WHEN 'gui_label' THEN CASE (s_suppkey*7+k.no)%3 WHEN 0 THEN '2D' WHEN 1 THEN '3D' ELSE '4D' END
+ ELSE CASE (s_suppkey*7+k.no)%2 WHEN 0 THEN 'Springfield' ELSE 'see https://x.org' END END AS meta_value
+ FROM {supplier} CROSS JOIN (VALUES (0, 'faa'), (1, 'iata'), (2, 'icao'), (3, 'local'), (4, 'transition_alt'), (5, 'circuits'), (6, 'tower_caps'), (7, 'gui_label'), (8, 'city')) AS k(no, meta_key)""",
+    "apt_parts": """SELECT p_partkey AS part_id, p_partkey%100 AS apt_id,
+ CASE WHEN p_partkey%53=0 THEN 'helipad' WHEN p_partkey%59=0 THEN 'sealane' WHEN p_partkey%61=0 THEN 'boundary' WHEN p_partkey%67=0 THEN 'truck parking' WHEN p_partkey%71=0 THEN 'truck route' WHEN p_partkey%13=0 THEN 'runway' ELSE 'taxiway' END AS part_kind,
+ CAST(-1240000+((p_partkey%100)*7919)%80000 AS DOUBLE)/CAST(10000 AS DOUBLE)+CAST((p_partkey*37)%600-300 AS DOUBLE)/CASE WHEN p_partkey%5=0 THEN CAST(2000 AS DOUBLE) ELSE CAST(10000 AS DOUBLE) END AS lon,
+ CAST(320000+((p_partkey%100)*6007)%60000 AS DOUBLE)/CAST(10000 AS DOUBLE)+CAST((p_partkey*53)%600-300 AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat FROM {part}""",
+    "taxi_edges": """SELECT o_orderkey AS edge_id, o_orderkey%100 AS apt_id, o_orderkey%7 AS width_class, CAST((o_orderkey*37)%400 AS DOUBLE)/CAST(10 AS DOUBLE) AS dx,
+ CAST((o_orderkey*53)%300 AS DOUBLE)/CAST(10 AS DOUBLE) AS dy, CASE o_orderkey%6 WHEN 0 THEN 'A' WHEN 1 THEN 'B1' WHEN 2 THEN '1A' WHEN 3 THEN 'AB3' WHEN 4 THEN 'Alpha' ELSE '' END AS taxi_name FROM {orders}""",
 }
 
 
