@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.shipping import ship_package
+from tessera.llm.byte_bpe import Tokenizer
 from tessera.llm.common import read_table
+from tessera.llm.divergence import divergence
+from tessera.llm.filter_audit import filter_interactions
 from tessera.llm.html_extract import main_text
 from tessera.llm.language import languages
 from tessera.llm.line_dedup import dedup_lines
@@ -89,4 +92,24 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = tokenizer.encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = tokenizer.decoded(ids.select("doc_id", "ids", F.col("ids").alias("coded")), "coded")
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read_table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]

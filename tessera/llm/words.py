@@ -133,11 +133,11 @@ def grams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
     return mix(total + U(n)), at
 
 
-def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch with at most ``size`` bytes of text, or one row."""
+def chunks(batch: pa.RecordBatch, column: str | int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch with at most ``size`` bytes of text in a column, or one row."""
     if not batch.num_rows:
         return
-    lengths = batch.column(column).cast(pa.large_string())
+    lengths = batch.column(column).cast(pa.large_binary())
     ends = np.cumsum(np.diff(np.frombuffer(lengths.buffers()[1], np.int64)[lengths.offset : lengths.offset + len(lengths) + 1]))
     a = 0
     while a < batch.num_rows:
