@@ -62,20 +62,20 @@ def bbox_overlap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
 
 
-def _edges(ring: Column) -> Column:
+def ring_edges(ring: Column) -> Column:
     """Array of (a, b) for the closed ring."""
     return F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def ring_area(ring: Column) -> Column:
     """Signed area of an array of (x, y), positive if counter-clockwise; 0 for fewer than three points."""
-    return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
+    return F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
 
 
 def ring_centroid(ring: Column) -> Column:
     """Struct (x, y); null for a ring without area."""
     twice = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
-    moment = lambda axis: F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["a"][axis] + e["b"][axis]) * twice(e))
+    moment = lambda axis: F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + (e["a"][axis] + e["b"][axis]) * twice(e))
     six = F.nullif(6 * ring_area(ring), F.lit(0.0))
     return F.struct((moment("x") / six).alias("x"), (moment("y") / six).alias("y"))
 
@@ -88,7 +88,7 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
         spans = ((x1 < x) & (x <= x2)) | ((x2 < x) & (x <= x1))
         return F.when(spans & (y > y1 + (y2 - y1) * (x - x1) / (x2 - x1)), 1).otherwise(0)
 
-    return F.aggregate(_edges(ring), F.lit(0), lambda n, e: n + crossed(e)) % 2 == 1
+    return F.aggregate(ring_edges(ring), F.lit(0), lambda n, e: n + crossed(e)) % 2 == 1
 
 
 def segment_distance2(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

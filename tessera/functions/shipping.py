@@ -1,4 +1,4 @@
-"""Makes this package importable in the Python workers of a session that was started without it."""
+"""What a session shares with its executors: this package, and a folder for what is computed once."""
 
 from __future__ import annotations
 
@@ -22,3 +22,14 @@ def ship_package(spark: SparkSession) -> None:
             out.write(file, file.relative_to(PACKAGE.parent))
     context.addPyFile(str(path))
     context._tessera_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a local session that names none (a test) gets a folder of its own."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()

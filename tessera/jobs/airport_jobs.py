@@ -82,8 +82,8 @@ def v7_unknown_airport(spark, sf_dir):
 
 
 @query(
-    """SELECT use_id, CASE WHEN operations=0 THEN 'operation' WHEN equipment=0 THEN 'equipment' ELSE 'frequency' END AS problem FROM runway_uses u
- WHERE operations=0 OR equipment=0 OR NOT EXISTS (SELECT 1 FROM atc_freqs f WHERE f.apt_id=u.apt_id AND f.khz=u.khz)""",
+    """SELECT use_id, CASE WHEN operations=0 THEN 'operation' ELSE 'equipment' END AS problem FROM runway_uses WHERE operations=0 OR equipment=0
+ UNION ALL SELECT use_id, 'frequency' FROM runway_uses u WHERE EXISTS (SELECT 1 FROM atc_freqs f WHERE f.apt_id=u.apt_id AND f.atc_type=4) AND NOT EXISTS (SELECT 1 FROM atc_freqs f WHERE f.apt_id=u.apt_id AND f.atc_type=6 AND f.khz=u.khz)""",
     "runway_uses",
     "atc_freqs",
 )
@@ -132,24 +132,28 @@ def v12_required_parts(spark, sf_dir):
     return ops.lacking_parts(derived(spark, sf_dir, "airports").withColumn("apt_kind", F.col("apt_id") % 3), derived(spark, sf_dir, "apt_parts"))
 
 
+_LAYERS = """WITH h AS (SELECT a.apt_id, count(*) FILTER (kind='taxiway') AS t, count(*) FILTER (kind='boundary') AS b, count(*) FILTER (kind='pavement') AS p FROM airports a LEFT JOIN apt_surfaces USING (apt_id) GROUP BY 1)"""
+
+
 @query(
-    """SELECT a.apt_id, CASE WHEN r.n IS NULL THEN 'none' WHEN r.n >= 25 AND f.n IS NOT NULL THEN 'large' WHEN f.n IS NOT NULL THEN 'served' ELSE 'strip' END AS class
- FROM airports a LEFT JOIN (SELECT apt_id, count(*) AS n FROM runways GROUP BY 1) r USING (apt_id) LEFT JOIN (SELECT apt_id, count(*) AS n FROM atc_freqs GROUP BY 1) f USING (apt_id)""",
+    f"""{_LAYERS} SELECT apt_id, CASE WHEN b=0 AND t=0 THEN NULL WHEN b=0 AND p=0 THEN 'new without boundary' WHEN b=0 THEN 'new-old mix' WHEN p>0 THEN 'old with boundary' WHEN t=0 THEN 'boundary only' ELSE 'new with boundary' END AS class FROM h""",
     "airports",
-    "runways",
-    "atc_freqs",
+    "apt_surfaces",
 )
 def a12_airport_class_lists(spark, sf_dir):
-    count = lambda part, name: derived(spark, sf_dir, part).groupBy("apt_id").agg(F.count("*").alias(name))
-    both = derived(spark, sf_dir, "airports").join(count("runways", "r"), "apt_id", "left").join(count("atc_freqs", "f"), "apt_id", "left")
-    kind = F.when(F.col("r").isNull(), "none").when((F.col("r") >= 25) & F.col("f").isNotNull(), "large").when(F.col("f").isNotNull(), "served").otherwise("strip")
-    return both.select("apt_id", kind.alias("class"))
+    return ops.airport_classes(derived(spark, sf_dir, "airports"), derived(spark, sf_dir, "apt_surfaces")).select("apt_id", "class")
 
 
-@query("SELECT apt_id, CASE WHEN apt_id IN (SELECT apt_id FROM runways WHERE width_m > 45) THEN 850 ELSE 810 END AS version FROM airports", "airports", "runways")
+@query(
+    f"""{_LAYERS} SELECT apt_id, CASE WHEN t=0 THEN 810 ELSE 850 END AS version, b>0 AS bounded FROM h WHERE (t=0)=(b>0)""",
+    "airports",
+    "apt_surfaces",
+)
 def a13_airport_filter(spark, sf_dir):
-    wide = derived(spark, sf_dir, "runways").filter("width_m > 45").select("apt_id").distinct().withColumn("wide", F.lit(1))
-    return derived(spark, sf_dir, "airports").join(wide, "apt_id", "left").select("apt_id", F.when(F.col("wide") == 1, 850).otherwise(810).alias("version"))
+    """Two of the four filters: version 810 with a boundary, and 850 without."""
+    classes = ops.airport_classes(derived(spark, sf_dir, "airports"), derived(spark, sf_dir, "apt_surfaces"))
+    found = lambda version, bounded: ops.airports_of_version(classes, version, bounded).select("apt_id", F.lit(version).alias("version"), F.lit(bounded).alias("bounded"))
+    return found(810, True).union(found(850, False))
 
 
 @query(

@@ -57,7 +57,7 @@ _SEGMENTS = """s AS (SELECT edge_id%977 AS src, (edge_id*7)%977 AS dst, feat_typ
 
 @query(
     f"""WITH {_SEGMENTS}, d AS (SELECT src, dst, min(feat_type) AS feat_type FROM s GROUP BY ALL)
- SELECT src, dst, feat_type FROM d QUALIFY row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY feat_type DESC, src>dst DESC)=1""",
+ SELECT src, dst, feat_type FROM d QUALIFY row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY feat_type, src>dst DESC)=1""",
     "road_edges",
 )
 def k1_drop_duplicate_roads(spark, sf_dir):

@@ -87,9 +87,13 @@ def a15_urban_density(spark, sf_dir):
     return _rounded(terrain.urban_density(_cells(spark, sf_dir, "landuse"), {1: 1.0, 2: 0.6, 3: 0.2}), "value")
 
 
-@query("SELECT count(*) AS cells, count(*) FILTER (elev IS NULL) AS voids, 0::BIGINT AS left_void FROM cells", "cells")
+@query(
+    """WITH d(dx, dy, slot) AS (VALUES (-1,-1,0), (0,-1,1), (1,-1,2), (-1,0,3), (1,0,4), (-1,1,5), (0,1,6), (1,1,7)), n AS (SELECT c.x, c.y, e.landuse AS v, slot FROM cells c JOIN d ON TRUE JOIN cells e ON e.x=c.x+dx AND e.y=c.y+dy WHERE c.elev IS NULL AND e.elev IS NOT NULL),
+ k AS (SELECT x, y, v, count(*) AS n, max(slot) AS reached FROM n GROUP BY ALL), m AS (SELECT x, y, v FROM k QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY n DESC, reached)=1)
+ SELECT c.x, c.y, CAST(coalesce(m.v, c.landuse) AS DOUBLE) AS value FROM cells c LEFT JOIN m USING (x, y)""",
+    "cells",
+)
 def w16_fill_mode_flood(spark, sf_dir):
-    before = _cells(spark, sf_dir)
-    after = terrain.fill_mode_flood(before)
-    counts = lambda df: df.agg(F.count("*").alias("cells"), F.count(F.when(F.col("value").isNull(), 1)).alias("voids"))
-    return counts(before).crossJoin(counts(after).select(F.col("voids").alias("left_void")))
+    """Land use where the elevation is valid, filled elsewhere: no two such cells are neighbours, so one round decides."""
+    cells = derived(spark, sf_dir, "cells").select("x", "y", F.when(F.col("elev").isNotNull(), F.col("landuse")).cast("double").alias("value"))
+    return terrain.fill_mode_flood(cells)

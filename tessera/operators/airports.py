@@ -146,8 +146,36 @@ def taxi_edge_problems(edges: DataFrame) -> DataFrame:
     return edges.select("edge_id", F.explode(F.array_compact(F.array(short, odd))).alias("problem"))
 
 
-def runway_use_problems(uses: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(use_id, problem): uses (use_id, apt_id, operations, equipment, khz) without operation, equipment or a frequency of the airport."""
-    known = frequencies.select("apt_id", "khz", F.lit(True).alias("known")).distinct()
-    problem = F.when(F.col("operations") == 0, "operation").when(F.col("equipment") == 0, "equipment").when(F.col("known").isNull(), "frequency")
-    return uses.join(known, ["apt_id", "khz"], "left").select("use_id", problem.alias("problem")).filter("problem is not null")
+def runway_use_problems(uses: DataFrame, frequencies: DataFrame, tower: int = 4, departure: int = 6) -> DataFrame:
+    """(use_id, problem): faults of runway uses (use_id, apt_id, operations, equipment, khz).
+
+    A use needs an operation, and else an equipment. Apart from that, at an airport with a frequency of type ``tower`` its
+    frequency has to be one of the airport's of type ``departure``; so a use may have two problems, in rows of their own.
+    """
+    towers = frequencies.filter(F.col("atc_type") == tower).select("apt_id", F.lit(True).alias("manned")).distinct()
+    known = frequencies.filter(F.col("atc_type") == departure).select("apt_id", "khz", F.lit(True).alias("known")).distinct()
+    told = uses.join(towers, "apt_id", "left").join(known, ["apt_id", "khz"], "left")
+    does = F.when(F.col("operations") == 0, "operation").when(F.col("equipment") == 0, "equipment")
+    heard = F.when(F.col("manned") & F.col("known").isNull(), "frequency")
+    return told.select("use_id", F.explode(F.array_compact(F.array(does, heard))).alias("problem"))
+
+
+def airport_classes(airports: DataFrame, parts: DataFrame) -> DataFrame:
+    """(apt_id, taxiways, boundaries, pavements, class): classes by which of the parts (apt_id, kind) an airport has any.
+
+    Without a boundary: nothing (null class) unless it has taxiways; these with pavements of the old kind are a mix, else new.
+    With a boundary: old if it has pavements, else new with taxiways, and only a boundary without.
+    """
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    held = parts.groupBy("apt_id").agg(count("taxiway").alias("taxiways"), count("boundary").alias("boundaries"), count("pavement").alias("pavements"))
+    all_of = airports.select("apt_id").join(held, "apt_id", "left").na.fill(0)
+    taxi, bounded, paved = (F.col(c) > 0 for c in ("taxiways", "boundaries", "pavements"))
+    kind = F.when(~bounded & taxi, F.when(paved, "new-old mix").otherwise("new without boundary"))
+    kind = F.when(bounded & paved, "old with boundary").when(bounded & taxi, "new with boundary").when(bounded, "boundary only").otherwise(kind)
+    return all_of.withColumn("class", kind)
+
+
+def airports_of_version(classes: DataFrame, version: int, bounded: bool) -> DataFrame:
+    """The airports of ``airport_classes`` of a version (810 without taxiways, else 850), with or without a boundary."""
+    own = F.when(F.col("taxiways") == 0, 810).otherwise(850)
+    return classes.filter((own == version) & ((F.col("boundaries") > 0) == bounded))

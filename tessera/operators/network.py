@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.shipping import shared_folder
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the session's checkpoint folder; a session that names none (a test) gets one of its own."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """``df`` computed once into the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -57,13 +56,13 @@ def contiguous_chains(edges: DataFrame) -> DataFrame:
 def drop_duplicate_roads(segments: DataFrame) -> DataFrame:
     """One segment of each undirected edge (src, dst, feat_type, edge_id).
 
-    Exact repeats go; of one direction the lowest feature type stays; of two directions the lower type goes, and on a tie the
-    segment that runs from the smaller to the larger node goes.
+    Exact repeats go; of one direction the lowest feature type stays, and of two directions the lower one; on a tie the segment
+    that runs from the smaller to the larger node goes.
     """
     distinct = segments.dropDuplicates(["src", "dst", "feat_type"])
     each = distinct.groupBy("src", "dst").agg(F.min_by(F.struct("feat_type", "edge_id"), F.struct("feat_type", "edge_id")).alias("s")).select("src", "dst", "s.*")
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    order = Window.partitionBy("_low", "_high").orderBy(F.desc("feat_type"), F.desc(F.col("src") > F.col("dst")))
+    order = Window.partitionBy("_low", "_high").orderBy("feat_type", F.desc(F.col("src") > F.col("dst")))
     return each.withColumn("_low", low).withColumn("_high", high).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_low", "_high", "_n")
 
 

@@ -208,6 +208,27 @@ def sample_nearest(points: DataFrame, cells: DataFrame, id_column: str, keys: Ke
     return wanted.join(cells.select(*keys, "x", "y", "value"), [*keys, "x", "y"], "left").select(id_column, "value")
 
 
+#: Corners of a place between four cells, as (right, up), in the order in which a valid one is taken; by (right half, upper half).
+QUADRANTS = {
+    (False, False): [(0, 0), (1, 0), (0, 1), (1, 1)],
+    (True, False): [(1, 0), (1, 1), (0, 0), (0, 1)],
+    (False, True): [(0, 1), (1, 1), (0, 0), (1, 0)],
+    (True, True): [(1, 1), (0, 1), (1, 0), (0, 0)],
+}
+
+
+def sample_nearest_valid(points: DataFrame, cells: DataFrame, id_column: str, keys: Keys = ()) -> DataFrame:
+    """(id, value): as ``sample_nearest``, but where that cell is void or missing the other three around (px, py) follow in the
+    order of the place's quadrant; null if all four are."""
+    fx, fy = F.floor("px").cast("long"), F.floor("py").cast("long")
+    right, up = F.col("px") - fx > 0.5, F.col("py") - fy > 0.5
+    corners = lambda order: F.array(*[F.struct((fx + i).alias("x"), (fy + j).alias("y"), F.lit(n).alias("n")) for n, (i, j) in enumerate(order)])
+    by_quadrant = F.coalesce(*[F.when((right == r) & (up == u), corners(order)) for (r, u), order in QUADRANTS.items()])
+    wanted = points.select(id_column, *keys, F.explode(by_quadrant).alias("c")).select(id_column, *keys, "c.x", "c.y", "c.n")
+    met = wanted.join(cells.select(*keys, "x", "y", "value"), [*keys, "x", "y"], "left")
+    return met.groupBy(id_column).agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("n"))).alias("value"))
+
+
 def histogram(cells: DataFrame) -> DataFrame:
     return cells.filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
 

@@ -55,6 +55,20 @@ DERIVED = {
  CAST(320000+((p_partkey%100)*6007)%60000 AS DOUBLE)/CAST(10000 AS DOUBLE)+CAST((p_partkey*53)%600-300 AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat FROM {part}""",
     "taxi_edges": """SELECT o_orderkey AS edge_id, o_orderkey%100 AS apt_id, o_orderkey%7 AS width_class, CAST((o_orderkey*37)%400 AS DOUBLE)/CAST(10 AS DOUBLE) AS dx,
  CAST((o_orderkey*53)%300 AS DOUBLE)/CAST(10 AS DOUBLE) AS dy, CASE o_orderkey%6 WHEN 0 THEN 'A' WHEN 1 THEN 'B1' WHEN 2 THEN '1A' WHEN 3 THEN 'AB3' WHEN 4 THEN 'Alpha' ELSE '' END AS taxi_name FROM {orders}""",
+    "apt_surfaces": """SELECT p_partkey AS part_id, p_partkey%100 AS apt_id, CASE p_partkey%3 WHEN 0 THEN 'taxiway' WHEN 1 THEN 'boundary' ELSE 'pavement' END AS kind FROM {part}
+ WHERE CASE p_partkey%3 WHEN 0 THEN p_partkey%2 WHEN 1 THEN CAST(floor((p_partkey%100)/CAST(2 AS DOUBLE)) AS BIGINT)%2 ELSE CAST(floor((p_partkey%100)/CAST(4 AS DOUBLE)) AS BIGINT)%2 END = 1""",
+    "map_faces": """SELECT c_custkey AS face_id, CASE WHEN c_custkey%5=0 THEN 'water' ELSE 'land' END AS terrain, c_custkey%9 AS code FROM {customer}""",
+    "face_points": """SELECT c_custkey AS face_id, k.ring, k.pos, CAST(-1240000+(c_custkey*7919)%77000+k.dx*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lon,
+ CAST(320000+(c_custkey*6007)%57000+k.dy*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat FROM {customer} JOIN (VALUES (0, 0, 0, 0, 0), (0, 0, 1, 1800, 300), (0, 0, 2, 700, 1700),
+ (1, 0, 0, 0, 0), (1, 0, 1, 2000, 0), (1, 0, 2, 2000, 2000), (1, 0, 3, 0, 2000), (1, 1, 0, 500, 400), (1, 1, 1, 400, 1500), (1, 1, 2, 1500, 1600), (1, 1, 3, 1600, 500),
+ (2, 0, 0, 0, 0), (2, 0, 1, 0, 2000), (2, 0, 2, 600, 2100), (2, 0, 3, 700, 600), (2, 0, 4, 2000, 500), (2, 0, 5, 1900, 0), (3, 0, 0, 0, 0), (3, 0, 1, 40, 10), (3, 0, 2, 10, 50))
+ AS k(shape, ring, pos, dx, dy) ON c_custkey%4=k.shape""",
+    "apt_boundary_points": """SELECT s_suppkey AS apt_id, k.boundary, k.ring, k.pos, CAST(-1240000+(s_suppkey*7919)%80000+k.dx*(1+s_suppkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lon,
+ CAST(320000+(s_suppkey*6007)%60000+k.dy*(1+s_suppkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat FROM {supplier} JOIN (VALUES (0, 0, 0, 0, -170, -170), (0, 0, 0, 1, 180, -160), (0, 0, 0, 2, 40, 20), (0, 0, 0, 3, 190, 170), (0, 0, 0, 4, -160, 180), (0, 0, 1, 0, -50, -50), (0, 0, 1, 1, 50, -50), (0, 0, 1, 2, 0, 50),
+ (1, 0, 0, 0, -150, -90), (1, 0, 0, 1, 0, -100), (1, 0, 0, 2, -20, 110), (1, 0, 0, 3, -140, 90), (1, 1, 0, 0, -10, -120), (1, 1, 0, 1, 160, -110), (1, 1, 0, 2, 150, 120), (1, 1, 0, 3, 10, 100)) AS k(shape, boundary, ring, pos, dx, dy) ON s_suppkey%3=k.shape""",
+    "apt_corners": """SELECT p_partkey%100 AS apt_id, CASE p_partkey%3 WHEN 0 THEN 'runway' WHEN 1 THEN 'taxiway' ELSE 'ramp' END AS kind, p_partkey AS part_id, k.pos,
+ CAST(-1240000+((p_partkey%100)*7919)%80000+((p_partkey*37)%500-250)+k.dx*(p_partkey%7) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lon, CAST(320000+((p_partkey%100)*6007)%60000+((p_partkey*53)%500-250)+k.dy*(p_partkey%5) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat
+ FROM {part} JOIN (VALUES (0, 0, -20, -3), (0, 1, -20, 3), (0, 2, 20, 3), (0, 3, 20, -3), (1, 0, -11, -7), (1, 1, 13, -9), (1, 2, 15, 12), (1, 3, 3, 17), (1, 4, -12, 9), (2, 0, 0, 0)) AS k(shape, pos, dx, dy) ON p_partkey%3=k.shape""",
 }
 
 
