@@ -57,6 +57,14 @@ DERIVED = {
  CAST((o_orderkey*53)%300 AS DOUBLE)/CAST(10 AS DOUBLE) AS dy, CASE o_orderkey%6 WHEN 0 THEN 'A' WHEN 1 THEN 'B1' WHEN 2 THEN '1A' WHEN 3 THEN 'AB3' WHEN 4 THEN 'Alpha' ELSE '' END AS taxi_name FROM {orders}""",
     "apt_surfaces": """SELECT p_partkey AS part_id, p_partkey%100 AS apt_id, CASE p_partkey%3 WHEN 0 THEN 'taxiway' WHEN 1 THEN 'boundary' ELSE 'pavement' END AS kind FROM {part}
  WHERE CASE p_partkey%3 WHEN 0 THEN p_partkey%2 WHEN 1 THEN CAST(floor((p_partkey%100)/CAST(2 AS DOUBLE)) AS BIGINT)%2 ELSE CAST(floor((p_partkey%100)/CAST(4 AS DOUBLE)) AS BIGINT)%2 END = 1""",
+    "ring_nodes": """SELECT c_custkey*100+k.node AS node_id, CAST(-1240000+(c_custkey*7919)%80000+k.dx*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lon,
+ CAST(320000+(c_custkey*6007)%60000+k.dy*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat FROM {customer} CROSS JOIN (VALUES (0, 100, 0), (1, 70, 70), (2, 0, 100), (3, -70, 70), (4, -100, 0), (5, -70, -70), (6, 0, -100), (7, 70, -70), (20, 40, 0), (21, 28, 28), (22, 0, 40), (23, -28, 28), (24, -40, 0), (25, -28, -28), (26, 0, -40), (27, 28, -28)) AS k(node, dx, dy)""",
+    "ring_refs": """SELECT c_custkey*10+k.way AS way_id, k.pos, c_custkey*100+k.node AS node_id FROM {customer} JOIN (VALUES (0, 0, 0, 0), (0, 0, 1, 1), (0, 0, 2, 2), (0, 0, 3, 3), (0, 0, 4, 4), (0, 0, 5, 5), (0, 0, 6, 6), (0, 0, 7, 7), (0, 0, 8, 0), (1, 0, 0, 0), (1, 0, 1, 1), (1, 0, 2, 2), (1, 0, 3, 3), (1, 0, 4, 4), (1, 1, 0, 4), (1, 1, 1, 5), (1, 1, 2, 6), (1, 1, 3, 7), (1, 1, 4, 0), (2, 0, 0, 0), (2, 0, 1, 1), (2, 0, 2, 2), (2, 0, 3, 3), (2, 1, 0, 6), (2, 1, 1, 5), (2, 1, 2, 4), (2, 1, 3, 3), (2, 2, 0, 6), (2, 2, 1, 7), (2, 2, 2, 0), (3, 0, 0, 0), (3, 0, 1, 1), (3, 0, 2, 2), (3, 0, 3, 3), (3, 0, 4, 4), (3, 1, 0, 4), (3, 1, 1, 5), (3, 1, 2, 6), (3, 1, 3, 7), (10, 4, 0, 20), (10, 4, 1, 21), (10, 4, 2, 22), (10, 4, 3, 23), (10, 4, 4, 24), (10, 4, 5, 25), (10, 4, 6, 26), (10, 4, 7, 27), (10, 4, 8, 20), (11, 4, 0, 20), (11, 4, 1, 21), (11, 4, 2, 22), (11, 4, 3, 23), (11, 4, 4, 24), (11, 4, 5, 25)) AS k(sel, way, pos, node) ON k.sel=c_custkey%4 OR k.sel=10+c_custkey%3""",
+    "rel_members": """SELECT c_custkey AS rel_id, CASE WHEN c_custkey%2=0 THEN k.way ELSE 9-k.way END AS pos, c_custkey*10+k.way AS way_id, CASE WHEN k.way=4 THEN 'inner' WHEN k.way=1 THEN 'outer' ELSE '' END AS role FROM {customer}
+ JOIN (VALUES (0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1), (10, 4), (11, 4)) AS k(sel, way) ON k.sel=c_custkey%4 OR k.sel=10+c_custkey%3
+ UNION ALL SELECT c_custkey, 20, c_custkey*10, '' FROM {customer} WHERE c_custkey%5=0""",
+    "osm_relations": """SELECT s_suppkey AS rel_id, CASE s_suppkey%3 WHEN 0 THEN 'multipolygon' WHEN 1 THEN 'boundary' ELSE 'route' END AS rel_type FROM {supplier}""",
+    "osm_members": """SELECT s_suppkey AS rel_id, CASE k.i%3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END AS kind, s_suppkey*17+k.i*29 AS ref FROM {supplier} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS k(i)""",
     "map_faces": """SELECT c_custkey AS face_id, CASE WHEN c_custkey%5=0 THEN 'water' ELSE 'land' END AS terrain, c_custkey%9 AS code FROM {customer}""",
     "face_points": """SELECT c_custkey AS face_id, k.ring, k.pos, CAST(-1240000+(c_custkey*7919)%77000+k.dx*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lon,
  CAST(320000+(c_custkey*6007)%57000+k.dy*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat FROM {customer} JOIN (VALUES (0, 0, 0, 0, 0), (0, 0, 1, 1800, 300), (0, 0, 2, 700, 1700),
