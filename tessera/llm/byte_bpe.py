@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessera.llm.common import in_small_batches
-from tessera.llm.words import chunks
+from tessera.llm.words import BYTE_VALUE, GOLDEN, MASK, U, chunks, mix, powers, span_hashes
 
-#: Encodings of matches that a task remembers, and the longest such match; a full memory starts anew.
+#: Encodings of matches that a process remembers; a full memory starts anew. Longer matches, in bytes, are encoded one by one.
 REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
+#: Bytes of text whose matches are encoded together.
+CHUNK = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -142,41 +144,168 @@ class Prefixes:
         return out[::-1]
 
 
-class _Memory(dict):
-    """Little-endian 32-bit ids of matches, by match."""
+class PrefixTables:
+    """The same for many short byte strings at once: one row each, one column for each prefix, filled column by column.
 
-    def __init__(self, coder: Coder):
-        self.coder = coder
+    Substrings are looked up by a 64-bit hash. A chosen sequence is compared with the bytes at the end; where all tokens spell
+    the bytes and all neighbours are allowed, it is the encoding, so a false match of hashes is found out.
+    """
 
-    def __missing__(self, match: str) -> bytes:
-        found = self.coder.match_ids(match)
-        if len(match) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[match] = found
+    SLOTS = 1 << 19
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        size, tokens = max(vocabulary.tokens) + 1, vocabulary.tokens
+        self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        self.lengths, self.letters = np.zeros(size, np.int64), np.zeros((size, vocabulary.longest), np.uint8)
+        pairs: dict[int, int] = {}
+        for token, data in tokens.items():
+            self.lengths[token], self.letters[token, : len(data)] = len(data), np.frombuffer(data, np.uint8)
+            if halves := vocabulary.halves(token):
+                self.left[token], self.right[token] = halves
+            for cut in range(1, len(data)):
+                a, b = vocabulary.ranks.get(data[:cut]), vocabulary.ranks.get(data[cut:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = token
+        ends = np.cumsum([len(x) for x in tokens.values()])
+        hashes = span_hashes(np.frombuffer(b"".join(tokens.values()), np.uint8), np.append(0, ends[:-1]), ends)
+        self.by_hash = self._table(hashes, np.fromiter(tokens, np.int64))
+        self.by_pair = self._table(np.fromiter(pairs, np.uint64), np.fromiter(pairs.values(), np.int64))
+
+    def _table(self, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(keys and values by slot, then keys and values, in order, whose slot another key has)."""
+        slot = self._slot(keys)
+        held, where = np.zeros(self.SLOTS, U), np.full(self.SLOTS, -1, np.int64)
+        held[slot], where[slot] = keys, values
+        rest = np.flatnonzero(held[slot] != keys)
+        rest = rest[np.argsort(keys[rest])]
+        return held, where, keys[rest], values[rest]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * U(GOLDEN) >> U(64 - self.SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def _look_up(self, table: tuple[np.ndarray, ...], keys: np.ndarray) -> np.ndarray:
+        """Values of the keys; -1 for keys that the table lacks."""
+        held, where, other, values = table
+        slot = self._slot(keys)
+        found = where[slot]
+        odd = np.flatnonzero((held[slot] != keys) & (found >= 0))
+        if len(odd):
+            found[odd] = -1
+            at = np.minimum(np.searchsorted(other, keys[odd]), max(len(other) - 1, 0))
+            if len(other):
+                same = other[at] == keys[odd]
+                found[odd[same]] = values[at[same]]
         return found
 
+    def neighbours(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``Vocabulary.neighbours`` of many pairs."""
+        good, at, limit = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), 1 << 62)
+        while len(at):
+            across = self._look_up(self.by_pair, a.astype(U) << U(32) | b.astype(U))
+            bad = (across >= 0) & (across < limit)
+            good[at[bad]] = False
+            left, right = self.right[a], self.left[b]
+            go = ~bad & ((left >= 0) | (right >= 0))
+            at, a, b, left, right = at[go], a[go], b[go], left[go], right[go]
+            apart = (right < 0) | ((left >= 0) & (a > b))
+            limit = np.where(apart, a, b + 1)
+            a, b = np.where(apart, left, a), np.where(apart, b, right)
+        return good
+
+    def encode(self, strings: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each string; none is empty."""
+        order = sorted(range(len(strings)), key=lambda i: -len(strings[i]))
+        sizes = np.array([len(strings[i]) for i in order])
+        data = np.zeros((len(order), sizes[0]), np.uint8)
+        data[np.arange(sizes[0]) < sizes[:, None]] = np.frombuffer(b"".join(strings[i] for i in order), np.uint8)
+        up, down = powers(sizes[0] + 1)
+        sums = np.zeros((sizes[0] + 1, len(order)), U)
+        np.cumsum((BYTE_VALUE[data] * up[: sizes[0]]).T, axis=0, out=sums[1:])
+        last = np.full((sizes[0] + 1, len(order)), -1, np.int64)
+        for end in range(1, sizes[0] + 1):
+            # Rows are in order of length, longest first.
+            open_ = np.arange(np.searchsorted(-sizes, -end, "right"))
+            for size in range(min(end, self.vocabulary.longest), 0, -1):
+                hashes = mix((sums[end, open_] - sums[end - size, open_]) * down[end - size] + U(size * GOLDEN & MASK))
+                token = self._look_up(self.by_hash, hashes)
+                hit = np.flatnonzero(token >= 0)
+                if size < end:
+                    hit = hit[self.neighbours(last[end - size, open_[hit]], token[hit])]
+                last[end, open_[hit]] = token[hit]
+                open_ = np.delete(open_, hit)
+                if not len(open_):
+                    break
+        return self._walked(strings, order, sizes, data, last)
+
+    def _walked(self, strings: list[bytes], order: list[int], sizes: np.ndarray, data: np.ndarray, last: np.ndarray) -> list[bytes]:
+        rows, end, steps, wrong = np.arange(len(order)), sizes.copy(), [], np.zeros(len(order), bool)
+        while len(rows):
+            token = last[end, rows]
+            wrong[rows[token < 0]] = True
+            rows, end, token = rows[token >= 0], end[token >= 0], token[token >= 0]
+            end = end - self.lengths[token]
+            for k in range(int(self.lengths[token].max(initial=0))):
+                longer = np.flatnonzero(self.lengths[token] > k)
+                wrong[rows[longer[data[rows[longer], end[longer] + k] != self.letters[token[longer], k]]]] = True
+            steps.append((rows, token))
+            rows, end = rows[end > 0], end[end > 0]
+        counts = np.zeros(len(order), np.int64)
+        for rows, _ in steps:
+            counts[rows] += 1
+        stops = np.cumsum(counts)
+        ids = np.zeros(int(counts.sum()), "<u4")
+        for k, (rows, token) in enumerate(steps):
+            ids[stops[rows] - 1 - k] = token
+        whole, out = ids.tobytes(), [b""] * len(order)
+        for row, i in enumerate(order):
+            out[i] = whole[4 * (stops[row] - counts[row]) : 4 * stops[row]]
+        for row in np.flatnonzero(wrong):
+            i = order[row]
+            out[i] = np.array(Prefixes(self.vocabulary, strings[i]).tokens(), "<u4").tobytes()
+        return out
+
 
 class Coder:
     """Encodes texts and decodes ids; ids are little-endian 32-bit numbers, side by side in bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.memory = vocabulary, _Memory(self)
-        self.lengths = np.zeros(max(vocabulary.tokens) + 1, np.int64)
-        for token, data in vocabulary.tokens.items():
-            self.lengths[token] = len(data)
+        self.vocabulary, self.tables = vocabulary, PrefixTables(vocabulary)
+        self.memory: dict[str, bytes] = {}
+        self.starts = np.cumsum(np.append(0, self.tables.lengths))
+        self.letters = np.frombuffer(b"".join(vocabulary.tokens.get(i, b"") for i in range(len(self.tables.lengths))), np.uint8)
+
+    def _learn(self, matches: set[str]) -> dict[str, bytes]:
+        """Ids of all of these matches: those that are remembered, and the others encoded."""
+        if len(self.memory) > REMEMBERED:
+            self.memory = {}
+        short, long = [], {}
+        for match in matches.difference(self.memory):
+            data = match.encode()
+            whole = self.vocabulary.ranks.get(data)
+            if whole is not None:
+                self.memory[match] = whole.to_bytes(4, "little")
+            elif len(data) <= LONGEST_REMEMBERED:
+                short.append((match, data))
+            else:
+                long[match] = np.array(Prefixes(self.vocabulary, data).tokens(), "<u4").tobytes()
+        if short:
+            self.memory.update(zip([m for m, _ in short], self.tables.encode([d for _, d in short]), strict=True))
+        return self.memory | long if long else self.memory
 
-    def match_ids(self, match: str) -> bytes:
-        data = match.encode()
-        whole = self.vocabulary.ranks.get(data)
-        return np.array([whole] if whole is not None else Prefixes(self.vocabulary, data).tokens(), "<u4").tobytes()
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [self.vocabulary.pattern.findall(text) for text in texts]
+        known = self._learn(set().union(*split))
+        return [b"".join(map(known.__getitem__, matches)) for matches in split]
 
     def encode(self, text: str, start: int = 0, stop: int | None = None) -> bytes:
-        matches = self.vocabulary.pattern.findall(text, start, len(text) if stop is None else stop)
-        return b"".join(map(self.memory.__getitem__, matches))
+        return self.encode_all([text[start:stop]])[0]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        tokens = np.frombuffer(ids, "<u4")
+        sizes = self.tables.lengths[tokens]
+        ends = np.cumsum(sizes)
+        return self.letters[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[tokens] - (ends - sizes), sizes)].tobytes()
 
     def reencode(self, old: str, ids: bytes, new: str) -> bytes:
         """The ids of ``new``, from the ids of ``old``: only what lies between two borders around the difference is encoded.
@@ -193,7 +322,7 @@ class Coder:
         while stop > 0 and not old[stop - 1].isalpha():
             stop = old.find(" ", stop + 1)
         start, stop = max(start, 0), len(old) if stop < 0 else stop
-        ends = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
+        ends = np.cumsum(self.tables.lengths[np.frombuffer(ids, "<u4")])
         used = 4 * int(np.searchsorted(ends, len(old[:start].encode()), "right"))
         rest = 4 * int(np.searchsorted(ends, len(old[:stop].encode()), "right"))
         return ids[:used] + self.encode(new, start, stop + shift) + ids[rest:]
@@ -232,19 +361,19 @@ class Tokenizer:
     def encoded(self, rows: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``rows`` with the encoding of their whole texts instead of the texts: ids as little-endian 32-bit numbers in a binary
         column, empty for null and empty texts. All other columns stay, under names that may be the same as any here."""
-        return _mapped(rows, (text,), ids, lambda values: self.coder().encode(*values))
+        return _mapped(rows, (text,), ids, lambda texts: self.coder().encode_all(texts))
 
     def decoded(self, rows: DataFrame, ids: str = "ids", data: str = "data") -> DataFrame:
         """``rows`` with the bytes that ``ids`` stand for instead of the ids; null ids are empty."""
-        return _mapped(rows, (ids,), data, lambda values: self.coder().decode(*values))
+        return _mapped(rows, (ids,), data, lambda ids: map(self.coder().decode, ids))
 
     def reencoded(self, rows: DataFrame, old: str = "text", ids: str = "ids", new: str = "new_text") -> DataFrame:
         """``rows`` with the ids of their text ``new``, made from the text ``old`` and its ``ids`` near what differs; in place of
         these three columns. Null texts and ids are empty."""
-        return _mapped(rows, (old, ids, new), ids, lambda values: self.coder().reencode(*values))
+        return _mapped(rows, (old, ids, new), ids, lambda *columns: map(self.coder().reencode, *columns))
 
 
-def _mapped(rows: DataFrame, columns: tuple[str, ...], result: str, function: Callable[[list], bytes]) -> DataFrame:
+def _mapped(rows: DataFrame, columns: tuple[str, ...], result: str, function: Callable[..., Iterable[bytes]]) -> DataFrame:
     """``rows`` with binary column ``result``, last, instead of ``columns``."""
     kept = [f for f in rows.schema.fields if f.name not in columns]
     schema = StructType([*kept, StructField(result, BinaryType())])
@@ -255,9 +384,9 @@ def _mapped(rows: DataFrame, columns: tuple[str, ...], result: str, function: Ca
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, places[-1]):
-                values = zip(*[[e if x is None else x for x in part.column(i).to_pylist()] for i, e in zip(places, empty, strict=True)], strict=True)
-                made = pa.array([function(v) for v in values], pa.binary())
+            for part in chunks(batch, places[-1], CHUNK):
+                values = [[e if x is None else x for x in part.column(i).to_pylist()] for i, e in zip(places, empty, strict=True)]
+                made = pa.array(function(*values), pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in others], made], names=[f.name for f in schema.fields])
 
     return in_small_batches(rows).mapInArrow(task, schema)

@@ -48,7 +48,8 @@ PLACE = constants(64, 2)
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse."""
     up, down = np.full(n, BASE, U), np.full(n, BASE_INVERSE, U)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
@@ -62,7 +63,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + SEGMENT_BYTES, "right")))
         low, high = int(starts[a]), int(ends[b - 1])
         size = 1 << max(18, (high - low).bit_length())
-        up, down = _powers(size) if size <= SEGMENT_BYTES * 2 else _powers.__wrapped__(size)
+        up, down = powers(size) if size <= SEGMENT_BYTES * 2 else powers.__wrapped__(size)
         total = np.zeros(high - low + 1, U)
         np.cumsum(BYTE_VALUE[data[low:high]] * up[: high - low], out=total[1:])
         s, e = starts[a:b] - low, ends[a:b] - low
