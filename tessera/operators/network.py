@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.shipping import shared_folder
@@ -98,3 +98,74 @@ def merged_chains(edges: DataFrame, *same: str) -> DataFrame:
     found = components(links.select(F.col("before").alias("src"), F.col("behind").alias("dst")))
     found = found.select(F.col("node").alias("edge_id"), F.col("component").alias("chain"))
     return edges.select("edge_id").join(found, "edge_id", "left").select("edge_id", F.coalesce("chain", "edge_id").alias("chain"))
+
+
+def merge_near_junctions(junctions: DataFrame, edges: DataFrame, distance: float) -> tuple[DataFrame, DataFrame]:
+    """Junctions (node, lon, lat) no two of which are within ``distance`` degrees in both directions, and the edges between them.
+
+    Round by round each junction looks at the nearest of those in its box; pairs that look at each other merge: the smaller id
+    stays, half-way between the two, edges between the two go, and edges (edge_id, src, dst) of the other end at it from now on.
+    It ends when no two are that close. Of equally near ones that with the smallest ``_drawn`` number of the pair, then the
+    smallest ids, is looked at, so that rows of equal gaps pair up all over. Every round merges the closest pair at least. Edges
+    that are loops from the start stay.
+    """
+    now, left = checkpointed(junctions.select("node", "lon", "lat")), checkpointed(edges)
+    while True:
+        merged = checkpointed(_nearest_mutual(now, distance))
+        if merged.isEmpty():
+            return now, left
+        gone = merged.select(F.col("b").alias("node"))
+        moved = merged.select(F.col("a").alias("node"), F.col("lon").alias("new_lon"), F.col("lat").alias("new_lat"))
+        stay = now.join(gone, "node", "left_anti").join(moved, "node", "left")
+        now = checkpointed(stay.select("node", F.coalesce("new_lon", "lon").alias("lon"), F.coalesce("new_lat", "lat").alias("lat")))
+        to = lambda end: merged.select(F.col("b").alias(end), F.col("a").alias(f"new_{end}"))
+        pointed = left.join(to("src"), "src", "left").join(to("dst"), "dst", "left")
+        ends = {c: F.coalesce(f"new_{c}", c) for c in ("src", "dst")}
+        shrunk = (ends["src"] == ends["dst"]) & (F.col("src") != F.col("dst"))
+        pointed = pointed.filter(~shrunk).withColumns(ends).select(edges.columns)
+        left = checkpointed(pointed)
+
+
+def _drawn(low: Column, high: Column) -> Column:
+    """A number of a pair that has nothing to do with the order of ids."""
+    return F.pmod(F.pmod(low, F.lit(1_000_003)) * 7919 + F.pmod(high, F.lit(1_000_003)) * 104_729, F.lit(1_000_003))
+
+
+def _nearest_mutual(junctions: DataFrame, distance: float) -> DataFrame:
+    """(a, b, lon, lat): pairs a < b in each other's box that are each other's nearest, and the middle of each.
+
+    A square of the grid is as wide as the box, so partners are in the nine squares around a junction.
+    """
+    cell = lambda c: F.floor(F.col(c) / distance)
+    base = junctions.select("node", "lon", "lat", cell("lon").alias("cx"), cell("lat").alias("cy"))
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    looking = base.select("node", "lon", "lat", "cx", "cy", steps.alias("s")).select("node", "lon", "lat", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    there = base.select(F.col("node").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "cx", "cy")
+    dx, dy = F.col("lon2") - F.col("lon"), F.col("lat2") - F.col("lat")
+    met = looking.join(there, ["cx", "cy"]).filter((F.col("node") != F.col("other")) & (F.abs(dx) <= distance) & (F.abs(dy) <= distance))
+    nearest = met.groupBy("node").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), _drawn(F.least("node", "other"), F.greatest("node", "other")).alias("drawn"), F.least("node", "other").alias("low"), F.col("other"), F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).alias("n"))
+    one = nearest.select("node", F.col("n.other").alias("other"), *[F.col(f"n.{c}").alias(c) for c in ("lon", "lat", "lon2", "lat2")])
+    back = nearest.select(F.col("node").alias("other"), F.col("n.other").alias("node"))
+    pairs = one.filter("node < other").join(back, ["node", "other"])
+    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b"), ((F.col("lon") + F.col("lon2")) / 2).alias("lon"), ((F.col("lat") + F.col("lat2")) / 2).alias("lat"))
+
+
+def remove_islands(faces: DataFrame, edges: DataFrame, areas: DataFrame, most_area: float, *attributes: str) -> DataFrame:
+    """``faces`` (face_id, attributes) with those of the face around them for small islands, and ``island``: whether it is one
+    (true or false), and ``removed``: whether it took the other's attributes.
+
+    An island is a face without holes whose every edge (left_face, right_face; null is the unbounded face) has one and the same
+    other bounded face on its far side. ``areas`` hold (face_id, area, holes); below ``most_area`` an island goes. The face around
+    an island has a hole, so it is no island itself, and one look decides.
+    """
+    side = lambda face, other: F.struct(F.col(face).alias("face_id"), F.col(other).alias("other"))
+    sides = F.inline(F.array(side("left_face", "right_face"), side("right_face", "left_face")))
+    far = edges.filter("not (left_face <=> right_face)").select(sides).filter("face_id is not null")
+    around = far.groupBy("face_id").agg(F.min("other").alias("holder"), F.max("other").alias("last"), F.count(F.when(F.col("other").isNull(), 1)).alias("open"))
+    alone = around.filter("open = 0 and holder = last").join(areas.filter("holes = 0").select("face_id", "area"), "face_id").select("face_id", "holder", (F.col("area") < most_area).alias("small"))
+    lent = faces.select(F.col("face_id").alias("holder"), F.struct(*attributes).alias("lent"))
+    told = faces.join(alone.join(lent, "holder"), "face_id", "left")
+    small = F.coalesce("small", F.lit(False))
+    new = [F.when(small, F.col(f"lent.{c}")).otherwise(F.col(c)).alias(c) for c in attributes]
+    kept = [c for c in faces.columns if c not in attributes]
+    return told.select(*kept, *new, F.col("small").isNotNull().alias("island"), small.alias("removed"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +125,86 @@ def fill_mode_flood(cells: DataFrame) -> DataFrame:
         if filled.filter("_changed").isEmpty():
             return now
         now = filled.select("x", "y", "value")
+
+
+def flow_accumulation(directions: DataFrame) -> DataFrame:
+    """(x, y, flow): how many cells drain through each cell (x, y, direction), itself included; directions as in ``FLOW``.
+
+    Round k knows for each cell the cells less than 2^k steps upstream of it, and the cell 2^k steps downstream; both double in
+    one grouped sum and one join, so the rounds follow the logarithm of the longest course. A direction off the raster ends a
+    course. Cells on a circular course, which drops never make, get null.
+    """
+    table = lambda i: F.element_at(F.array(*[F.lit(step[i]) for step in FLOW]), (F.col("direction") + 1).cast("int"))
+    cells = directions.select("x", "y", "direction")
+    towards = F.when(F.col("direction").isNotNull(), F.struct((F.col("x") + table(0)).alias("x"), (F.col("y") + table(1)).alias("y")))
+    there = cells.select(F.struct("x", "y").alias("to"), F.lit(True).alias("exists"))
+    now = cells.select("x", "y", towards.alias("to")).join(there, "to", "left")
+    now = checkpointed(now.select("x", "y", F.lit(1).cast("long").alias("flow"), F.when(F.col("exists"), F.col("to")).alias("to")))
+    rounds = max(now.count(), 1).bit_length()
+    for _ in range(rounds):
+        if now.filter("to is not null").isEmpty():
+            break
+        arrives = now.filter("to is not null").groupBy("to").agg(F.sum("flow").alias("more")).select("to.x", "to.y", "more")
+        next_ = now.select(F.struct("x", "y").alias("to"), F.col("to").alias("far"))
+        jumped = now.join(next_, "to", "left").select("x", "y", "flow", F.col("far").alias("to"))
+        now = checkpointed(jumped.join(arrives, ["x", "y"], "left").select("x", "y", (F.col("flow") + F.coalesce("more", F.lit(0))).alias("flow"), "to"))
+    # After so many rounds only circles are left to jump in.
+    circle = now.filter("to is not null").select("to.x", "to.y", F.lit(True).alias("circle")).distinct()
+    return now.join(circle, ["x", "y"], "left").select("x", "y", F.when(F.col("circle").isNull(), F.col("flow")).alias("flow"))
+
+
+#: Depth grows by 4 for each cell of distance beyond the first, from 1 to 50; what is farther does not matter.
+DEEPEST, SHALLOWEST, PER_CELL = 50.0, 1.0, 4.0
+FARTHEST = 1 + (DEEPEST - SHALLOWEST) / PER_CELL
+#: Cells that a distance up to the farthest depends on: each step to a nearer neighbour takes off 1/√2 at least.
+HALO = int(FARTHEST * 2**0.5) + 2
+
+
+def shore_distance(land: np.ndarray, water: np.ndarray) -> np.ndarray:
+    """Distance in cells from the land cells, by four sweeps from the four corners; other cells than land and water conduct nothing.
+
+    A sweep visits the cells row by row, and a cell takes the upwind solution of its nearer neighbours in row and column if that is
+    smaller. Cells of one diagonal do not touch, so a diagonal is done at once, in the same order otherwise.
+    """
+    height, width = land.shape
+    far = np.full((height + 2, width + 2), np.inf)
+    far[1:-1, 1:-1][land] = 0.0
+    for rows, columns in ((1, 1), (1, -1), (-1, -1), (-1, 1)):
+        view, wet = far[::rows, ::columns], water[::rows, ::columns]
+        for k in range(height + width - 1):
+            i = np.arange(max(0, k - width + 1), min(height, k + 1))
+            j = k - i
+            i, j = i[wet[i, j]] + 1, j[wet[i, j]] + 1
+            a, b = np.minimum(view[i, j - 1], view[i, j + 1]), np.minimum(view[i - 1, j], view[i + 1, j])
+            low = np.minimum(a, b)
+            gap = np.maximum(a, b) - np.where(np.isinf(low), 0.0, low)
+            near = gap < 1
+            both = (a + b + np.sqrt(2 - np.where(near, gap, 0.0) ** 2)) / 2
+            view[i, j] = np.minimum(view[i, j], np.where(near, both, low + 1))
+    return far[1:-1, 1:-1]
+
+
+def water_depth(cells: DataFrame, tile: int = 256) -> DataFrame:
+    """(x, y, value): the bottom of the water: ``surface`` less 1, and 4 more for each cell of distance beyond the first, 50 at most.
+
+    ``cells`` hold (x, y, elev, surface); those with an elevation are water, void ones are land, at distance 0, and stay void.
+    Distances are those of ``shore_distance``. A depth depends on no cell farther than ``HALO`` away, so each tile is worked out
+    with its halo, in one shuffle and without a seam; a tile is at most (tile + 2 HALO)² cells. Cells that are missing from the table are neither land nor water. Far from land all is 50 deep.
+    """
+    spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - HALO) / tile), F.floor((F.col(c) + HALO) / tile)))
+    sent = cells.select("x", "y", "elev", "surface").withColumn("tx", spread("x")).withColumn("ty", spread("y"))
+
+    def told(key: tuple, group: pa.Table) -> pa.Table:
+        x, y = (group.column(c).to_numpy() for c in ("x", "y"))
+        land = np.asarray(group.column("elev").is_null())
+        i, j = y - y.min(), x - x.min()
+        shore, water = np.zeros((i.max() + 1, j.max() + 1), bool), np.zeros((i.max() + 1, j.max() + 1), bool)
+        shore[i, j], water[i, j] = land, ~land
+        far = shore_distance(shore, water)[i, j]
+        depth = np.minimum(DEEPEST, SHALLOWEST + PER_CELL * np.maximum(far - 1, 0))
+        own = (x // tile == key[0].as_py()) & (y // tile == key[1].as_py())
+        surface = group.column("surface").to_numpy()
+        value = pa.array(np.where(land, np.nan, surface - depth)[own], pa.float64(), from_pandas=True)
+        return pa.table({"x": x[own], "y": y[own], "value": value})
+
+    return sent.groupBy("tx", "ty").applyInArrow(told, "x long, y long, value double")

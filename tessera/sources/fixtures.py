@@ -65,6 +65,24 @@ DERIVED = {
  UNION ALL SELECT c_custkey, 20, c_custkey*10, '' FROM {customer} WHERE c_custkey%5=0""",
     "osm_relations": """SELECT s_suppkey AS rel_id, CASE s_suppkey%3 WHEN 0 THEN 'multipolygon' WHEN 1 THEN 'boundary' ELSE 'route' END AS rel_type FROM {supplier}""",
     "osm_members": """SELECT s_suppkey AS rel_id, CASE k.i%3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END AS kind, s_suppkey*17+k.i*29 AS ref FROM {supplier} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS k(i)""",
+    "map_edges": """SELECT c_custkey*4+k.i AS edge_id, c_custkey AS left_face, CASE WHEN c_custkey%4=1 THEN NULL WHEN c_custkey%3=2 AND k.i=0 THEN NULL WHEN c_custkey%3=1 AND k.i=3 THEN c_custkey+2 ELSE c_custkey+1 END AS right_face
+ FROM {customer} CROSS JOIN (VALUES (0), (1), (2), (3)) AS k(i)""",
+    "mesh_points": """SELECT p_partkey AS tri_id, k.pos, CAST((CAST(floor(p_partkey/CAST(2 AS DOUBLE)) AS BIGINT)%12+k.dx)*10 AS DOUBLE) AS px, CAST((CAST(floor(p_partkey/CAST(24 AS DOUBLE)) AS BIGINT)+k.dy)*10 AS DOUBLE) AS py,
+ CAST((((CAST(floor(p_partkey/CAST(2 AS DOUBLE)) AS BIGINT)%12+k.dx)*7+(CAST(floor(p_partkey/CAST(24 AS DOUBLE)) AS BIGINT)+k.dy)*13)*31)%1000 AS DOUBLE) AS height
+ FROM {part} JOIN (VALUES (0, 0, 0, 0), (0, 1, 1, 0), (0, 2, 1, 1), (1, 0, 0, 0), (1, 1, 1, 1), (1, 2, 0, 1)) AS k(half, pos, dx, dy) ON p_partkey%2=k.half""",
+    "taxi_net": """SELECT o_orderkey AS edge_id, o_orderkey%100 AS apt_id, o_orderkey%7 AS width_class, o_orderkey*2 AS src, o_orderkey*2+1 AS dst, CAST((o_orderkey*79)%499 AS DOUBLE) AS x1, CAST((o_orderkey*131)%491 AS DOUBLE) AS y1,
+ CAST((o_orderkey*79)%499+(o_orderkey*37)%60-30 AS DOUBLE) AS x2, CAST((o_orderkey*131)%491+(o_orderkey*53)%60-30 AS DOUBLE) AS y2 FROM {orders}
+ UNION ALL SELECT o_orderkey+10000000, o_orderkey%100, o_orderkey%7, o_orderkey*2+1, 100000000+o_orderkey, CAST((o_orderkey*79)%499+(o_orderkey*37)%60-30 AS DOUBLE), CAST((o_orderkey*131)%491+(o_orderkey*53)%60-30 AS DOUBLE),
+ CAST((o_orderkey*79)%499+(o_orderkey*37)%60-10 AS DOUBLE), CAST((o_orderkey*131)%491+(o_orderkey*53)%60-5 AS DOUBLE) FROM {orders} WHERE o_orderkey%5=0""",
+    "placed_runways": """SELECT p_partkey AS rwy_id, p_partkey%100 AS apt_id, CAST((p_partkey*97)%900 AS DOUBLE) AS cx, CAST((p_partkey*61)%900 AS DOUBLE) AS cy, k.ux/CAST(5 AS DOUBLE) AS ux, k.uy/CAST(5 AS DOUBLE) AS uy,
+ CAST(300+(p_partkey*97)%1500 AS DOUBLE) AS length_m, CAST(20+(p_partkey%3)*10 AS DOUBLE) AS width_m FROM {part} JOIN (VALUES (0, 3, 4), (1, 5, 0), (2, 0, 5), (3, -4, 3)) AS k(way, ux, uy) ON p_partkey%4=k.way""",
+    "runway_routes": """SELECT p_partkey*10+r.i AS route_id, p_partkey AS rwy_id, r.i AS src, r.i+1 AS dst,
+ CAST((p_partkey*97)%900 AS DOUBLE)+k.ux/CAST(5 AS DOUBLE)*CAST(300+(p_partkey*97)%1500 AS DOUBLE)*r.a/CAST(1000 AS DOUBLE)-k.uy/CAST(5 AS DOUBLE)*r.c AS x1, CAST((p_partkey*61)%900 AS DOUBLE)+k.uy/CAST(5 AS DOUBLE)*CAST(300+(p_partkey*97)%1500 AS DOUBLE)*r.a/CAST(1000 AS DOUBLE)+k.ux/CAST(5 AS DOUBLE)*r.c AS y1,
+ CAST((p_partkey*97)%900 AS DOUBLE)+k.ux/CAST(5 AS DOUBLE)*CAST(300+(p_partkey*97)%1500 AS DOUBLE)*r.b/CAST(1000 AS DOUBLE)-k.uy/CAST(5 AS DOUBLE)*r.d AS x2, CAST((p_partkey*61)%900 AS DOUBLE)+k.uy/CAST(5 AS DOUBLE)*CAST(300+(p_partkey*97)%1500 AS DOUBLE)*r.b/CAST(1000 AS DOUBLE)+k.ux/CAST(5 AS DOUBLE)*r.d AS y2
+ FROM {part} JOIN (VALUES (0, 3, 4), (1, 5, 0), (2, 0, 5), (3, -4, 3)) AS k(way, ux, uy) ON p_partkey%4=k.way
+ JOIN (VALUES (0, 0, -450, -100, 0, 1), (0, 1, -100, 200, 1, 0), (0, 2, 200, 450, 0, 0), (1, 0, -450, 450, 7, 7), (2, 0, -20, 20, -3, 3), (3, 0, -100, 200, 0, 0), (4, 0, -450, 520, 0, 0), (5, 0, -400, 100, 0, 0), (5, 1, 100, -150, 0, 0), (5, 2, -150, 300, 0, 0), (6, 0, -450, 450, 1, 1), (6, 2, -450, 450, 1, 1)) AS r(s, i, a, b, c, d) ON p_partkey%7=r.s""",
+    "hot_zones": """SELECT p_partkey AS route_id, p_partkey%100 AS apt_id, p_partkey%5 AS src, (p_partkey*3)%7 AS dst, CASE p_partkey%4 WHEN 0 THEN '09/27' WHEN 1 THEN '09/27,04' WHEN 2 THEN '' ELSE '18' END AS hot,
+ CASE p_partkey%6 WHEN 0 THEN '09/27' WHEN 1 THEN '04' ELSE '' END AS runway FROM {part}""",
     "map_faces": """SELECT c_custkey AS face_id, CASE WHEN c_custkey%5=0 THEN 'water' ELSE 'land' END AS terrain, c_custkey%9 AS code FROM {customer}""",
     "face_points": """SELECT c_custkey AS face_id, k.ring, k.pos, CAST(-1240000+(c_custkey*7919)%77000+k.dx*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lon,
  CAST(320000+(c_custkey*6007)%57000+k.dy*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat FROM {customer} JOIN (VALUES (0, 0, 0, 0, 0), (0, 0, 1, 1800, 300), (0, 0, 2, 700, 1700),
@@ -94,6 +112,8 @@ def with_inputs(sql: str, *names: str) -> str:
     """SQL for the given tables, with derived inputs in front of it."""
     parts = [f"{n} AS ({DERIVED[n].format(**{t: t for t in _tables(DERIVED[n])})})" for n in names]
     more = sql.lstrip()
+    if more.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(parts)}, {more[15:]}"
     if more.upper().startswith("WITH "):
         return f"WITH {', '.join(parts)}, {more[5:]}"
     return f"WITH {', '.join(parts)} {more}"

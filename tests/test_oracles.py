@@ -32,8 +32,8 @@ def rows(columns, values):
     return sorted((tuple(plain(v[i]) for i in order) for v in values), key=repr)
 
 
-#: Order-dependent operators, which SQL cannot express; tests/test_operators.py compares them with brute force.
-GREEDY = {"k2_remove_near_duplicate_features", "k7_douglas_peucker"}
+#: Order-dependent operators, which SQL cannot express; other tests compare them with brute force.
+GREEDY = {"k2_remove_near_duplicate_features", "k7_douglas_peucker", "g6_merge_near_junctions", "g6_edges_of_merged_junctions", "w20_water_depth"}
 
 
 def test_every_query_has_sql():
