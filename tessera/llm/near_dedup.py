@@ -14,11 +14,16 @@ Steps, all on Spark:
    shared most, which in a group of copies is the one that most of them come from.
 3. Every class is compared with the head that it meets most prominently, on the full sets, and linked classes form components.
    In buckets that still hold several components, every class is then compared with every head.
-4. What is left are pairs (a, b) of one bucket, neither linked to its head p. Their sets differ from the head's in δa and δb, and
-   |a Δ b| = |δa| + |δb| − 2·|δa ∩ δb|. At similarity t, |a Δ b| is at most (1 − t)/(1 + t)·(|a| + |b|), so δa and δb must
-   share so many members that a prefix filter on them, rarest first, leaves few candidates: what all of a group have from the
-   head, which makes prefixes of whole sets meet in pairs, is in no δ. If that bound asks for no shared member, a and b are
-   both linked to p and need no comparison. So no link between different components is lost, and no pairs of a bucket are listed.
+4. What is left are pairs (a, b) of one bucket with head p, at least one of them, say b, not similar to p. With added parts
+   A, what each has and the head lacks, a and b share |a ∩ b ∩ p| + |Aa ∩ Ab| members. The first is at most |b ∩ p|, which is under t/(1 + t)·(|b| + |p|),
+   and similarity t asks for t/(1 + t)·(|a| + |b|) in all; so Aa and Ab share more than t/(1 + t)·(|a| − |p|) members, and at
+   least |Aa| − (1 − t)·|a|. A prefix filter on the added parts, rarest members first, therefore finds all pairs one of which is
+   no smaller than the head, or has enough that the head lacks. What all of a group have from the head, or lack of it, as pages
+   of one template do, is in no list.
+5. The few that are smaller and nearly inside the head are left for one of two exact filters, whichever has the shorter lists in
+   a group: on the whole differences δ from the head (|a Δ b| = |δa| + |δb| − 2·|δa ∩ δb| bounds what δa and δb must share), or on
+   the added parts over the smallest of the group, with which all are compared, so that none is smaller than that head. So no
+   link between different components is lost, and no pairs of a bucket are listed.
 """
 
 from __future__ import annotations
@@ -201,42 +206,87 @@ def near_duplicates(documents: DataFrame, banding: Banding = Banding()) -> DataF
         links = scratch.keep(links.union(more))
         labels = components(links)
 
-    # Step 4: classes of different components in one bucket, by how they differ from its head.
-    met3 = _labelled(met2.drop("label", "head_label", "head_n"), labels)
+    # Step 4: classes of different components in one bucket, by what they add to its head.
+    met3 = _labelled(_labelled(met2.drop("label", "head_label", "head_n"), labels), labels, "head", "head_label")
     held = met3.groupBy("table").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("table")
-    apart = scratch.keep(met3.join(held, "table", "left_semi").select(F.col("node").alias("a"), F.col("head").alias("b"), "label", "n").distinct())
-    deltas = scratch.keep(
-        _with_sets(apart, sets).select("a", F.col("b").alias("head"), "label", "n", F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a")).alias("delta"))
-    )
-    last = scratch.keep(_confirmed(_delta_pairs(deltas, percent), sets, percent))
+    apart = scratch.keep(met3.join(held, "table", "left_semi").select(F.col("node").alias("a"), F.col("head").alias("b"), "label", "head_label", "n").distinct())
+    differ = _with_sets(apart, sets).withColumns({"added": F.array_except("of_a", "of_b"), "lacks": F.array_except("of_b", "of_a"), "head_n": F.size("of_b")})
+    differ = scratch.keep(differ.select("a", F.col("b").alias("head"), "label", F.col("label").eqNullSafe(F.col("head_label")).alias("inside"), "n", "head_n", "added", "lacks"))
+    slack = F.size("added") - F.floor(F.col("n") * (100 - percent) / 100)
+    # What it shares at least with one that is not similar to the head; with one that may be, only the slack holds.
+    other = F.greatest(slack, F.floor(percent * (F.col("n") - F.col("head_n")) / (100 + percent)) + 1)
+    found = _met(_prefixes(differ.withColumn("least", F.when(F.col("inside"), other).otherwise(slack)), "added"), _added_enough(percent), percent)
+
+    # Step 5: pairs of which neither is bound to share a member there.
+    loose = differ.groupBy("head").agg(F.max(F.col("inside") & (other <= 0)).alias("some"))
+    rest = differ.withColumn("slack", slack).withColumn("other", other).join(loose, "head").filter((F.col("other") <= 0) | (F.col("some") & (F.col("slack") <= 0)))
+    rest = scratch.keep(rest.select("a", "head", "label", "n", F.concat("added", "lacks").alias("delta")))
+    least = F.min(F.struct("n", "a", "label"))
+    low = scratch.keep(rest.groupBy("head").agg(least.alias("q"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("head", F.col("q.a").alias("b"), F.col("q.label").alias("b_label")))
+    both = rest.select("a", "head", "label", "n").join(low, "head").filter("a <> b")
+    told = _with_sets(both.select("a", "b").distinct(), sets).select("a", "b", _alike("of_a", "of_b", percent).alias("alike"), F.array_except("of_a", "of_b").alias("added"))
+    told = scratch.keep(both.join(told, ["a", "b"]).select("a", "b", "head", F.when(F.col("alike"), F.col("b_label")).otherwise(F.col("label")).alias("label"), "n", "added", "alike", F.col("label").alias("own"), "b_label"))
+    over_least = scratch.keep(_prefixes(told.withColumn("least", slack), "added"))
+    deltas = scratch.keep(rest.join(low.select("head"), "head", "left_semi"))
+    cheaper = _cost(_delta_prefixes(deltas, percent), "by_delta").join(_cost(over_least, "by_added"), "head", "full")
+    cheaper = scratch.keep(cheaper.filter("coalesce(by_delta, 0) <= coalesce(by_added, 0)").select("head"))
+    found = found.union(_delta_pairs(deltas.join(cheaper, "head", "left_semi"), percent))
+    found = found.union(_met(over_least.join(cheaper, "head", "left_anti"), _added_enough(percent), percent))
+    sure = told.filter("alike and own <> b_label").select("a", "b")
+    last = scratch.keep(_confirmed(found.distinct(), sets, percent).union(sure).distinct())
     if not last.isEmpty():
         labels = components(links.union(last))
 
     grouped = _labelled(owners, labels)
     whole = grouped.groupBy("label").agg(F.min("least_id").alias("component_id"))
     found = scratch.keep(grouped.select("node", "label").join(whole, "label").select("node", "component_id"))
-    scratch.drop(met2, sets, owners, apart, deltas)
+    scratch.drop(met2, sets, owners, apart, differ, rest, low, told, over_least, deltas, cheaper)
     linked = ids.filter("n_shingles > 0").join(found, "node")
     alone = ids.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     names = ["doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row"]
     return linked.select(*names).union(alone.select(*names))
 
 
-def _delta_pairs(deltas: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels whose differences from one head share as many members as the similarity asks for."""
-    changed = F.size("delta")
-    each = deltas.select("head", "a", "label", "n", changed.alias("changed"), F.explode("delta").alias("shingle"))
+def _prefixes(rows: DataFrame, members: str) -> DataFrame:
+    """(head, shingle, of) for the members that each row (head, a, label, n, members, least) is looked up by.
+
+    Members that only one label of the head has can't be shared; the others are in one total order (how many have it, then the
+    shingle). Who must share ``least`` of them (1 at least) shares one of all but the last least − 1.
+    """
+    each = rows.select("head", "a", "label", "n", F.size(members).alias("size"), F.greatest(F.lit(1), F.col("least")).alias("least"), F.explode(members).alias("shingle"))
     common = each.groupBy("head", "shingle").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
     common = common.filter("low <> high").select("head", "shingle", "members")
-    # Members that only one component has can't be shared; the others are in one total order (members, then shingle).
-    ranked = each.join(common, ["head", "shingle"]).groupBy("head", "a", "label", "n", "changed").agg(F.sort_array(F.collect_list(F.struct("members", "shingle"))).alias("rest"))
-    # |a Δ b| is largest for the largest partner, n·100/percent; and δb is no smaller than δa less that.
-    least = F.greatest(F.lit(1), F.col("changed") - F.floor(F.col("n") * (100 - percent) / percent))
-    ranked = ranked.withColumn("length", (F.size("rest") - least + 1).cast("int")).filter("length > 0")
-    prefix = ranked.select("head", "a", "label", "n", "changed", F.posexplode(F.slice("rest", F.lit(1), F.col("length"))).alias("place", "x"), F.size("rest").alias("open"))
-    prefix = prefix.select("head", "x.shingle", F.struct("a", "label", "n", "changed", (F.col("open") - F.col("place")).alias("left")).alias("of"))
-    one, two = prefix.withColumnRenamed("of", "x"), prefix.withColumnRenamed("of", "y")
-    # As the first member that both share, it and what is left behind it must hold all that the pair must share.
-    enough = 2 * (100 + percent) * F.least("x.left", "y.left") >= (100 + percent) * (F.col("x.changed") + F.col("y.changed")) - (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    ranked = each.join(common, ["head", "shingle"]).groupBy("head", "a", "label", "n", "size", "least").agg(F.sort_array(F.collect_list(F.struct("members", "shingle"))).alias("rest"))
+    ranked = ranked.withColumn("length", (F.size("rest") - F.col("least") + 1).cast("int")).filter("length > 0")
+    prefix = ranked.select("head", "a", "label", "n", "size", F.posexplode(F.slice("rest", F.lit(1), F.col("length"))).alias("place", "x"), F.size("rest").alias("open"))
+    return prefix.select("head", "x.shingle", F.struct("a", "label", "n", "size", (F.col("open") - F.col("place")).alias("left")).alias("of"))
+
+
+def _met(prefixes: DataFrame, enough: Column, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that are looked up by one member and can still share as many as they must."""
+    one, two = prefixes.withColumnRenamed("of", "x"), prefixes.withColumnRenamed("of", "y")
     near = one.join(two, ["head", "shingle"]).filter((F.col("x.label") < F.col("y.label")) & _could_link(F.col("x.n"), F.col("y.n"), percent) & enough)
     return near.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
+
+
+def _cost(prefixes: DataFrame, name: str) -> DataFrame:
+    """(head, name): how many rows the pairs of each head's lists are."""
+    return prefixes.groupBy("head", "shingle").agg(F.count("*").alias("n")).groupBy("head").agg(F.sum(F.col("n") * F.col("n")).alias(name))
+
+
+def _added_enough(percent: int) -> Column:
+    """As the first member that both share, it and what is left behind it must make up for what they can share with the head."""
+    with_head = F.least(F.col("x.n") - F.col("x.size"), F.col("y.n") - F.col("y.size"))
+    return (100 + percent) * (F.least("x.left", "y.left") + with_head) >= percent * (F.col("x.n") + F.col("y.n"))
+
+
+def _delta_prefixes(deltas: DataFrame, percent: int) -> DataFrame:
+    # |a Δ b| is largest for the largest partner, n·100/percent; and δb is no smaller than δa less that.
+    return _prefixes(deltas.withColumn("least", F.size("delta") - F.floor(F.col("n") * (100 - percent) / percent)), "delta")
+
+
+def _delta_pairs(deltas: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels whose differences from one head share as many members as the similarity asks for."""
+    # As the first member that both share, it and what is left behind it must hold all that the pair must share.
+    enough = 2 * (100 + percent) * F.least("x.left", "y.left") >= (100 + percent) * (F.col("x.size") + F.col("y.size")) - (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    return _met(_delta_prefixes(deltas, percent), enough, percent)

@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.llm import near_dedup
 from tessera.llm.components import components
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.near_dedup import _delta_pairs, near_duplicates
@@ -88,6 +90,70 @@ def test_candidates_of_differences_hold_every_link_and_few_pairs(spark):
     assert linked and linked <= found and len(found) <= 600
 
 
+def templated(n, content, template=375, seed=0):
+    """Pages of one template, each with its own words behind it."""
+    frame = [f"t{i}" for i in range(template + 4)]
+    return [(i, " ".join([*frame, *(f"c{seed}_{i}_{k}" for k in range(content(i)))])) for i in range(n)]
+
+
+def joined_rows(spark, monkeypatch, rows):
+    """Near-duplicates of the texts, and how many rows the lists of step 4 and 5 have as pairs."""
+    made = []
+    met = near_dedup._met
+
+    def counted(prefixes, enough, percent):
+        lists = prefixes.groupBy("head", "shingle").count()
+        made.append(lists.agg(F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0))).first()[0])
+        return met(prefixes, enough, percent)
+
+    monkeypatch.setattr(near_dedup, "_met", counted)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return found, sum(made)
+
+
+@pytest.mark.parametrize("content", [lambda i: 125, lambda i: 126 + i * 7 % 40], ids=["one size", "many sizes"])
+def test_pages_of_one_template_meet_in_no_pairs(spark, monkeypatch, content):
+    for n in (150, 300):
+        rows = templated(n, content) + [(n + i, text + " tail") for i, (_, text) in enumerate(templated(5, content))]
+        found, made = joined_rows(spark, monkeypatch, rows)
+        assert {r.doc_id: r.component_id for r in found} == {**{i: i for i in range(n)}, **{n + i: i for i in range(5)}}
+        assert made <= 20 * n
+
+
+def test_templates_with_links_across_sizes(spark, monkeypatch):
+    """Little content and much of it, so that some pages are linked through the template and some by their own words."""
+    draw = random.Random(5)
+    rows = templated(60, lambda i: 20 + i * 37 % 200, template=200)
+    rows += [(100 + i, " ".join(w for w in t.split() if draw.random() > 0.01)) for i, t in rows[::3]]
+    rows += [(200 + i, " ".join(t.split()[: draw.randrange(150, 260)])) for i, t in rows[:20]]
+    found, _ = joined_rows(spark, monkeypatch, rows)
+    want = plain_components(rows)
+    assert all(want[r.doc_id, r.n_shingles] == {r.component_id} for r in found) and len({r.component_id for r in found}) > 10
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_families_equal_brute_force(spark, seed):
+    draw = random.Random(seed)
+    base = [[f"b{g}_{i}" for i in range(draw.randrange(30, 120))] for g in range(3)]
+    rows = []
+    for i in range(160):
+        w = list(draw.choice(base))
+        for _ in range(draw.randrange(6)):
+            at, kind = draw.randrange(len(w)), draw.randrange(4)
+            if kind == 0:
+                w[at] = f"x{draw.randrange(30)}"
+            elif kind == 1:
+                w.insert(at, f"y{draw.randrange(30)}")
+            elif kind == 2:
+                del w[at : at + draw.randrange(12)]
+            else:
+                w[at:at] = draw.choice(base)[: draw.randrange(15)]
+        rows.append((i, " ".join(w)))
+    want = plain_components(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(want[r.doc_id, r.n_shingles] == {r.component_id} for r in got)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(nothing(spark)).count() == 0
 
