@@ -32,4 +32,4 @@ def query(sql: str | None = None, *inputs: str) -> Callable[[Query], Query]:
     return register
 
 
-from tessera.jobs import airport_jobs, ground_jobs, network_jobs, point_jobs, polygon_jobs, raster_jobs, rule_jobs, scenery_jobs, terrain_jobs, vector_jobs  # noqa: E402, F401
+from tessera.jobs import airport_jobs, ground_jobs, network_jobs, point_jobs, polygon_jobs, raster_jobs, rule_jobs, scenery_jobs, source_jobs, terrain_jobs, vector_jobs  # noqa: E402, F401
