@@ -231,3 +231,20 @@ def j15_dedupe_airports_by_id(spark, sf_dir):
 )
 def v14_taxi_edge_rules(spark, sf_dir):
     return ops.taxi_edge_problems(derived(spark, sf_dir, "taxi_edges"))
+
+
+@query(
+    """WITH r AS (SELECT *, CASE WHEN width_class >= 4 THEN 6000*0.3048 WHEN width_class >= 2 THEN 3000*0.3048 ELSE 0 END AS l, CASE WHEN width_class >= 4 THEN 100*0.3048 WHEN width_class >= 2 THEN 70*0.3048 ELSE 0 END AS w, ' ' || lower(trim(airlines)) AS p FROM ramps),
+ g AS (SELECT ramp_id, k, substr(p, 4*k+1, 4) AS g FROM r, LATERAL (SELECT unnest(range(length(p)//4)) AS k) WHERE length(p)%4=0 AND length(p) <= 100),
+ c AS (SELECT ramp_id, k, CASE WHEN g[1]<>' ' THEN 'no space' WHEN regexp_extract(g[2:4], '[^a-z]')=' ' THEN 'not in threes' WHEN regexp_extract(g[2:4], '[^a-z]')<>'' THEN 'not letters' END AS problem FROM g),
+ s AS (SELECT ramp_id, max(k) FILTER (problem IN ('no space', 'not in threes')) AS stop FROM c GROUP BY 1)
+ SELECT ramp_id, 'equipment' AS problem FROM r WHERE equipment=0 UNION ALL SELECT ramp_id, 'airlines or operation' FROM r WHERE ramp_type IN ('misc', 'hangar') AND (airlines<>'' OR op_type<>0)
+ UNION ALL SELECT ramp_id, 'too large' FROM r WHERE ramp_type IN ('gate', 'tie-down') AND NOT EXISTS (SELECT 1 FROM placed_runways q WHERE q.apt_id=r.apt_id AND (width_class < 2 OR rwy_id%3<>0) AND length_m >= l AND width_m >= w)
+ UNION ALL SELECT ramp_id, CASE WHEN length(p) < 4 THEN 'no airline' WHEN length(p)%4<>0 THEN 'not in threes' ELSE 'too long' END FROM r WHERE p<>' ' AND (length(p) < 4 OR length(p)%4<>0 OR length(p) > 100)
+ UNION ALL SELECT DISTINCT ramp_id, problem FROM c JOIN s USING (ramp_id) WHERE problem IS NOT NULL AND k >= coalesce(stop, 0)""",
+    "ramps",
+    "placed_runways",
+)
+def v8_ramp_rules(spark, sf_dir):
+    runways = derived(spark, sf_dir, "placed_runways").withColumn("paved", F.col("rwy_id") % 3 != 0)
+    return ops.ramp_problems(derived(spark, sf_dir, "ramps"), runways)

@@ -179,3 +179,37 @@ def airports_of_version(classes: DataFrame, version: int, bounded: bool) -> Data
     """The airports of ``airport_classes`` of a version (810 without taxiways, else 850), with or without a boundary."""
     own = F.when(F.col("taxiways") == 0, 810).otherwise(850)
     return classes.filter((own == version) & ((F.col("boundaries") > 0) == bounded))
+
+
+def ramp_problems(ramps: DataFrame, runways: DataFrame) -> DataFrame:
+    """(ramp_id, problem): faults of ramp starts (ramp_id, apt_id, equipment, ramp_type, op_type, width_class, airlines).
+
+    Types are misc, gate, tie-down and hangar. A start needs equipment; misc and hangars have neither airlines nor an operation
+    type (0 is none); a gate or tie-down of class 4 or 5 needs a paved runway (apt_id, length_m, width_m, paved) of 6,000 by 100
+    feet at its airport, one of class 2 or 3 one of 3,000 by 70, a smaller one any runway. Airlines, in lower case and without
+    blanks around them, are groups of three letters with single spaces, 99 characters at most; they are read from the end, and
+    what breaks the grid of groups ends the reading.
+    """
+    feet = lambda big, mid: F.when(F.col("width_class") >= 4, big).when(F.col("width_class") >= 2, mid).otherwise(0.0) * 0.3048
+    real = F.col("ramp_type").isin("gate", "tie-down")
+    sizes = runways.groupBy("apt_id", "paved").agg(F.collect_set(F.struct("length_m", "width_m")).alias("sizes"))
+    sizes = sizes.groupBy("apt_id").agg(F.max(F.when(F.col("paved"), F.col("sizes"))).alias("paved"), F.max(F.lit(True)).alias("any"))
+    long_, wide = feet(6000.0, 3000.0), feet(100.0, 70.0)
+    serves = F.when(F.col("width_class") < 2, F.col("any")).otherwise(F.exists("paved", lambda r: (r["length_m"] >= long_) & (r["width_m"] >= wide)))
+    listed = F.concat(F.lit(" "), F.lower(F.btrim("airlines")))
+    groups = F.transform(F.sequence(F.lit(0), F.floor(F.length(listed) / 4).cast("int") - 1), lambda k: F.substr(listed, 4 * k + 1, F.lit(4)))
+    odd = lambda g: F.regexp_extract(F.substr(g, F.lit(2), F.lit(3)), "[^a-z]", 0)
+    judged = F.reverse(F.transform(groups, lambda g: F.when(~g.startswith(" "), "no space").when(odd(g) == " ", "not in threes").when(odd(g) != "", "not letters").otherwise("")))
+    stop = F.array_position(F.transform(judged, lambda x: x.isin("no space", "not in threes")), True).cast("int")
+    read = F.array_distinct(F.filter(F.slice(judged, F.lit(1), F.when(stop > 0, stop).otherwise(F.size(judged))), lambda x: x != ""))
+    n = F.length(listed)
+    lines = F.when(F.coalesce(n, F.lit(1)) == 1, F.array().cast("array<string>")).when(n < 4, F.array(F.lit("no airline"))).when(n % 4 != 0, F.array(F.lit("not in threes"))).when(n > 100, F.array(F.lit("too long"))).otherwise(read)
+    first = F.array_compact(
+        F.array(
+            F.when(F.col("equipment") == 0, "equipment"),
+            F.when(~real & ((F.coalesce("airlines", F.lit("")) != "") | (F.col("op_type") != 0)), "airlines or operation"),
+            F.when(real & ~F.coalesce(serves, F.lit(False)), "too large"),
+        )
+    )
+    told = ramps.join(sizes, "apt_id", "left").select("ramp_id", first.alias("first"), lines.alias("lines"))
+    return told.select("ramp_id", F.explode(F.concat("first", "lines")).alias("problem"))

@@ -83,6 +83,8 @@ DERIVED = {
  JOIN (VALUES (0, 0, -450, -100, 0, 1), (0, 1, -100, 200, 1, 0), (0, 2, 200, 450, 0, 0), (1, 0, -450, 450, 7, 7), (2, 0, -20, 20, -3, 3), (3, 0, -100, 200, 0, 0), (4, 0, -450, 520, 0, 0), (5, 0, -400, 100, 0, 0), (5, 1, 100, -150, 0, 0), (5, 2, -150, 300, 0, 0), (6, 0, -450, 450, 1, 1), (6, 2, -450, 450, 1, 1)) AS r(s, i, a, b, c, d) ON p_partkey%7=r.s""",
     "hot_zones": """SELECT p_partkey AS route_id, p_partkey%100 AS apt_id, p_partkey%5 AS src, (p_partkey*3)%7 AS dst, CASE p_partkey%4 WHEN 0 THEN '09/27' WHEN 1 THEN '09/27,04' WHEN 2 THEN '' ELSE '18' END AS hot,
  CASE p_partkey%6 WHEN 0 THEN '09/27' WHEN 1 THEN '04' ELSE '' END AS runway FROM {part}""",
+    "ramps": """SELECT p_partkey AS ramp_id, p_partkey%100 AS apt_id, p_partkey%6 AS equipment, CASE p_partkey%4 WHEN 0 THEN 'gate' WHEN 1 THEN 'tie-down' WHEN 2 THEN 'misc' ELSE 'hangar' END AS ramp_type, p_partkey%3 AS op_type, p_partkey%7-1 AS width_class,
+ CASE p_partkey%11 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN 'ABC def' WHEN 3 THEN 'ab' WHEN 4 THEN 'abcd efg' WHEN 5 THEN 'abcxdef' WHEN 6 THEN 'a1c def' WHEN 7 THEN 'a c def' WHEN 8 THEN repeat('abc ', 26) WHEN 9 THEN ' abc ' ELSE 'ab cdef1gh' END AS airlines FROM {part}""",
     "map_faces": """SELECT c_custkey AS face_id, CASE WHEN c_custkey%5=0 THEN 'water' ELSE 'land' END AS terrain, c_custkey%9 AS code FROM {customer}""",
     "face_points": """SELECT c_custkey AS face_id, k.ring, k.pos, CAST(-1240000+(c_custkey*7919)%77000+k.dx*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lon,
  CAST(320000+(c_custkey*6007)%57000+k.dy*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat FROM {customer} JOIN (VALUES (0, 0, 0, 0, 0), (0, 0, 1, 1800, 300), (0, 0, 2, 700, 1700),

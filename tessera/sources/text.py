@@ -83,6 +83,30 @@ def parse_obstacles(lines: DataFrame) -> DataFrame:
     return out.filter("lon is not null and lat is not null")
 
 
+def parse_radar(lines: DataFrame, approach: bool) -> DataFrame:
+    """(file, line_no, kind, lon, lat, agl, msl) of fixed-column radar lines behind the second line that starts with an underscore.
+
+    Approach radars have their height above ground, to which the ground's is added; en-route radars only the height above sea. Heights
+    stay in the file's unit. Lines with a blank in column 59, and lines without a position, are dropped.
+    """
+    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    behind = F.coalesce(F.sum(F.col("line").startswith("_").cast("int")).over(order), F.lit(0)) >= 2
+    body = lines.withColumn("_on", behind).filter("_on").filter(F.substring("line", 60, 1) != " ")
+
+    def degrees(at: int, wide: int, negative: Column) -> Column:
+        number = lambda a, n: F.substring("line", a + 1, n).try_cast("double")
+        value = number(at, wide) + number(at + wide + 1, 2) / 60 + number(at + wide + 4, 4) / 3600
+        return F.when(negative, -value).otherwise(value)
+
+    lat, lon = (46, 59) if approach else (59, 71)
+    north, east = F.substring("line", lat + 11, 1), F.substring("line", lon + 12, 1)
+    number = lambda a, b: F.coalesce(_cut("line", a, b).try_cast("long"), F.lit(0))
+    agl = number(20, 23) if approach else F.lit(None).cast("long")
+    msl = number(20, 23) + number(71, 76) if approach else number(85, 90)
+    out = body.select("file", "line_no", F.lit("approach radar" if approach else "route radar").alias("kind"), degrees(lon, 3, east != "E").alias("lon"), degrees(lat, 2, north == "S").alias("lat"), agl.alias("agl"), msl.alias("msl"))
+    return out.filter("lon is not null and lat is not null")
+
+
 def parse_nav_points(lines: DataFrame) -> DataFrame:
     """(file, line_no, kind, lon, lat) of navigation rows ``code lat lon [type …]``.
 

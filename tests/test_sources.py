@@ -24,6 +24,23 @@ def test_obstacles(spark):
     assert got[1].freq == "101.1" and got[1].msl is None and got[2].agl is None
 
 
+def test_radar(spark):
+    def row(*parts):
+        line = [" "] * 96
+        for at, what in parts:
+            line[at : at + len(what)] = what
+        return "".join(line)
+
+    near = row((20, "0050"), (46, "34 30 36.5N"), (59, "118 15 36.0W"), (71, "001200"))
+    far = row((59, "34-30-36.5S"), (71, "118-15-36.0E"), (85, "004000"))
+    heads = "title\n____\nnames\n____\n"
+    got = text.parse_radar(lines(spark, heads + near + "\n" + row((20, "9"))), True).collect()
+    assert [(r.kind, round(r.lon, 6), round(r.lat, 6), r.agl, r.msl) for r in got] == [("approach radar", -118.26, round(34.5 + 36.5 / 3600, 6), 50, 1250)]
+    got = text.parse_radar(lines(spark, heads + far + "\nshort"), False).collect()
+    assert [(r.kind, round(r.lon, 6), round(r.lat, 6), r.agl, r.msl) for r in got] == [("route radar", 118.26, round(-34.5 - 36.5 / 3600, 6), None, 4000)]
+    assert text.parse_radar(lines(spark, near), True).count() == 0
+
+
 def test_nav_points(spark):
     body = "2 50.5 8.25 rest\n18 51.0 9.0 2\n18 51.0 9.0 4\n19 52.0 10.0 1\n77 1 1\n\nI"
     assert [(r.kind, r.lon, r.lat) for r in text.parse_nav_points(lines(spark, body)).orderBy("line_no").collect()] == [("ndb", 8.25, 50.5), ("light beacon", 9.0, 51.0), ("windsock", 10.0, 52.0)]
