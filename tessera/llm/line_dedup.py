@@ -24,8 +24,8 @@ from tessera.llm.common import Scratch, row_key
 
 #: The ASCII blanks that end words, but for the line feed.
 BLANKS = " \t\x0b\x0c\r"
-#: Up to this many documents or lines, what is known of them (about 30 bytes each) is sent to every executor.
-BROADCAST_ROWS, BROADCAST_LINES = 100_000, 1_000_000
+#: Up to this many lines, what is known of them (about 30 bytes each) is sent to every executor.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -70,18 +70,22 @@ def _place() -> Column:
 
 def _near(lines: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
     """(h, g): hashes of the lines that have an earlier line one edit away."""
-    halves = lines.filter("halves is not null").select("h", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half")
+    distinct = scratch.keep(lines.filter("halves is not null").groupBy("h", "g").agg(F.min(_place()).alias("place"), F.first("halves").alias("halves")))
+    halves = distinct.select("h", F.explode("halves").alias("half"))
+    # Written before they are joined, here and below, so that a key that very many have can be split.
+    shared = scratch.keep(halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half"))
     hopeful = halves.join(shared, "half", "left_semi").select("h").distinct()
-    first = lines.join(hopeful, "h", "left_semi").groupBy("h", "g").agg(F.min(_place()).alias("place"))
-    first = scratch.keep(first.select("h", "g", "place.*"))
+    first = scratch.keep(distinct.join(hopeful, "h", "left_semi").select("h", "g", "place.*"))
+    scratch.drop(distinct, shared)
     few = first.count() <= BROADCAST_ROWS
     found = _bodies(documents).join(F.broadcast(first) if few else first, ["doc", "row", "line"])
-    # One row for each line, also where a document is repeated.
-    full = scratch.keep(found.groupBy("h", "g").agg(F.first("doc").alias("doc"), F.first("row").alias("row"), F.first("line").alias("line"), F.first(_words(F.col("body"))).alias("words")))
+    # One row for each line, also where a document is repeated; by the keys of the join, so that nothing is dealt out again.
+    full = scratch.keep(found.groupBy("doc", "row", "line", "h", "g").agg(F.first(_words(F.col("body"))).alias("words")))
 
     # The two fingerprints of a word sequence are xors over its words and their places; a deletion moves the words behind it.
-    word = full.select("doc", "row", "line", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    # Dealt out as whole lines, so that what the windows need of a line is together before there is a row for each word.
+    dealt = full.repartition("doc", "row", "line")
+    word = dealt.select("doc", "row", "line", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     value = lambda seed, place: F.xxhash64(F.lit(seed), "word", place)
     order = Window.partitionBy("doc", "row", "line").orderBy("i")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
@@ -100,9 +104,8 @@ def _near(lines: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame
 
     # A deletion variant meets those of the same place, and the line that it equals; a whole line meets its longer ones.
     deleted = F.col("i") >= 0
-    replaced = variants.filter(deleted).groupBy(*key, "n", "i").agg(F.min("place").alias("partner"))
-    longer = variants.filter(deleted).groupBy(*key, "left").agg(F.min("place").alias("partner"))
-    equal = variants.filter(~deleted).groupBy(*key, "left").agg(F.min("place").alias("partner"))
+    least = lambda rows, *keys: scratch.keep(rows.groupBy(*key, *keys).agg(F.min("place").alias("partner")))
+    replaced, longer, equal = least(variants.filter(deleted), "n", "i"), least(variants.filter(deleted), "left"), least(variants.filter(~deleted), "left")
     met = variants.filter(deleted).join(replaced, [*key, "n", "i"]).select("place", "partner")
     met = met.union(variants.filter(deleted).join(equal, [*key, "left"]).select("place", "partner"))
     met = met.union(variants.filter(~deleted).join(longer, [*key, "left"]).select("place", "partner"))
@@ -148,12 +151,11 @@ def dedup_lines(documents: DataFrame, options: LineDedup = LineDedup()) -> DataF
     every = every.join(F.broadcast(verdict) if few else verdict, ["h", "g"]).filter(F.col("near") | (F.col("place") != F.col("earliest")))
     gone = scratch.keep(every.groupBy("place.doc", "place.row").agg(F.sort_array(F.collect_set("place.line")).alias("gone")))
     scratch.drop(lines, verdict)
-    size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
-    few = size["rows"] <= BROADCAST_ROWS and size["lines"] <= BROADCAST_LINES
     # Own columns have names with a blank, so that no column of the documents clashes.
     keys, marked = ["line doc", "line row"], gone.select(F.col("doc").alias("line doc"), F.col("row").alias("line row"), F.col("gone").alias("lines gone"))
     docs = documents.withColumns({"line doc": _doc(), "line row": row_key("doc_id", "text")})
-    out = docs.join(F.broadcast(marked) if few else marked, keys, "left").withColumn("lines gone", F.coalesce("lines gone", F.array().cast("array<int>")))
+    # One plan at every size; both sides are scans, so a document that is repeated very often can be split.
+    out = docs.join(marked, keys, "left").withColumn("lines gone", F.coalesce("lines gone", F.array().cast("array<int>")))
     body = F.split("text", "\n")
     edges = F.concat(F.array(F.lit(-1)), F.col("lines gone"), F.array(F.size(body)))
     between = F.transform(F.sequence(F.lit(0), F.size("lines gone")), lambda k: F.slice(F.col("lines all"), F.get("line edges", k) + 2, F.get("line edges", k + 1) - F.get("line edges", k) - 1))
