@@ -6,7 +6,7 @@ mention, with a capital, of a name that the same document has behind a title. A
 digits stay digits, letters stay letters of their case and script, separators stay, check digits are right, an address stays in
 the same kind of network. A first name keeps its gender, which is that of the list of first names, else what most titles in the
 corpus tell of it. Where so many entities share a shape that replacements run out, later attempts are longer, or leave the kind
-of network, so that there is always one left.
+of network, and the last is a keyed number in brackets, so that there is always one left.
 
 One entity has one replacement in the whole corpus (coreference), since it is derived from a secret key, the type and the
 normalised entity. That two entities never share a replacement (distinctness), and that no replacement is itself an entity of
@@ -32,7 +32,8 @@ from tessera.llm.common import checkpointed, in_small_batches, row_name
 
 #: Up to this many entities of later attempts or told gender (about 100 bytes each) are sent to every executor.
 BROADCAST_ROWS = 100_000
-#: Attempts after which replacements are longer or leave the kind of network, and after which the search gives up.
+#: Attempts after which replacements are longer or leave the kind of network, and after which they keep no format but are 128 bits of
+#: the keyed hash in brackets, so that even a shape with fewer values than entities ends.
 WIDER, LAST = 2, 64
 
 # Titles with the gender they tell.
@@ -59,8 +60,10 @@ SYLLABLES = {
 GENDER = {name.casefold(): gender for (_, gender), names in FIRST_NAMES.items() for name in names}
 WORD = r"[^\W\d_][\w'’-]*"
 NAME = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\.?[  ](?=(?P<name>{WORD}(?:[  ]{WORD}){{0,2}}))")
-EMAIL = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}")
+HOST = re.compile(r"@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}")
+LOCAL = re.compile(r"[\w%+.-]")
 IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
+RUN, PARTS = re.compile(r"[\w'’-]+"), re.compile(r"\w+")
 TITLE = re.compile(r"[MHSDLPГΚ][\w.]{0,12}[  ]\w")
 DIGIT = re.compile(r"\d")
 DIGITS = re.compile(r"[+(]?\d[\d .()/-]*")
@@ -99,7 +102,7 @@ def detect(text: str) -> list[Entity]:
     """Entities of a text in order, without overlaps; of two that overlap, the kind listed first in the module stays."""
     found: list[Entity] = []
     if "@" in text:
-        found += [Entity(*m.span(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
+        found += _emails(text)
     if "=" in text or ":" in text:
         found += [Entity(*m.span("value"), "secret", m["value"]) for m in ASSIGNED.finditer(text)]
     if any(x in text for x in ACCESS_KINDS):
@@ -129,6 +132,24 @@ def detect(text: str) -> list[Entity]:
     return out
 
 
+def _emails(text: str) -> list[Entity]:
+    """From each @ outwards, so that a long run of letters is looked at once, whether an @ follows it or not."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        host = HOST.match(text, at)
+        if host:
+            start = at
+            while start > last and LOCAL.match(text[start - 1]):
+                start -= 1
+            # Names joined by single dots, as many as stand before the @.
+            local = text[start:at].rpartition("..")[2].lstrip(".")
+            if local and not local.endswith("."):
+                out.append(Entity(at - len(local), host.end(), "email", text[at - len(local) : host.end()].lower()))
+                last = host.end()
+        at = text.find("@", max(at + 1, last))
+    return out
+
+
 def _is_ipv6(text: str) -> bool:
     try:
         return text.count(":") > 1 and any(c != ":" for c in text) and bool(ipaddress.IPv6Address(text))
@@ -153,10 +174,29 @@ def _names(text: str) -> list[Entity]:
             found.append(Entity(m.start("name") + w.start(), m.start("name") + w.end(), kind, plain, TITLES[m["title"]] if role == "first" else ""))
     if kinds:
         taken = {e.start for e in found}
-        again = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, kinds), key=len, reverse=True))})(?!\w)", re.IGNORECASE)
-        for m in again.finditer(text):
-            if m[0][0].isupper() and m.start() not in taken and (plain := m[0].casefold()) in kinds:
-                found.append(Entity(*m.span(), kinds[plain], plain))
+        longest = max(map(len, kinds))
+        for run in RUN.finditer(text):
+            word = run[0]
+            parts = [p.span() for p in PARTS.finditer(word)]
+            behind = [*(a for a, _ in parts[1:]), len(word) + 1]
+            i = 0
+            while i < len(parts):
+                start, end = parts[i][0], None
+                if word[start].isupper():
+                    # The longest name that begins here; it may be a part of a word, and end in a hyphen.
+                    for j in range(i, len(parts)):
+                        if parts[j][1] > start + longest:
+                            break
+                        ends = range(min(behind[j] - 1, start + longest), parts[j][1] - 1, -1)
+                        end = next((e for e in ends if word[start:e].casefold() in kinds), end)
+                if end is None:
+                    i += 1
+                    continue
+                if run.start() + start not in taken:
+                    plain = word[start:end].casefold()
+                    found.append(Entity(run.start() + start, run.start() + end, kinds[plain], plain))
+                while i < len(parts) and parts[i][0] < end:
+                    i += 1
     return found
 
 
@@ -201,6 +241,8 @@ def _shaped(text: str, draw: Stream) -> str:
 def surrogate(key: bytes, kind: str, text: str, attempt: int = 0, gender: str = "") -> str:
     """The normalised replacement of a normalised entity."""
     draw = Stream(key, kind, text, str(attempt))
+    if attempt >= LAST:
+        return f"[{kind.partition('-')[0]} {draw.below(1 << 64):016x}{draw.below(1 << 64):016x}]"
     longer = "x" * max(0, attempt - WIDER)
     if kind == "email":
         name, _, host = text.rpartition("@")
@@ -251,6 +293,8 @@ def surrogate(key: bytes, kind: str, text: str, attempt: int = 0, gender: str =
 
 def dressed(original: str, kind: str, plain: str) -> str:
     """The replacement written in the format of the place: separators, and the capitals of a name."""
+    if plain.startswith("["):
+        return plain
     if kind in ("card", "ssn", "phone", "iban"):
         left = iter(plain)
         return "".join(next(left) if c.isalnum() else c for c in original)
@@ -294,7 +338,7 @@ def settled(entities: DataFrame, key: bytes) -> DataFrame:
     votes = F.sum(F.when(F.col("gender") == "m", 1).when(F.col("gender") == "f", -1).otherwise(0))
     state = entities.groupBy("kind", "entity").agg(votes.alias("votes"))
     state = state.select("kind", "entity", F.lit(0).alias("attempt"), F.when(F.col("votes") > 0, "m").when(F.col("votes") < 0, "f").otherwise("").alias("gender"))
-    for _ in range(LAST):
+    while True:
         state = checkpointed(state.mapInArrow(lambda b: _derived(b, key), f"{fields}, surrogate string"))
         shared = state.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("least")).filter("n > 1")
         twice = state.join(shared, ["kind", "surrogate"]).filter("entity <> least").select("kind", "entity")
@@ -304,7 +348,6 @@ def settled(entities: DataFrame, key: bytes) -> DataFrame:
             return state
         again = again.withColumn("again", F.lit(1))
         state = state.join(again, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"), "gender")
-    raise RuntimeError(f"surrogates still collide after {LAST} attempts")
 
 
 RESULT = "row string, doc_id long, text string, n_entities long, entities array<struct<start:int,end:int,kind:string>>"

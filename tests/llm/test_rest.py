@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ import corpus_pipeline
 from tessera.llm.html_extract import BiLstm, Block, Labeller, blocks, fit, label, main_text
 from tessera.llm.mixing import Mix, mixed
 from tessera.llm.packing import Packing, best_fit, packed
-from tessera.llm.pii import FIRST_NAMES, detect, luhn, pseudonymised, replaced, settled, surrogate
+from tessera.llm.pii import FIRST_NAMES, LAST, detect, luhn, pseudonymised, replaced, settled, surrogate
 from tessera.llm.topk import PivotIndex, top_k
 from tests.llm.cases import documents, nothing, words
 
@@ -314,3 +315,33 @@ def test_pipeline_stages_leave_clashing_columns_alone(spark):
 def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, DATA)
     assert got.columns == ["doc_id", "piece", "first_word", "n_words", "bin_id", "offset"] and got.count() > 100
+
+
+def test_hostile_runs_are_read_once():
+    """Long runs beside an @, many titled names and words of many parts: each within seconds."""
+    for text, wanted in (
+        ("a" * 1_000_000 + " x@y.com", 1),
+        ("x@y.com " + "b" * 1_000_000 + "@", 1),
+        ("QUJD" * 250_000 + " @ ", 0),
+        ("a." * 400_000 + "@", 0),
+        ("@a" * 200_000, 0),
+        ("Mr Anna Long said " + "Anna-" * 20_000, 20_002),
+        ("Mr Anna Long said Anna" + "-" * 300_000, 3),
+        (" ".join(f"Mr N{i % 26:c}x Y{i:05d}." for i in range(97, 4097)), None),
+    ):
+        begin = time.process_time()
+        found = detect(text)
+        assert time.process_time() - begin < 5
+        assert wanted is None or len(found) == wanted
+
+
+def test_addresses_are_found_from_the_sign_outwards():
+    told = lambda t: [t[e.start : e.end] for e in detect(t)]
+    assert told("..a.b@c.de, x..y+z@u-v.example.org and q.@z.com or a@b.com@c.de") == ["a.b@c.de", "y+z@u-v.example.org", "a@b.com"]
+
+
+def test_a_shape_without_values_left_ends(spark):
+    """More numbers than a shape has surrogates for do not stop the table: the last attempts keep no format."""
+    texts = [surrogate(b"k", "ssn", f"{i:09d}", LAST) for i in range(50)]
+    assert len(set(texts)) == 50 and all(re.fullmatch(r"\[ssn [0-9a-f]{32}\]", t) for t in texts)
+    assert replaced("SSN 123-45-6789.", b"k", {("ssn", "123456789"): (LAST, "")})[0].startswith("SSN [ssn ")
