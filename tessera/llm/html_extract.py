@@ -15,7 +15,8 @@ to go by words and neighbours as well as by paths. Prediction is one map over th
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -37,11 +38,40 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 CONTAINERS = set("ul ol dl table select body html article section div main aside nav header footer form".split())
 
 
-@dataclass
+class Path:
+    """Names of the elements that enclose a block, outermost first: each with a link to what encloses it, so that a block in many
+    elements costs no more than its own. ``bag`` is kept here once it is known."""
+
+    __slots__ = ("parent", "name", "depth", "bag")
+
+    def __init__(self, parent: Path | None, name: str):
+        self.parent, self.name, self.depth, self.bag = parent, name, 1 + (parent.depth if parent else 0), None
+
+    @classmethod
+    def of(cls, names: Iterable[str]) -> Path | None:
+        path = None
+        for name in names:
+            path = cls(path, name)
+        return path
+
+
+def upward(path: Path | None) -> Iterator[Path]:
+    """The path's elements, innermost first."""
+    while path is not None:
+        yield path
+        path = path.parent
+
+
 class Block:
-    path: tuple[str, ...]
-    text: str
-    linked: int  # characters of the text inside links
+    __slots__ = ("at", "text", "linked")
+
+    def __init__(self, path: Path | Iterable[str] | None, text: str, linked: int):
+        self.at = path if path is None or isinstance(path, Path) else Path.of(path)
+        self.text, self.linked = text, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return tuple(p.name for p in upward(self.at))[::-1]
 
 
 class _Reader(HTMLParser):
@@ -49,7 +79,8 @@ class _Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str]] = []  # (tag, tag with class and id)
+        self.open: list[tuple[str, Path]] = []  # (tag, its element)
+        self.count: Counter[str] = Counter()  # open elements by tag
         self.blocks: list[Block] = []
         self.held: list[str] = []
         self.links = self.silent = self.linked = 0
@@ -57,35 +88,44 @@ class _Reader(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            self.blocks.append(Block(tuple(name for _, name in self.open), text, min(self.linked, len(text))))
+            self.blocks.append(Block(self.open[-1][1] if self.open else None, text, min(self.linked, len(text))))
         self.held, self.linked = [], 0
 
     def pop_to(self, k: int) -> None:
         for tag, _ in self.open[k:]:
             self.links -= tag == "a"
             self.silent -= tag in SILENT_TAGS
+            self.count[tag] -= 1
         del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
         if tag == "body":
+            if self.silent:
+                names = [(t, p.name) for t, p in self.open if t not in SILENT_TAGS]
+                self.open, path = [], None
+                for t, name in names:
+                    path = Path(path, name)
+                    self.open.append((t, path))
+                self.count = Counter(t for t, _ in self.open)
             self.silent = 0
-            self.open = [x for x in self.open if x[0] not in SILENT_TAGS]
         if tag in BLOCK_TAGS:
             self.flush()
             ends = ENDS.get(tag, set()) | {"p"}
-            for k in range(len(self.open) - 1, -1, -1):
-                name = self.open[k][0]
-                if name in ends:
-                    self.pop_to(k)
-                    break
-                if name in CONTAINERS:
-                    break
+            if any(self.count[x] for x in ends):
+                for k in range(len(self.open) - 1, -1, -1):
+                    name = self.open[k][0]
+                    if name in ends:
+                        self.pop_to(k)
+                        break
+                    if name in CONTAINERS:
+                        break
         elif tag == "br":
             self.held.append(" ")
         if tag in VOID_TAGS:
             return
         told = [x for key, value in attrs if key in ("class", "id", "role") and value for x in value.lower().split()]
-        self.open.append((tag, " ".join([tag, *told])))
+        self.open.append((tag, Path(self.open[-1][1] if self.open else None, " ".join([tag, *told]))))
+        self.count[tag] += 1
         self.links += tag == "a"
         self.silent += tag in SILENT_TAGS
 
@@ -97,6 +137,8 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.flush()
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self.pop_to(k)
@@ -149,6 +191,24 @@ def _bag(texts: list[str], size: int, seed: int) -> np.ndarray:
     return np.bincount(found.owner * size + (hashes % U(size)).astype(np.int64), sign, len(texts) * size).reshape(-1, size)
 
 
+def _path_bags(each: list[Block], size: int) -> np.ndarray:
+    """The bag of the words of each block's path: that of what encloses an element and the element's own, worked out once."""
+    new: list[Path] = []
+    for b in each:
+        chain = []
+        for p in upward(b.at):
+            if p.bag is not None and len(p.bag) in (0, size):  # waiting, or known
+                break
+            p.bag = np.empty(0)
+            chain.append(p)
+        new += reversed(chain)
+    own = _bag([p.name for p in new], size, 21).astype(np.float32)
+    for p, bag in zip(new, own, strict=True):
+        p.bag = bag if p.parent is None else p.parent.bag + bag
+    nothing = np.zeros(size, np.float32)
+    return np.stack([b.at.bag if b.at else nothing for b in each])
+
+
 def vectors(page: list[Block], labeller: Labeller) -> np.ndarray:
     """The input vector of each block of a page."""
     return stacked([page], labeller)
@@ -159,7 +219,7 @@ def stacked(pages: list[list[Block]], labeller: Labeller) -> np.ndarray:
     each = [b for page in pages for b in page]
     if not each:
         return np.empty((0, labeller.inputs), np.float32)
-    paths = _bag([" ".join(b.path) for b in each], labeller.path_size, 21)
+    paths = _path_bags(each, labeller.path_size)
     words = _bag([b.text for b in each], labeller.word_size, 22)
     words /= np.maximum(np.sqrt((words**2).sum(1, keepdims=True)), 1)
     length = np.array([len(b.text) for b in each], float)
@@ -168,8 +228,8 @@ def stacked(pages: list[list[Block]], labeller: Labeller) -> np.ndarray:
     stops = np.array([b.text.count(".") + b.text.count("!") + b.text.count("?") for b in each], float)
     commas = np.array([b.text.count(",") for b in each], float)
     place = np.concatenate([np.arange(len(p)) / max(1, len(p) - 1) for p in pages])
-    heads = np.array([bool(re.match(r"h[1-6]\b", b.path[-1])) if b.path else False for b in each], float)
-    depth = np.array([len(b.path) for b in each], float)
+    heads = np.array([bool(re.match(r"h[1-6]\b", b.at.name)) if b.at else False for b in each], float)
+    depth = np.array([b.at.depth if b.at else 0 for b in each], float)
     ends = np.array([b.text[-1] in ".!?…" for b in each], float)
     measures = np.stack([np.log1p(length) / 4, np.log1p(count) / 3, links / length, stops / count, commas / count, place, heads, depth / 10, ends, np.log1p(stops)], 1)
     return np.concatenate((np.clip(paths, -3, 3) / 2, words, measures), 1).astype(np.float32)
@@ -272,8 +332,8 @@ FOOT_LAYOUTS = ["footer", "div footer", "footer site-footer", "div copyright", "
 def marked(block: Block) -> float:
     """1 for article text, 0 for what is not, by the marks of the page itself; nan without marks."""
     article = None
-    for name in reversed(block.path):
-        tag, _, told = name.partition(" ")
+    for element in upward(block.at):
+        tag, _, told = element.name.partition(" ")
         if tag in ARTICLE_TAGS:
             article = 1.0
             break
