@@ -248,3 +248,27 @@ def v14_taxi_edge_rules(spark, sf_dir):
 def v8_ramp_rules(spark, sf_dir):
     runways = derived(spark, sf_dir, "placed_runways").withColumn("paved", F.col("rwy_id") % 3 != 0)
     return ops.ramp_problems(derived(spark, sf_dir, "ramps"), runways)
+
+
+_FLOWS = ("flows", "wind_rules", "time_rules", "flow_uses")
+
+
+@query(
+    """WITH t AS (SELECT apt_id, name FROM flows WHERE name<>'' GROUP BY ALL HAVING count(*) > 1), f AS (SELECT * FROM flows WHERE apt_id NOT IN (SELECT apt_id FROM t)),
+ g AS (SELECT DISTINCT apt_id, unnest([num_lo, num_hi]) AS number FROM runways),
+ o AS (SELECT DISTINCT a.flow_id, a.arrivals AND b.arrivals AS lands, a.departures AND b.departures AS leaves FROM flow_uses a JOIN flow_uses b ON a.flow_id=b.flow_id AND a.number=(CASE WHEN b.number > 18 THEN b.number-18 ELSE b.number+18 END) AND a.side=translate(b.side, 'LR', 'RL'))
+ SELECT apt_id, 'flow' AS object, flow_id AS id, 'same name' AS problem FROM flows JOIN t USING (apt_id, name)
+ UNION ALL SELECT apt_id, 'flow', flow_id, 'no station' FROM f WHERE icao='' UNION ALL SELECT apt_id, 'flow', flow_id, 'negative' FROM f WHERE visibility < 0 OR ceiling < 0 UNION ALL SELECT apt_id, 'flow', flow_id, 'high visibility' FROM f WHERE visibility > 20
+ UNION ALL SELECT apt_id, 'flow', flow_id, 'high ceiling' FROM f WHERE ceiling > 10000 UNION ALL SELECT apt_id, 'flow', flow_id, 'no name' FROM f WHERE name='' UNION ALL SELECT apt_id, 'flow', flow_id, 'unknown pattern' FROM f WHERE (apt_id, pattern) NOT IN (SELECT apt_id, number FROM g)
+ UNION ALL SELECT apt_id, 'wind rule', rule_id, 'no station' FROM wind_rules w JOIN f USING (flow_id) WHERE w.icao='' UNION ALL SELECT apt_id, 'wind rule', rule_id, 'directions' FROM wind_rules JOIN f USING (flow_id) WHERE from_deg NOT BETWEEN 0 AND 359 OR to_deg NOT BETWEEN 0 AND 360 OR from_deg=to_deg
+ UNION ALL SELECT apt_id, 'wind rule', rule_id, 'speed' FROM wind_rules JOIN f USING (flow_id) WHERE knots NOT BETWEEN 1 AND 999
+ UNION ALL SELECT apt_id, 'time rule', rule_id, 'times' FROM time_rules JOIN f USING (flow_id) WHERE start NOT BETWEEN 0 AND 2359 OR stop NOT BETWEEN 0 AND 2400 OR start=stop OR start%100 > 59 OR stop%100 > 59
+ UNION ALL SELECT apt_id, 'time rule', rule_id, 'short' FROM time_rules JOIN f USING (flow_id) WHERE CASE WHEN start < stop THEN stop ELSE stop+2400 END-start < 100
+ UNION ALL SELECT apt_id, 'runways', flow_id, 'opposite arrivals' FROM f WHERE flow_id IN (SELECT flow_id FROM o WHERE lands) UNION ALL SELECT apt_id, 'runways', flow_id, 'opposite departures' FROM f WHERE flow_id IN (SELECT flow_id FROM o WHERE leaves)
+ UNION ALL SELECT apt_id, 'runways', flow_id, 'no arrival or departure' FROM f WHERE flow_id NOT IN (SELECT flow_id FROM flow_uses WHERE arrivals) OR flow_id NOT IN (SELECT flow_id FROM flow_uses WHERE departures)""",
+    *_FLOWS,
+    "runways",
+)
+def v5_flow_rules(spark, sf_dir):
+    both = derived(spark, sf_dir, "runways").select("apt_id", F.explode(F.array("num_lo", "num_hi")).alias("number"))
+    return ops.flow_problems(*(derived(spark, sf_dir, t) for t in _FLOWS), both)

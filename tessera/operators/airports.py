@@ -213,3 +213,55 @@ def ramp_problems(ramps: DataFrame, runways: DataFrame) -> DataFrame:
     )
     told = ramps.join(sizes, "apt_id", "left").select("ramp_id", first.alias("first"), lines.alias("lines"))
     return told.select("ramp_id", F.explode(F.concat("first", "lines")).alias("problem"))
+
+
+def flow_problems(flows: DataFrame, winds: DataFrame, times: DataFrame, uses: DataFrame, runways: DataFrame) -> DataFrame:
+    """(apt_id, object, id, problem): faults of the flows of airports, their wind and time rules and their runways.
+
+    ``flows`` (flow_id, apt_id, name, icao, visibility, ceiling, pattern), ``winds`` (rule_id, flow_id, icao, from_deg, to_deg,
+    knots), ``times`` (rule_id, flow_id, start, stop) as hhmm, ``uses`` (use_id, flow_id, number, side, arrivals, departures) with
+    runway numbers 1 to 36 and sides L, C, R or none, and the directions that an airport's ``runways`` (apt_id, number) have.
+    Where two flows of an airport share a name, that is its only fault: 'same name', of each of them.
+    """
+    twice = flows.filter("name <> ''").groupBy("apt_id", "name").agg(F.count("*").alias("n")).filter("n > 1").select("apt_id", "name")
+    told = lambda rows, kind, key: rows.select("apt_id", F.lit(kind).alias("object"), F.col(key).alias("id"), F.explode(F.array_compact("found")).alias("problem"))
+    same = flows.join(twice, ["apt_id", "name"], "left_semi").select("apt_id", F.lit("flow").alias("object"), F.col("flow_id").alias("id"), F.lit("same name").alias("problem"))
+    sound = flows.join(twice.select("apt_id").distinct(), "apt_id", "left_anti")
+    owner = sound.select("flow_id", "apt_id")
+    legal = runways.select("apt_id", F.col("number").alias("pattern"), F.lit(True).alias("legal")).distinct()
+
+    out = lambda c, low, high: (F.col(c) < low) | (F.col(c) > high)
+    own = F.array(
+        F.when(F.col("icao") == "", "no station"),
+        F.when((F.col("visibility") < 0) | (F.col("ceiling") < 0), "negative"),
+        F.when(F.col("visibility") > 20, "high visibility"),
+        F.when(F.col("ceiling") > 10_000, "high ceiling"),
+        F.when(F.col("name") == "", "no name"),
+        F.when(F.col("legal").isNull(), "unknown pattern"),
+    )
+    of_flows = told(sound.join(legal, ["apt_id", "pattern"], "left").withColumn("found", own), "flow", "flow_id")
+    wind = F.array(
+        F.when(F.col("icao") == "", "no station"),
+        F.when(out("from_deg", 0, 359) | out("to_deg", 0, 360) | (F.col("from_deg") == F.col("to_deg")), "directions"),
+        F.when(out("knots", 1, 999), "speed"),
+    )
+    of_winds = told(winds.join(owner, "flow_id").withColumn("found", wind), "wind rule", "rule_id")
+    end = F.when(F.col("start") < F.col("stop"), F.col("stop")).otherwise(F.col("stop") + 2400)
+    time = F.array(
+        F.when(out("start", 0, 2359) | out("stop", 0, 2400) | (F.col("start") == F.col("stop")) | (F.col("start") % 100 > 59) | (F.col("stop") % 100 > 59), "times"),
+        F.when(end - F.col("start") < 100, "short"),
+    )
+    of_times = told(times.join(owner, "flow_id").withColumn("found", time), "time rule", "rule_id")
+    # A use meets those of its flow that go the other way on the same strip.
+    other = F.when(F.col("side") == "L", "R").when(F.col("side") == "R", "L").otherwise(F.col("side"))
+    used = uses.join(owner, "flow_id")
+    back = used.select("flow_id", ((F.col("number") + 17) % 36 + 1).alias("number"), other.alias("side"), F.col("arrivals").alias("a"), F.col("departures").alias("d"))
+    against = used.join(back, ["flow_id", "number", "side"]).groupBy("flow_id").agg(F.max(F.col("arrivals") & F.col("a")).alias("a"), F.max(F.col("departures") & F.col("d")).alias("d"))
+    some = used.groupBy("flow_id").agg(F.max("arrivals").alias("lands"), F.max("departures").alias("leaves"))
+    ways = F.array(
+        F.when(F.col("a"), "opposite arrivals"),
+        F.when(F.col("d"), "opposite departures"),
+        F.when(~F.coalesce(F.col("lands") & F.col("leaves"), F.lit(False)), "no arrival or departure"),
+    )
+    of_uses = told(owner.join(against, "flow_id", "left").join(some, "flow_id", "left").withColumn("found", ways), "runways", "flow_id")
+    return same.union(of_flows).union(of_winds).union(of_times).union(of_uses)

@@ -85,6 +85,13 @@ DERIVED = {
  CASE p_partkey%6 WHEN 0 THEN '09/27' WHEN 1 THEN '04' ELSE '' END AS runway FROM {part}""",
     "ramps": """SELECT p_partkey AS ramp_id, p_partkey%100 AS apt_id, p_partkey%6 AS equipment, CASE p_partkey%4 WHEN 0 THEN 'gate' WHEN 1 THEN 'tie-down' WHEN 2 THEN 'misc' ELSE 'hangar' END AS ramp_type, p_partkey%3 AS op_type, p_partkey%7-1 AS width_class,
  CASE p_partkey%11 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN 'ABC def' WHEN 3 THEN 'ab' WHEN 4 THEN 'abcd efg' WHEN 5 THEN 'abcxdef' WHEN 6 THEN 'a1c def' WHEN 7 THEN 'a c def' WHEN 8 THEN repeat('abc ', 26) WHEN 9 THEN ' abc ' ELSE 'ab cdef1gh' END AS airlines FROM {part}""",
+    "flows": """SELECT s_suppkey*4+k.i AS flow_id, s_suppkey AS apt_id, CASE WHEN (s_suppkey*3+k.i)%7=0 THEN '' WHEN s_suppkey%5=0 AND k.i > 1 THEN 'same' ELSE concat('flow ', CAST(k.i AS VARCHAR(3))) END AS name,
+ CASE WHEN (s_suppkey+k.i)%6=0 THEN '' ELSE 'KABC' END AS icao, CAST((s_suppkey*7+k.i*5)%27-2 AS DOUBLE) AS visibility, ((s_suppkey*13+k.i*3)%14-1)*1000 AS ceiling, 1+(s_suppkey*5+k.i*7)%36 AS pattern FROM {supplier} CROSS JOIN (VALUES (0), (1), (2), (3)) AS k(i)""",
+    "wind_rules": """SELECT s_suppkey*8+k.j AS rule_id, s_suppkey*4+k.i AS flow_id, CASE WHEN (s_suppkey+k.j)%9=0 THEN '' ELSE 'KABC' END AS icao, (s_suppkey*31+k.j*67)%380-10 AS from_deg, (s_suppkey*31+k.j*(67+s_suppkey%3))%380-10 AS to_deg, (s_suppkey*11+k.j*5)%40-2 AS knots
+ FROM {supplier} CROSS JOIN (VALUES (0, 0), (0, 1), (1, 2), (1, 3), (2, 4), (2, 5), (3, 6), (3, 7)) AS k(i, j)""",
+    "time_rules": """SELECT s_suppkey*4+k.i AS rule_id, s_suppkey*4+k.i AS flow_id, (s_suppkey*137+k.i*50)%2500-20 AS start, (s_suppkey*137+k.i*110)%2500-20 AS stop FROM {supplier} CROSS JOIN (VALUES (0), (1), (2), (3)) AS k(i)""",
+    "flow_uses": """SELECT s_suppkey*8+k.j AS use_id, s_suppkey*4+k.i AS flow_id, CASE WHEN s_suppkey%3=0 AND k.j%2=1 THEN (s_suppkey*5+k.i*7)%36+1 ELSE (s_suppkey*5+k.i*7+18)%36+1 END AS number, CASE WHEN k.i%2=0 THEN '' WHEN k.j%2=0 THEN 'L' WHEN s_suppkey%2=0 THEN 'R' ELSE 'L' END AS side,
+ (s_suppkey+k.j)%4<>0 AS arrivals, (s_suppkey+k.i)%3<>0 AS departures FROM {supplier} CROSS JOIN (VALUES (0, 0), (0, 1), (1, 2), (1, 3), (2, 4), (2, 5)) AS k(i, j)""",
     "map_faces": """SELECT c_custkey AS face_id, CASE WHEN c_custkey%5=0 THEN 'water' ELSE 'land' END AS terrain, c_custkey%9 AS code FROM {customer}""",
     "face_points": """SELECT c_custkey AS face_id, k.ring, k.pos, CAST(-1240000+(c_custkey*7919)%77000+k.dx*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lon,
  CAST(320000+(c_custkey*6007)%57000+k.dy*(1+c_custkey%3) AS DOUBLE)/CAST(10000 AS DOUBLE) AS lat FROM {customer} JOIN (VALUES (0, 0, 0, 0, 0), (0, 0, 1, 1800, 300), (0, 0, 2, 700, 1700),
