@@ -1,15 +1,16 @@
-"""Order-dependent clean-up of bounded groups, one group in one call."""
+"""Order-dependent clean-up: lines in bounded groups, near features in rounds."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.geo import DEG_TO_MTR_LAT
-from tessera.operators.network import components
-from tessera.operators.points import near_pairs
+from tessera.functions.geo import DEG_TO_MTR_LAT, dist_m
+from tessera.operators.network import checkpointed
 
 
 def _simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
@@ -46,21 +47,38 @@ def simplify_lines(points: DataFrame, chain: str, tolerance: float) -> DataFrame
 def remove_near_duplicates(features: DataFrame, distance_m: float) -> DataFrame:
     """Of two features (id, face_id, rank, lon, lat) of a face that are nearer than the distance, the one of lower rank goes.
 
-    Greedy in the order of rank (high first), then id: a feature stays if no feature that stays is near. Only features with a
-    near one are looked at together, and a group is one connected cluster of such pairs inside a face.
+    Greedy in the order of rank (high first), then id: a feature stays if no feature that stays is near. Any two features in one
+    square of the grid are near, so at most one of a square stays, and pairs of features are never formed. Round by round the
+    best that is left of each square stays if no square within reach has a better one left, and what is near it goes. A round
+    holds the best feature of each square and of each place at most; the best of all stays in every round, and where ranks have
+    nothing to do with places a few rounds do. Features without a face or place are near nothing.
     """
-    pairs = near_pairs(features, distance_m, "id", same=("face_id",)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    cluster = components(pairs).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    degrees = distance_m / DEG_TO_MTR_LAT
+    side = degrees / 2**0.5 * (1 - 1e-9)
+    grid = lambda c: F.floor(c / side).cast("long")
+    placed = F.col("face_id").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")
+    # What is near one of the features of a place is near all of them, so the best stands for the others.
+    order = F.struct(F.coalesce(-F.col("rank").cast("double"), F.lit(float("nan"))).alias("rank"), "id").alias("order")
+    best = features.filter(placed).groupBy("face_id", "lon", "lat").agg(F.min(order).alias("order"))
+    left = checkpointed(best.select("*", grid(F.col("lon")).alias("cx"), grid(F.col("lat")).alias("cy")))
+    wide = degrees * 1.000001 / F.greatest(F.cos(F.radians(F.abs("lat") + degrees)), F.lit(1e-3))
+    over = lambda c, reach: F.explode(F.sequence(grid(F.col(c) - reach), grid(F.col(c) + reach)))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "id"], ascending=[False, True])
-        lon, lat, stay = group["lon"].to_numpy(), group["lat"].to_numpy(), []
-        for i in range(len(group)):
-            dx = (lon[stay] - lon[i]) * np.cos(np.radians((lat[stay] + lat[i]) / 2))
-            if not len(stay) or (np.hypot(dx, lat[stay] - lat[i]) * DEG_TO_MTR_LAT > distance_m).all():
-                stay.append(i)
-        return group.iloc[[i for i in range(len(group)) if i not in set(stay)]][["id"]]
+    def looking(rows: DataFrame) -> DataFrame:
+        """``rows`` in each square within their reach."""
+        own = rows.select("face_id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.col("order").alias("order1"), over("lon", wide).alias("cx"), "lat")
+        return own.select("face_id", "lon1", "lat1", "order1", "cx", over("lat", F.lit(degrees * 1.000001)).alias("cy"))
 
-    together = features.join(cluster, "id").select("id", "rank", "lon", "lat", "cluster")
-    gone = together.groupBy("cluster").applyInPandas(one, "id long")
-    return features.join(gone, "id", "left_anti")
+    stays = []
+    while not left.isEmpty():
+        first = checkpointed(left.groupBy("face_id", "cx", "cy").agg(F.min_by(F.struct("lon", "lat", "order"), "order").alias("f")).select("face_id", "cx", "cy", "f.*"))
+        beaten = looking(first).join(first.select("face_id", "cx", "cy", "order"), ["face_id", "cx", "cy"]).filter(F.col("order") < F.col("order1"))
+        stay = checkpointed(first.join(beaten.select("face_id", F.col("lon1").alias("lon"), F.col("lat1").alias("lat")), ["face_id", "lon", "lat"], "left_anti"))
+        near = dist_m(*map(F.col, ("lon1", "lat1", "lon", "lat"))) <= distance_m
+        gone = left.join(looking(stay), ["face_id", "cx", "cy"]).filter(near).select("face_id", "lon", "lat")
+        left = checkpointed(left.join(gone, ["face_id", "lon", "lat"], "left_anti"))
+        stays.append(stay.select("face_id", "lon", "lat", F.col("order.id").alias("id")))
+    if not stays:
+        return features
+    kept = features.filter(placed).join(reduce(DataFrame.union, stays), ["face_id", "lon", "lat", "id"], "left_semi").select(features.columns)
+    return kept.union(features.filter(~placed))

@@ -128,6 +128,23 @@ def test_near_duplicates_go_greedily_by_rank(spark):
     assert sorted(r.id for r in got) == sorted(r[0] for r in stay)
 
 
+def test_near_duplicates_at_one_place_make_no_pairs(spark, monkeypatch):
+    kept, held = network.checkpointed, []
+
+    def counted(df):
+        out = kept(df)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(network, "checkpointed", counted)
+    monkeypatch.setattr(greedy, "checkpointed", counted, raising=False)
+    rows = [(i, i % 2, float(i % 7), 10.0, 50.0 + i % 3) for i in range(300)] + [(900, None, 9.0, 10.0, 50.0), (901, 0, None, 10.0, None), (902, 5, None, 10.0, 50.0)]
+    got = greedy.remove_near_duplicates(spark.createDataFrame(rows, "id long, face_id long, rank double, lon double, lat double"), 10.0).collect()
+    best = {min((-r[2], r[0]) for r in rows[:300] if r[1] == f and r[4] == 50.0 + k)[1] for f in (0, 1) for k in range(3)}
+    assert {r.id for r in got} == best | {900, 901, 902} and len(got) == 9
+    assert sum(held) < len(rows)
+
+
 def test_regions_join_around_corners(spark):
     picture = ["aab", "bab", "aaa", "bbb"]
     rows = [(x, y, float(ord(c))) for y, line in enumerate(picture) for x, c in enumerate(line)]
