@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,35 +16,58 @@ from tessera.functions.geo import DEG_TO_MTR_LAT, dist_m
 from tessera.operators.network import checkpointed
 
 
-def _simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which points stay: ends do, and of each span the farthest point beyond the tolerance, again and again."""
+def _simplified(x: np.ndarray, y: np.ndarray, first: np.ndarray, last: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of all lines stay: ends do, and of each span the farthest point beyond the tolerance, again and again.
+
+    A line is the places ``first`` to ``last``; the spans of all lines are looked at together.
+    """
     keep = np.zeros(len(x), bool)
-    keep[[0, -1]] = True
-    spans = [(0, len(x) - 1)]
-    while spans:
-        a, b = spans.pop()
-        if b - a < 2:
-            continue
+    keep[first] = keep[last] = True
+    a, b = first, last
+    while True:
+        wide = b - a > 1
+        a, b = a[wide], b[wide]
+        if not len(a):
+            return keep
+        inner = b - a - 1
+        begin = np.cumsum(inner) - inner
+        span = np.repeat(np.arange(len(a)), inner)
+        at = np.arange(len(span)) - begin[span] + a[span] + 1
         dx, dy = x[b] - x[a], y[b] - y[a]
         length = np.hypot(dx, dy)
-        px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
-        far = np.abs(dx * py - dy * px) / length if length else np.hypot(px, py)
-        k = int(far.argmax())
-        if far[k] > tolerance:
-            keep[a + 1 + k] = True
-            spans += [(a, a + 1 + k), (a + 1 + k, b)]
-    return keep
+        px, py = x[at] - x[a][span], y[at] - y[a][span]
+        across = np.abs(dx[span] * py - dy[span] * px) / np.where(length == 0, 1, length)[span]
+        far = np.where((length == 0)[span], np.hypot(px, py), across)
+        most = np.maximum.reduceat(far, begin)
+        # The first of the farthest ones.
+        k = np.minimum.reduceat(np.where(far == most[span], at, len(x)), begin)
+        split = most > tolerance
+        a, b, k = a[split], b[split], k[split]
+        keep[k] = True
+        a, b = np.concatenate((a, k)), np.concatenate((k, b))
 
 
-def simplify_lines(points: DataFrame, chain: str, tolerance: float) -> DataFrame:
-    """Points (chain, pos, lon, lat) that a polyline simplification keeps. A group is one chain, so at most its points."""
+def _simplify(batches: Iterator[pa.RecordBatch], tolerance: float) -> Iterator[pa.RecordBatch]:
+    """Lines in order, of which one may go on in the next batch."""
+    held = None
+    for batch in chain(batches, [None]):
+        rows = pa.Table.from_batches([batch]) if batch is not None else None
+        rows = pa.concat_tables([t for t in (held, rows) if t is not None]).combine_chunks() if held is not None or rows is not None else None
+        if rows is None or not len(rows):
+            continue
+        ends = np.asarray(pc.run_end_encode(rows.column(0).chunk(0)).run_ends) - 1
+        if batch is not None:
+            n = int(ends[-2]) + 1 if len(ends) > 1 else 0
+            held, rows, ends = rows.slice(n), rows.slice(0, n), ends[:-1]
+        if len(rows):
+            x, y = (rows.column(c).to_numpy().astype(float) for c in ("lon", "lat"))
+            yield from rows.filter(pa.array(_simplified(x, y, np.append(0, ends[:-1] + 1), ends, tolerance))).to_batches()
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos", kind="stable")
-        return group[_simplified(group["lon"].to_numpy(), group["lat"].to_numpy(), tolerance)]
 
+def simplify_lines(points: DataFrame, chain: str, tolerance: float) -> DataFrame:
+    """Points (chain, pos, lon, lat) that a polyline simplification keeps. Many lines go through one call, one line at least."""
     named = points.select(chain, "pos", "lon", "lat")
-    return named.groupBy(chain).applyInPandas(one, named.schema)
+    return named.repartition(chain).sortWithinPartitions(chain, "pos").mapInArrow(lambda batches: _simplify(batches, tolerance), named.schema)
 
 
 def remove_near_duplicates(features: DataFrame, distance_m: float) -> DataFrame:

@@ -113,6 +113,34 @@ def test_simplified_line_keeps_ends_and_corners(spark):
     assert sorted((r.way, r.pos) for r in got) == [(1, 0), (1, 2), (1, 3), (2, 0), (3, 0), (3, 2)]
 
 
+def test_many_lines_are_simplified_together(spark):
+    import random
+
+    draw = random.Random(5)
+    lines = {i: [(draw.random(), draw.randrange(4) / 4) for _ in range(draw.choice((1, 2, 3, 7, 40)))] for i in range(60)}
+
+    def kept(line, tolerance=0.3):
+        stay, spans = {0, len(line) - 1}, [(0, len(line) - 1)]
+        while spans:
+            a, b = spans.pop()
+            (x, y), (u, v) = line[a], line[b]
+            far = [abs((u - x) * (q - y) - (v - y) * (p - x)) / ((u - x) ** 2 + (v - y) ** 2) ** 0.5 for p, q in line[a + 1 : b]]
+            if far and max(far) > tolerance:
+                k = a + 1 + far.index(max(far))
+                stay.add(k)
+                spans += [(a, k), (k, b)]
+        return stay
+
+    frame = spark.createDataFrame([(i, n, *p) for i, line in lines.items() for n, p in enumerate(line)], "way long, pos long, lon double, lat double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # lines go on over batches
+    try:
+        out = greedy.simplify_lines(frame, "way", 0.3)
+        assert sorted((r.way, r.pos) for r in out.collect()) == sorted((i, n) for i, line in lines.items() for n in kept(line))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in out._jdf.queryExecution().toString()  # no call for each line
+
+
 def test_near_duplicates_go_greedily_by_rank(spark):
     import math
     import random
