@@ -5,12 +5,13 @@ documents, are smoothed by one count for each bucket; a document's score is the
 two probabilities. A document is kept if it reaches a threshold, which is a low quantile of the scores of trusted documents that
 were left out of the fit (one in ``left_out``): nothing is drawn at random, so a rerun decides alike.
 
-The raw counts cover every document. The trusted set is a bounded sample of the labelled rows (``trusted_rows``), so its ids
-fit on every executor, and the texts are never shuffled: each pass reads them where they lie.
+The raw counts cover every document, the target counts and the threshold every trusted one. Up to ``broadcast_ids`` trusted ids
+are broadcast, and each pass reads the texts where they lie; beyond that the first pass shuffles the texts once to their ids.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, hash_sample, in_small_batches
+from tessera.llm.common import checkpointed, in_small_batches
 from tessera.llm.words import IS_WORD, SYMBOL, Texts, U, chunks, mix, sums
 
 
 @dataclass(frozen=True)
 class QualityRules:
     buckets: int = 1 << 15
-    trusted_rows: int = 20_000
+    broadcast_ids: int = 1 << 20
     left_out: int = 4
     quantile: float = 0.002
     least_words: int = 20
@@ -41,22 +42,24 @@ def _buckets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate((mix(texts.hashes), pairs)) % U(size)).astype(np.int64), np.concatenate((owner, owner[at]))
 
 
-def _count(batches: Iterator[pa.RecordBatch], trusted: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+def _dealt(batches: Iterator[pa.RecordBatch], left_out: int) -> Iterator[pa.RecordBatch]:
+    """Whether a trusted id is left out of the fit, by its own bits."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mix(ids.view(U)) % U(left_out) == 0)], names=["doc_id", "judged"])
+
+
+def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for batch in batches:
         for part in chunks(batch, "text"):
             bucket, owner = _buckets(Texts(part.column("text")), size)
             raw += np.bincount(bucket, minlength=size)
-            target += np.bincount(bucket[_member(part.column("doc_id"), trusted)[owner]], minlength=size)
+            target += np.bincount(bucket[part.column("fitted").to_numpy(zero_copy_only=False)[owner]], minlength=size)
     used = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
 
-def _member(ids: pa.Array, trusted: np.ndarray) -> np.ndarray:
-    known = ~np.asarray(ids.is_null())
-    return known & np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), trusted)
-
-
 def _repeated_words(texts: Texts, window: int) -> np.ndarray:
     """Words of each text that lie in a window of so many words that the text has twice or more."""
     found, at = texts.grams(window)
@@ -77,10 +80,10 @@ def _repeated_lines(text: str | None) -> int:
     return len(lines) - len(set(lines))
 
 
-MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, trusted boolean, score double"
+MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
-def _measure(batches: Iterator[pa.RecordBatch], weights: np.ndarray, trusted: np.ndarray, rules: QualityRules) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], weights: np.ndarray, rules: QualityRules) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
             texts = Texts(part.column("text"))
@@ -96,13 +99,22 @@ def _measure(batches: Iterator[pa.RecordBatch], weights: np.ndarray, trusted: np
                     pa.array(sums(SYMBOL[texts.data], texts.offsets), pa.int64()),
                     pa.array([_repeated_lines(x) for x in part.column("text").to_pylist()], pa.int64()),
                     pa.array(_repeated_words(texts, rules.repeat_window), pa.int64()),
-                    pa.array(_member(part.column("doc_id"), trusted)),
                     pa.array(score),
                 ],
                 names=[x.split()[0] for x in MEASURES.split(", ")],
             )
 
 
+def _percentile(scores: DataFrame, share: float) -> float | None:
+    """As ``percentile``, but each task keeps only its lowest scores up to the one wanted, not all distinct ones in one place."""
+    place = share * (scores.count() - 1)
+    low = math.floor(place)
+    if low < 0:
+        return None
+    ends = [r[0] for r in scores.orderBy("score").offset(low).limit(math.ceil(place) - low + 1).collect()]
+    return ends[0] if ends[0] == ends[-1] else (low + 1 - place) * ends[0] + (place - low) * ends[-1]
+
+
 def quality(documents: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) for every row.
 
@@ -112,27 +124,26 @@ def quality(documents: DataFrame, labels: DataFrame, rules: QualityRules = Quali
     trusted; repeated rows count, and are judged, as often as they occur. An empty table gives no rows.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    good = checkpointed(good.filter("doc_id is not null and quality = 1 and toxic = 0").select("doc_id"))
-    good = hash_sample(good, good.count(), ("doc_id",), rules.trusted_rows)
+    good = good.filter("doc_id is not null and quality = 1 and toxic = 0").select(F.col("doc_id").cast("long"))
+    good = checkpointed(good.mapInArrow(lambda b: _dealt(b, rules.left_out), "doc_id long, judged boolean"))
+    total, left = good.agg(F.count("*"), F.count_if("judged")).first()
+    few = left in (0, total)  # too few to leave some out
+    fitted, judged = (good if few else good.filter(x) for x in ("not judged", "judged"))
     spark = documents.sparkSession
-    ids = np.sort(np.array([r[0] for r in good.collect()], np.int64))
-    out = mix(ids.view(U)) % U(rules.left_out) == 0
-    if out.all() or not out.any():  # too few to leave some out
-        fitted = judged = ids
-    else:
-        fitted, judged = ids[~out], ids[out]
-    fitted, judged = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast(judged)
     docs = in_small_batches(documents).select("doc_id", "text")
-    counted = docs.mapInArrow(lambda b: _count(b, fitted.value, rules.buckets), "bucket long, raw long, target long")
+    fitted = fitted.select("doc_id", F.lit(True).alias("_fitted"))
+    # Only the ids are built into a table, so that texts which are shuffled need no sort.
+    marked = docs.join(F.broadcast(fitted) if total <= rules.broadcast_ids else fitted.hint("shuffle_hash"), "doc_id", "left")
+    marked = marked.select("text", F.coalesce("_fitted", F.lit(False)).alias("fitted"))
+    counted = marked.mapInArrow(lambda b: _count(b, rules.buckets), "bucket long, raw long, target long")
     # One row for each bucket.
     table = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(rules.buckets), np.zeros(rules.buckets)
     raw[table["bucket"]], target[table["bucket"]] = table["raw"], table["target"]
     weights = spark.sparkContext.broadcast(np.log((target + 1) / (target.sum() + rules.buckets)) - np.log((raw + 1) / (raw.sum() + rules.buckets)))
-    measured = checkpointed(docs.mapInArrow(lambda b: _measure(b, weights.value, judged.value, rules), MEASURES))
+    measured = checkpointed(docs.mapInArrow(lambda b: _measure(b, weights.value, rules), MEASURES))
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeat_percent * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
-    # At most as many rows as are trusted.
-    threshold = measured.filter("trusted and not base_failed").agg(F.percentile("score", F.lit(rules.quantile))).first()[0]
+    threshold = _percentile(measured.filter("not base_failed").join(judged.select("doc_id"), "doc_id", "left_semi").select("score"), rules.quantile)
     kept = ~F.col("base_failed") & (F.lit(True) if threshold is None else F.col("score") >= threshold)
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")

@@ -5,12 +5,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm.language import Field, fit, languages, marginals
 from tessera.llm import lm_score
 from tessera.llm.lm_score import Backoff, scores
-from tessera.llm.quality import QualityRules, quality
+from tessera.llm.quality import QualityRules, _buckets, quality
+from tessera.llm.words import Texts, U, mix
 from tests.llm.cases import documents, nothing, words
 
 
@@ -78,6 +80,25 @@ def test_quality_without_labels_or_documents(spark):
     assert quality(nothing(spark), labels).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_ids", [1 << 20, 0])
+def test_quality_fits_every_trusted_document(spark, broadcast_ids):
+    n, size = 24_000, 1 << 10
+    texts = [" ".join(f"{'good' if i % 3 else 'bad'}{(i * j) % 97}" for j in range(20 + i % 3)) for i in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    trusted = np.arange(n) % 12 != 0
+    labels = spark.createDataFrame([(i, int(trusted[i]), 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    got = quality(docs, labels, QualityRules(buckets=size, quantile=0.0123, broadcast_ids=broadcast_ids)).orderBy("doc_id").toPandas()
+    bucket, owner = _buckets(Texts(pa.array(texts)), size)
+    out = mix(np.arange(n).view(U)) % U(4) == 0
+    raw, target = np.bincount(bucket, minlength=size), np.bincount(bucket[(trusted & ~out)[owner]], minlength=size)
+    weights = np.log((target + 1) / (target.sum() + size)) - np.log((raw + 1) / (raw.sum() + size))
+    score = np.bincount(owner, weights[bucket]) / np.bincount(owner)
+    assert np.abs(got.score - score).max() < 1e-9
+    fine = ~got.base_failed.to_numpy()
+    threshold = np.quantile(got.score[trusted & out & fine], 0.0123)
+    assert trusted.sum() > 20_000 and (got.kept == fine & (got.score >= threshold)).all() and 0 < got.kept.sum() < fine.sum()
+
+
 def plain_backoff(train, options):
     """The same model with dictionaries: log10 probability of a token list."""
     count = Counter(w for t in train for w in t)
