@@ -11,6 +11,18 @@ def cells(spark, rows):
     return spark.createDataFrame(rows, "x long, y long, value double")
 
 
+def joined_rows(df):
+    """Rows that the joins of a collected table gave."""
+
+    def found(plan):
+        below = [plan.plan()] if "QueryStage" in plan.getClass().getSimpleName() else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+        return own + sum(map(found, below))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return found(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+
+
 def test_scanline_gaps_at_both_ends_and_between(spark):
     got = raster.fill_scanline_gaps(cells(spark, [(0, 0, None), (1, 0, 2.0), (2, 0, None), (3, 0, None), (4, 0, 8.0), (5, 0, None), (0, 1, None)]))
     assert {(r.x, r.y): r.value for r in got.collect()} == {(0, 0): 2.0, (1, 0): 2.0, (2, 0): 4.0, (3, 0): 6.0, (4, 0): 8.0, (5, 0): 8.0, (0, 1): None}
@@ -85,6 +97,14 @@ def test_near_pairs_meet_once_across_squares(spark):
     assert {(r.a, r.b) for r in points.near_pairs(spots, 3.0, "id").collect()} == {(1, 2), (1, 3), (2, 3)}
 
 
+def test_points_of_one_place_are_tested_as_one(spark):
+    spots = [(i, 10.0 + 0.00001 * (i % 3), 50.0) for i in range(300)] + [(i, 10.0, 50.0) for i in (7, 9)] + [(None, 10.0, 50.0), (400, None, 50.0)]
+    got = points.near_pairs(spark.createDataFrame(spots, "id long, lon double, lat double"), 1.0, "id")
+    want = sorted((a[0], b[0]) for a in spots[:-2] for b in spots[:-2] if a[0] < b[0] and abs(a[1] - b[1]) < 0.000011)
+    assert sorted((r.a, r.b) for r in got.collect()) == want
+    assert joined_rows(got) <= 15
+
+
 def test_ring_measures(spark):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0))])
     row = spark.range(1).select(geo.ring_area(ring).alias("a"), geo.ring_centroid(ring).alias("c"), geo.point_in_ring(F.lit(1.0), F.lit(1.0), ring).alias("i"), geo.point_in_ring(F.lit(5.0), F.lit(1.0), ring).alias("o")).first()
