@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
-from tessera.operators import airports, greedy, network, points, raster, rules, terrain, vectors
+from tessera.operators import airports, greedy, network, points, raster, rules, segments, terrain, vectors
 
 
 def cells(spark, rows):
@@ -105,6 +105,16 @@ def test_points_of_one_place_are_tested_as_one(spark):
     assert joined_rows(got) <= 15
 
 
+def test_equal_segments_are_tested_as_one(spark):
+    kinds = [(0.0, 0.0, 1.0, 1.0), (1.0, 0.0, 0.0, 1.0), (0.0, 0.0, 1.0, 0.2), (5.0, 5.0, 5.0, 5.0)]
+    lines = [(i, *kinds[i % 4]) for i in range(200)] + [(5, *kinds[0]), (None, *kinds[0]), (300, None, 0.0, 1.0, 1.0)]
+    got = segments.crossings(spark.createDataFrame(lines, "id long, x1 double, y1 double, x2 double, y2 double"), 0.5)
+    cross = {(kinds[i], kinds[j]) for i, j in ((0, 1), (1, 0), (1, 2), (2, 1))}
+    want = sorted((a[0], b[0]) for a in lines[:-2] for b in lines[:-2] if a[0] < b[0] and (a[1:], b[1:]) in cross)
+    assert sorted((r.a, r.b) for r in got.collect()) == want
+    assert joined_rows(got) <= 200
+
+
 def test_ring_measures(spark):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0))])
     row = spark.range(1).select(geo.ring_area(ring).alias("a"), geo.ring_centroid(ring).alias("c"), geo.point_in_ring(F.lit(1.0), F.lit(1.0), ring).alias("i"), geo.point_in_ring(F.lit(5.0), F.lit(1.0), ring).alias("o")).first()
