@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,16 +100,26 @@ def chained(ways: list) -> list:
 _STEPS = "rel_id long, ring int, inner boolean, step int, way_id long, backward boolean"
 
 
-def _assembled(group: pa.Table) -> pa.Table:
-    """All steps of the rings of one relation."""
-    rows = group.sort_by("pos")
-    names = ("way_id", "inner", "first", "last")
-    ways = list(zip(*(rows.column(c).to_pylist() for c in names), strict=True))
-    steps = chained(linked(without_repeats(ways)))
-    rel = rows.column("rel_id")[0].as_py()
-    columns = list(zip(*[(rel, *s) for s in steps], strict=True)) or [()] * 6
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All steps of the rings of relations whose members follow each other; what a batch leaves open is held for the next."""
     types = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.bool_())
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in _STEPS.split(", ")])
+
+    def told(relations: list) -> pa.RecordBatch:
+        rows = [(rel, *step) for rel, ways in relations for step in chained(linked(without_repeats(ways)))]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in _STEPS.split(", ")])
+
+    open_: list = []
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("rel_id", "way_id", "inner", "first", "last")), strict=True)
+        for rel, members in groupby(rows, lambda r: r[0]):
+            if not open_ or open_[-1][0] != rel:
+                open_.append((rel, []))
+            open_[-1][1].extend(r[1:] for r in members)
+        if len(open_) > 1:
+            yield told(open_[:-1])
+            del open_[:-1]
+    yield told(open_)
 
 
 def ring_steps(members: DataFrame, refs: DataFrame) -> DataFrame:
@@ -119,7 +131,9 @@ def ring_steps(members: DataFrame, refs: DataFrame) -> DataFrame:
     at = F.struct("pos", "node_id")
     ends = refs.groupBy("way_id").agg(F.min(at).alias("a"), F.max(at).alias("b")).select("way_id", F.col("a.node_id").alias("first"), F.col("b.node_id").alias("last"))
     met = members.join(ends, "way_id").select("rel_id", "pos", "way_id", (F.coalesce("role", F.lit("")) == "inner").alias("inner"), "first", "last")
-    return met.groupBy("rel_id").applyInArrow(_assembled, _STEPS)
+    # Many relations in one call: a call for each takes longer than its rings.
+    ordered = met.repartition("rel_id").sortWithinPartitions("rel_id", F.asc_nulls_last("pos"), "way_id").drop("pos")
+    return ordered.mapInArrow(_assembled, _STEPS)
 
 
 def assemble_multipolygons(members: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:

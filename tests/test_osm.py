@@ -58,6 +58,22 @@ def test_rings_of_relations(spark):
     assert osm.assemble_multipolygons(members.limit(0), refs, nodes).count() == 0
 
 
+def test_relations_share_a_call_and_may_span_batches(spark):
+    parts = [(rel, pos, rel * 100 + pos, "") for rel in range(40) for pos in range(7)]
+    refs = [(way, end, way // 100 * 100 + (way % 100 + end) % 7) for _, _, way, _ in parts for end in (0, 1)]
+    members, refs = spark.createDataFrame(parts, "rel_id long, pos long, way_id long, role string"), spark.createDataFrame(refs, "way_id long, pos long, node_id long")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 5)
+    try:
+        steps = osm.ring_steps(members, refs)
+        got = sorted(tuple(r) for r in steps.collect())
+    finally:
+        spark.conf.set(name, before)
+    assert got == [(rel, 0, False, pos, rel * 100 + pos, False) for rel in range(40) for pos in range(7)]
+    assert "FlatMapGroups" not in steps._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tags_move_to_relations_without_any(spark):
     members, refs, _ = tables(spark)
     members = members.filter("way_id <> 13")
