@@ -22,7 +22,8 @@ def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def read_osm(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of map files: ``nodes`` (node_id, lon, lat, tags), ``ways`` (way_id, tags), ``refs`` (way_id, pos, node_id),
     ``relations`` (rel_id, rel_type, tags) and ``members`` (rel_id, pos, kind, ref, role). A map has many files; each is read once
-    for its nodes, once for its ways and once for its relations, in folders of any depth. Elements without an id are left out; nodes may lack a place.
+    for its nodes, once for its ways and once for its relations, in folders of any depth, and whole by one task, for it cannot be split.
+    Elements without an id are left out; nodes may lack a place.
     """
     nodes, ways, relations = (_read(spark, path, kind) for kind in ("node", "way", "relation"))
     refs = ways.select(F.col("_id").alias("way_id"), F.posexplode("nd").alias("pos", "n")).select("way_id", F.col("pos").cast("long").alias("pos"), F.col("n._ref").alias("node_id"))
@@ -37,8 +38,15 @@ def read_osm(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def write_osm(tables: dict[str, DataFrame], path: str) -> None:
-    """XML files of the tables that ``read_osm`` has, in a folder for each kind of element; refs and members in order."""
+#: Elements in a file at most: one task reads a file whole.
+FILE_ELEMENTS = {"node": 100_000, "way": 10_000, "relation": 10_000}
+
+
+def write_osm(tables: dict[str, DataFrame], path: str, file_elements: dict[str, int] = FILE_ELEMENTS) -> None:
+    """XML files of the tables that ``read_osm`` has, in a folder for each kind of element; refs and members in order.
+
+    ``file_elements`` bounds the files, so that reading spreads over tasks at any size.
+    """
     tags = F.transform(F.array_sort(F.map_entries("tags")), lambda t: F.struct(t["key"].alias("_k"), t["value"].alias("_v"))).alias("tag")
 
     def listed(rows: DataFrame, key: str, **columns: str) -> DataFrame:
@@ -53,4 +61,4 @@ def write_osm(tables: dict[str, DataFrame], path: str) -> None:
         "relation": tables["relations"].join(members, "rel_id", "left").select(F.col("rel_id").alias("_id"), F.col("inner").alias("member"), tags),
     }
     for kind, rows in elements.items():
-        rows.write.format("xml").option("rootTag", "osm").option("rowTag", kind).save(f"{path}/{kind}s")
+        rows.write.format("xml").option("rootTag", "osm").option("rowTag", kind).option("maxRecordsPerFile", file_elements[kind]).save(f"{path}/{kind}s")

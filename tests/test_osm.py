@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tessera.operators import osm
+from tessera.sources import osm as maps
 
 
 def plain_linked(ways):
@@ -94,3 +97,20 @@ def test_boxes_of_relations(spark):
     ways, points = osm.widened_by_relations(nodes, refs, members, boxes)
     assert [tuple(r) for r in ways.collect()] == [(5, 0, 9, 0, 7)]
     assert {tuple(r) for r in points.collect()} == {(i, 0, 9, 0, 7) for i in (1, 2, 3)}
+
+
+def test_written_files_are_bounded(spark, tmp_path):
+    tags = F.create_map().cast("map<string,string>")
+    ways = spark.range(0, 500, 1, 1).select(F.col("id").alias("way_id"), tags.alias("tags"))
+    tables = {
+        "nodes": spark.range(0, 1000, 1, 1).select(F.col("id").alias("node_id"), F.col("id").cast("double").alias("lon"), F.lit(1.0).alias("lat"), tags.alias("tags")),
+        "ways": ways,
+        "refs": ways.select("way_id", F.lit(0).cast("long").alias("pos"), F.col("way_id").alias("node_id")),
+        "relations": ways.select(F.col("way_id").alias("rel_id"), "tags"),
+        "members": ways.select(F.col("way_id").alias("rel_id"), F.lit(0).cast("long").alias("pos"), F.lit("way").alias("kind"), F.col("way_id").alias("ref"), F.lit("").alias("role")),
+    }
+    maps.write_osm(tables, str(tmp_path), {"node": 100, "way": 50, "relation": 50})
+    held = {kind: [path.read_text().count(f"<{kind} ") for path in (tmp_path / f"{kind}s").glob("part-*")] for kind in ("node", "way", "relation")}
+    assert {kind: (max(n), sum(n)) for kind, n in held.items()} == {"node": (100, 1000), "way": (50, 500), "relation": (50, 500)}
+    read = maps.read_osm(spark, str(tmp_path))
+    assert [read[t].count() for t in ("nodes", "ways", "refs", "relations", "members")] == [1000, 500, 500, 500, 500]
