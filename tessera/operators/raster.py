@@ -27,10 +27,11 @@ def around(cells: DataFrame, offsets: Sequence[Offset], keys: Keys = (), **aggre
     places = [(0, 0, -1), *[(dx, dy, i) for i, (dx, dy) in enumerate(offsets)]]
     at = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(i).alias("slot")) for dx, dy, i in places]))
     sent = cells.select(*keys, "x", "y", "value", at.alias("at")).select(*keys, (F.col("x") - F.col("at.dx")).alias("x"), (F.col("y") - F.col("at.dy")).alias("y"), "value", "at.dx", "at.dy", "at.slot")
-    own = F.max(F.when(F.col("slot") < 0, F.struct(F.lit(1).alias("here"), F.col("value").alias("value"))))
+    # Plain maxima: of structs they would be sorted for, all places of a task at a time.
+    own, here = F.max(F.when(F.col("slot") < 0, F.col("value"))), F.max(F.col("slot") < 0)
     near = F.col("slot") >= 0
-    grouped = sent.groupBy(*keys, "x", "y").agg(own.alias("_own"), *[agg(near).alias(name) for name, agg in aggregates.items()])
-    return grouped.filter(F.col("_own").isNotNull()).withColumn("own", F.col("_own.value")).drop("_own")
+    grouped = sent.groupBy(*keys, "x", "y").agg(own.alias("own"), here.alias("_here"), *[agg(near).alias(name) for name, agg in aggregates.items()])
+    return grouped.filter("_here").drop("_here")
 
 
 def box(radius: int) -> list[Offset]:

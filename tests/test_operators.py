@@ -115,6 +115,15 @@ def test_equal_segments_are_tested_as_one(spark):
     assert joined_rows(got) <= 200
 
 
+def test_overlay_with_a_soft_edge_needs_no_sort(spark):
+    places = [(x, y) for x in range(9) for y in range(9)]
+    base, over = cells(spark, [(x, y, 10.0) for x, y in places]), cells(spark, [(x, y, None if (x, y) == (4, 4) else 1.0) for x, y in places])
+    merged = terrain.raster_merge(base, over, 2)
+    got = {(r.x, r.y): r.value for r in merged.collect()}
+    assert (got[4, 4], got[4, 3], got[0, 0]) == (10.0, 5.5, 1.0) and len(got) == 81
+    assert "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ring_measures(spark):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0))])
     row = spark.range(1).select(geo.ring_area(ring).alias("a"), geo.ring_centroid(ring).alias("c"), geo.point_in_ring(F.lit(1.0), F.lit(1.0), ring).alias("i"), geo.point_in_ring(F.lit(5.0), F.lit(1.0), ring).alias("o")).first()
