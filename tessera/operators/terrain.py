@@ -26,18 +26,19 @@ def frequency_split(cells: DataFrame, bands: int) -> DataFrame:
 
     Their null-aware sum gives the raster back.
     """
-    now = cells.select("x", "y", "value")
-    out = []
+    # The widest blocks hold all others: cells are shuffled and sorted once, and all bands come from one pass.
+    block = lambda b: {f"_{c}{b}": F.floor(F.col(c) / (2 << b)) for c in ("x", "y")}
+    now, within, kept = cells.select("x", "y", "value"), [], F.col("value")
+    for b in reversed(range(bands)):
+        now = now.withColumns(block(b))
+        now = now if within else now.repartition(*block(b))
+        within += block(b)
     for b in range(bands):
-        block = Window.partitionBy(F.floor(F.col("x") / (2 << b)), F.floor(F.col("y") / (2 << b)))
-        mean = now.select("x", "y", "value", F.avg("value").over(block).alias("mean"))
-        out.append(mean.select(F.lit(b).alias("band"), "x", "y", (F.col("value") - F.col("mean")).alias("value")))
-        now = mean.select("x", "y", F.when(F.col("value").isNotNull(), F.col("mean")).alias("value"))
-    out.append(now.select(F.lit(bands).alias("band"), "x", "y", "value"))
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.union(more)
-    return whole
+        now = now.withColumn("_mean", F.avg("value").over(Window.partitionBy(*within[: 2 * (bands - b)])))
+        now = now.withColumns({f"_band{b}": kept - F.col("_mean"), "value": F.when(kept.isNotNull(), F.col("_mean"))})
+    values = [*[F.col(f"_band{b}") for b in range(bands)], kept]
+    rows = now.select("x", "y", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), v.alias("value")) for b, v in enumerate(values)])).alias("_r"))
+    return rows.select("_r.band", "x", "y", "_r.value")
 
 
 def line_integral(lines: DataFrame, cells: DataFrame, id_column: str, steps: int) -> DataFrame:

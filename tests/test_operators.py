@@ -124,6 +124,16 @@ def test_overlay_with_a_soft_edge_needs_no_sort(spark):
     assert "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bands_of_frequency_share_a_shuffle(spark):
+    split = terrain.frequency_split(cells(spark, [(0, 0, 1.0), (1, 0, 3.0), (2, 0, 8.0), (3, 3, None), (-1, 0, 5.0)]), 2)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange "), plan.count(" Sort ")) == (1, 1)
+    got = {(r.band, r.x, r.y): r.value for r in split.collect()}
+    assert [got[b, 0, 0] for b in range(3)] == [-1.0, -2.0, 4.0] and [got[b, 2, 0] for b in range(3)] == [0.0, 4.0, 4.0] and got[2, -1, 0] == 5.0
+    assert len(got) == 15 and {got[b, 3, 3] for b in range(3)} == {None}
+    assert {r.value for r in terrain.frequency_split(cells(spark, [(0, 0, 1.0)]), 0).collect()} == {1.0}
+
+
 def test_ring_measures(spark):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0))])
     row = spark.range(1).select(geo.ring_area(ring).alias("a"), geo.ring_centroid(ring).alias("c"), geo.point_in_ring(F.lit(1.0), F.lit(1.0), ring).alias("i"), geo.point_in_ring(F.lit(5.0), F.lit(1.0), ring).alias("o")).first()
