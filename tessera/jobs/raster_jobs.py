@@ -96,7 +96,7 @@ def w5_gaussian_blur(spark, sf_dir):
     "cells",
 )
 def w6_trimmed_mean_surface(spark, sf_dir):
-    return _rounded(raster.trimmed_mean(_cells(spark, sf_dir)), "value")
+    return _rounded(raster.trimmed_mean(_cells(spark, sf_dir)), "value").filter("value is not null")
 
 
 @query(f"SELECT x, y, coalesce(max(abs(own-near)), 0) AS value FROM ({PAIRS.format(r=1)}) WHERE dx<>0 OR dy<>0 GROUP BY x, y", "cells")

@@ -1,16 +1,20 @@
 """Neighbourhood, resampling and overlay operators on cell tables (x, y, value), where null is a void cell.
 
 Cells may carry further key columns, such as a layer or a tile; ``keys`` names them, and neighbours agree in them. Neighbour
-operators send each cell to the places that it is a neighbour of, so one shuffle with partial aggregation serves any kernel.
+operators send each cell to the places that it is a neighbour of, so one shuffle with partial aggregation serves any kernel;
+those that need all values of a window at once send it to its square instead.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, LongType, StructField, StructType
 
 Keys = Sequence[str]
 Offset = tuple[int, int]
@@ -38,6 +42,53 @@ def box(radius: int) -> list[Offset]:
     return [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
 
 
+#: Least side of the squares that windows are worked out in, and neighbours that a task looks at in one step.
+SIDE, STEP = 64, 1 << 20
+
+#: Results of ``n`` windows, of (n, at, row, near): neighbour k lies in window at[k] (ascending) and is row row[k] of the square,
+#: and near[k] is false for the cells of the window's own place.
+Summary = Callable[[int, np.ndarray, np.ndarray, np.ndarray], pa.Array]
+
+
+def in_windows(cells: DataFrame, radius: int, keys: Keys, summary: Callable[[pa.ChunkedArray], Summary], result: DataType) -> DataFrame:
+    """(keys, x, y, value): for each cell, what ``summary`` of its square's values makes of the cells in its window, itself included.
+
+    Each square is worked out with a halo of ``radius``, so a cell is shuffled about once, and no window's list is shuffled, sorted
+    by Spark or kept for longer than a step. A square is at most (side + 2 radius)² cells, if no place has several; these all count.
+    """
+    side = max(SIDE, 8 * radius)
+    width = side + 2 * radius
+    spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / side), F.floor((F.col(c) + radius) / side)))
+    sent = cells.select(*keys, "x", "y", "value").withColumn("_sx", spread("x")).withColumn("_sy", spread("y"))
+    kept = [*keys, "x", "y"]
+    kind = pa.float64() if isinstance(result, DoubleType) else pa.int64()
+
+    def told(key: tuple, group: pa.Table) -> pa.Table:
+        i, j = (group.column(c).to_numpy().astype(np.int64) - key[k].as_py() * side + radius for c, k in (("x", -2), ("y", -1)))
+        place = j * width + i
+        order = np.argsort(place, kind="stable")
+        rows, place = group.take(pa.array(order)), place[order]
+        # The rows of place p are first[p] up to first[p + 1], so a window's row of places is one run.
+        first = np.searchsorted(place, np.arange(width * width + 1))
+        own = np.flatnonzero(np.diff(first))
+        own = own[(own % width >= radius) & (own % width < radius + side) & (own // width >= radius) & (own // width < radius + side)]
+        begin = own[:, None] + width * np.arange(-radius, radius + 1) - radius
+        low = first[begin]
+        count = first[begin + 2 * radius + 1] - low
+        ends = np.cumsum(count.sum(axis=1))
+        of_windows, values = summary(rows.column("value")), []
+        cuts = [0, *(np.flatnonzero(np.diff(ends // STEP)) + 1), len(own)] if len(own) else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            run = count[a:b].ravel()
+            at = np.repeat(np.arange(b - a), count[a:b].sum(axis=1))
+            row = np.arange(len(at)) + np.repeat(low[a:b].ravel() - np.cumsum(run) + run, run)
+            values.append(of_windows(b - a, at, row, place[row] != own[a:b][at]))
+        return rows.take(pa.array(first[own])).select(kept).append_column("value", pa.chunked_array(values, kind))
+
+    schema = StructType([*[cells.schema[c] for c in kept], StructField("value", result)])
+    return sent.groupBy(*keys, "_sx", "_sy").applyInArrow(told, schema)
+
+
 def fill_scanline_gaps(cells: DataFrame, keys: Keys = ()) -> DataFrame:
     """Void runs of a row become a line between their valid ends; runs at the row's ends copy the nearest."""
     row = Window.partitionBy(*keys, "y").orderBy("x")
@@ -98,13 +149,26 @@ def gaussian_blur(cells: DataFrame, sigma: float, keys: Keys = ()) -> DataFrame:
     return convolve(vertical, {(d, 0): w for d, w in weight.items()}, True, keys)
 
 
+def _trimmed(value: pa.ChunkedArray) -> Summary:
+    number, valid = value.to_numpy(), np.asarray(value.is_valid())
+
+    def means(n: int, at: np.ndarray, row: np.ndarray, near: np.ndarray) -> pa.Array:
+        known = valid[row]
+        at, found = at[known], number[row[known]]
+        found = found[np.lexsort((found, at))]
+        size = np.bincount(at, minlength=n)
+        low, high = size // 8, size // 3
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        inner = (rank >= low[at]) & (rank < (size - high)[at])
+        total = np.bincount(at[inner], found[inner], n)
+        return pa.array(total / np.maximum(size - low - high, 1), pa.float64(), mask=size == 0)
+
+    return means
+
+
 def trimmed_mean(cells: DataFrame, radius: int = 2, keys: Keys = ()) -> DataFrame:
     """Mean of the window's valid values without the lowest n/8 and the highest n/3 (integer quotients)."""
-    out = around(cells, box(radius), keys, values=lambda near: F.sort_array(F.collect_list(F.when(near, F.col("value")))))
-    n = F.size("values")
-    low, high = F.floor(n / 8).cast("int"), F.floor(n / 3).cast("int")
-    kept = F.slice("values", low + 1, n - low - high)
-    return out.select(*keys, "x", "y", F.when(n > 0, F.aggregate(kept, F.lit(0.0), lambda a, v: a + v) / (n - low - high)).alias("value"))
+    return in_windows(cells.withColumn("value", F.col("value").cast("double")), radius, keys, _trimmed, DoubleType())
 
 
 def max_neighbour_difference(cells: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -114,13 +178,27 @@ def max_neighbour_difference(cells: DataFrame, keys: Keys = ()) -> DataFrame:
     return out.select(*keys, "x", "y", F.coalesce(most, F.lit(0.0)).alias("value"))
 
 
+def _disagreeing(value: pa.ChunkedArray, places: int) -> Summary:
+    # Values by their rank, voids as -1: equal ranks are equal values.
+    valid = np.asarray(value.is_valid())
+    rank = np.full(len(value), -1)
+    rank[valid] = np.unique(value.drop_null().to_numpy(), return_inverse=True)[1]
+
+    def counts(n: int, at: np.ndarray, row: np.ndarray, near: np.ndarray) -> pa.Array:
+        own = np.full(n, -1)
+        np.maximum.at(own, at[~near], rank[row[~near]])
+        at, row = at[near], row[near]
+        same = np.bincount(at[rank[row] == own[at]], minlength=n)
+        held = np.bincount(at, minlength=n)
+        return pa.array(np.where(own < 0, held, places) - same, pa.int64())
+
+    return counts
+
+
 def neighbour_disagreement(cells: DataFrame, radius: int, keys: Keys = ()) -> DataFrame:
     """How many places of the window hold another value; places outside the raster count as void."""
-    offsets = [o for o in box(radius) if o != (0, 0)]
-    out = around(cells, offsets, keys, held=lambda near: F.collect_list(F.when(near, F.struct(F.col("value")))))
-    same = F.size(F.filter("held", lambda v: v["value"].eqNullSafe(F.col("own"))))
-    outside = F.when(F.col("own").isNull(), len(offsets) - F.size("held")).otherwise(0)
-    return out.select(*keys, "x", "y", (len(offsets) - same - outside).cast("long").alias("value"))
+    places = len(box(radius)) - 1
+    return in_windows(cells, radius, keys, lambda value: _disagreeing(value, places), LongType())
 
 
 def border_cells(cells: DataFrame, keys: Keys = ()) -> DataFrame:

@@ -1,9 +1,11 @@
 """Operators on small hand-made cases that the tables do not have."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
+from tessera.jobs.registry import ORACLES, QUERIES
 from tessera.operators import airports, greedy, network, points, raster, rules, segments, terrain, vectors
 
 
@@ -134,6 +136,82 @@ def test_bands_of_frequency_share_a_shuffle(spark):
     assert {r.value for r in terrain.frequency_split(cells(spark, [(0, 0, 1.0)]), 0).collect()} == {1.0}
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of a collected table wrote."""
+
+    def found(plan):
+        below = [plan.plan()] if "QueryStage" in plan.getClass().getSimpleName() else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+        return own + sum(map(found, below))
+
+    return found(df._jdf.queryExecution().executedPlan().executedPlan())
+
+
+def odd_raster():
+    """Missing, void and repeated cells on both sides of the borders of squares, in two layers."""
+    made = []
+    for layer, x, y in ((n, x, y) for n in (1, 2) for x in range(-70, 70) for y in range(-30, 10)):
+        k = (x * 7919 + y * 104729 + layer * 31) % 997
+        made += [] if k % 4 == 0 else [(layer, x, y, None if k % 7 < 2 else float((k + i) % 11)) for i in range(3 if k % 50 == 1 else 1)]
+    return made
+
+
+def by_place(rows):
+    found = {}
+    for layer, x, y, value in rows:
+        found.setdefault((layer, x, y), []).append(value)
+    return found
+
+
+def test_trimmed_means_across_squares_shuffle_each_cell_about_once(spark):
+    rows = odd_raster()
+    places = by_place(rows)
+    want = {}
+    for n, x, y in places:
+        near = sorted(v for dx, dy in raster.box(2) for v in places.get((n, x + dx, y + dy), []) if v is not None)
+        kept = near[len(near) // 8 : len(near) - len(near) // 3]
+        want[n, x, y] = sum(kept) / len(kept) if kept else None
+    out = raster.trimmed_mean(spark.createDataFrame(rows, "layer long, x long, y long, value double").repartition(4), 2, ["layer"])
+    got = out.collect()
+    assert {(r.layer, r.x, r.y): r.value for r in got} == want and len(got) == len(want)
+    # One row a cell for the test's own repartition, and little more than one for the windows.
+    assert shuffled_rows(out) <= 2.3 * len(rows)
+
+
+def test_disagreements_across_squares_shuffle_each_cell_about_once(spark):
+    rows = odd_raster()
+    places = by_place(rows)
+    want = {}
+    for (n, x, y), held in places.items():
+        own = max((v for v in held if v is not None), default=None)
+        near = [v for dx, dy in raster.box(2) if (dx, dy) != (0, 0) for v in places.get((n, x + dx, y + dy), [])]
+        want[n, x, y] = (len(near) if own is None else 24) - near.count(own)
+    out = raster.neighbour_disagreement(spark.createDataFrame(rows, "layer long, x long, y long, value double").repartition(4), 2, ["layer"])
+    got = out.collect()
+    assert {(r.layer, r.x, r.y): r.value for r in got} == want and len(got) == len(want)
+    assert shuffled_rows(out) <= 2.3 * len(rows)
+
+
+def test_windows_of_a_place_with_many_cells_go_in_steps(spark):
+    """More neighbours in a square than a task looks at in one step."""
+    rows = [(x, y, float((x + y + i) % 5)) for x in range(40) for y in range(40) for i in range(30)]
+    assert len(rows) * 25 > raster.STEP
+    got = {(r.x, r.y): r.value for r in raster.trimmed_mean(cells(spark, rows)).collect()}
+    # Each place has 0 … 4 six times: of 750 values 93 go at the low end and 250 at the high, 57 zeros, 150 ones, 150 twos, 50 threes stay.
+    assert len(got) == 1600 and got[20, 20] == (57 * 0 + 150 + 300 + 150) / 407
+    assert got[0, 0] == pytest.approx(sum(sorted([0, 1, 2, 3, 4] * 54)[33:180]) / 147)
+
+
+def test_trimmed_means_of_lone_voids_are_left_out_as_in_the_sql(spark, tmp_path):
+    orders = str(tmp_path / "orders.parquet")
+    spark.createDataFrame([(13,), (500,), (501,), (520,), (7800,)], "o_orderkey long").write.parquet(orders)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{orders}/*.parquet')")
+    got = QUERIES["w6_trimmed_mean_surface"](spark, str(tmp_path))
+    want = con.sql(ORACLES["w6_trimmed_mean_surface"])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()) and got.count() == 2
+
+
 def test_ring_measures(spark):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0))])
     row = spark.range(1).select(geo.ring_area(ring).alias("a"), geo.ring_centroid(ring).alias("c"), geo.point_in_ring(F.lit(1.0), F.lit(1.0), ring).alias("i"), geo.point_in_ring(F.lit(5.0), F.lit(1.0), ring).alias("o")).first()
