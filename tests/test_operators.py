@@ -107,6 +107,18 @@ def test_points_of_one_place_are_tested_as_one(spark):
     assert joined_rows(got) <= 15
 
 
+def test_metres_are_rounded_once_for_two_places(spark):
+    """Rounding comes before the listing of ids, not after: there it costs more than all the rest."""
+    from tessera.jobs.registry import QUERIES
+    from tests.conftest import DATA
+
+    plan = QUERIES["j18_points_near_pairs"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(ids2" in plan and plan.rindex("explode(ids2") < plan.index("round(")
+    spots = spark.createDataFrame([(i, 10.0 + 0.00001 * (i % 2), 50.0) for i in range(6)], "id long, lon double, lat double")
+    exact = {(r.a, r.b): r.metres for r in points.near_pairs(spots, 3.0, "id").collect()}
+    assert len(exact) == 15 and {(r.a, r.b): r.metres for r in points.near_pairs(spots, 3.0, "id", digits=2).collect()} == {k: round(v, 2) for k, v in exact.items()}
+
+
 def test_equal_segments_are_tested_as_one(spark):
     kinds = [(0.0, 0.0, 1.0, 1.0), (1.0, 0.0, 0.0, 1.0), (0.0, 0.0, 1.0, 0.2), (5.0, 5.0, 5.0, 5.0)]
     lines = [(i, *kinds[i % 4]) for i in range(200)] + [(5, *kinds[0]), (None, *kinds[0]), (300, None, 0.0, 1.0, 1.0)]
